@@ -212,14 +212,19 @@ def _cased(new: Column, old: Column) -> Column:
     return F.array_join(F.transform(F.split(new, ""), lambda c, i: F.when(F.substring(old, i + 1, F.lit(1)) != F.lower(F.substring(old, i + 1, F.lit(1))), F.upper(c)).otherwise(c)), "")
 
 
-def dictionary(docs: DataFrame, key: str, rounds: int = 50) -> DataFrame:
-    """(kind, norm, attempt, s): every distinct part in the corpus and its surrogate; no two of a kind share one, and none equals a real part.
+def mentions(docs: DataFrame) -> DataFrame:
+    """(doc_id, kind, norm): the distinct parts of each document's entities."""
+    found = docs.filter(F.col("text").rlike(GATE)).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), 0))).alias("m"))
+    return found.select("doc_id", F.explode(_let(_kind(F.col("m")), lambda kind: _parts(F.col("m"), kind))).alias("p")).select("doc_id", "p.kind", "p.norm")
+
+
+def dictionary(found: DataFrame, key: str, rounds: int = 50) -> DataFrame:
+    """(kind, norm, attempt, s): every distinct part of ``found(kind, norm)`` and its surrogate; no two of a kind share one, and none equals a real part.
 
     Where a surrogate is taken, all but its smallest part try again with the next attempt, until a round finds none. Parts are
     folded before the shuffle, so one part that fills a third of all texts is one row a task.
     """
-    found = docs.filter(F.col("text").rlike(GATE)).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), 0))).alias("m")).select(F.explode(_let(_kind(F.col("m")), lambda kind: _parts(F.col("m"), kind))).alias("p")).select("p.*").distinct()
-    now = found.withColumn("attempt", F.lit(0)).withColumn("s", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt")))
+    now = found.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)).withColumn("s", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt")))
     for _ in range(rounds):
         now = durable(now)
         first = now.groupBy("kind", F.lower("s").alias("low")).agg(F.min("norm").alias("first"), F.count("*").alias("m"))
@@ -236,28 +241,23 @@ def dictionary(docs: DataFrame, key: str, rounds: int = 50) -> DataFrame:
 def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with entities in ``text`` replaced, and ``n_entities``; n_chars, where there is one, follows the new text.
 
-    Surrogates are functions of key and part alone, so rows are rewritten where they are: texts are cut at the entities and joined again.
-    The corpus-wide dictionary checks collisions; only if there are any do the texts that hold such a part get its attempt by a join on
-    doc_id. Addresses, names with title or known given name (gender and script kept, surname shared by coreferent mentions),
-    phones, cards (Luhn kept), social security and account numbers, IPv4 addresses and secrets are entities. Null texts stay
-    null, texts without entities stay as they are, null and repeated ids keep their rows, and all other columns stay.
+    Surrogates are functions of key and part alone, but for parts whose first surrogate was taken: their attempts come to the texts that
+    hold them by a join on doc_id, which only texts that may hold an entity take part in; all others pass as they are. Texts are cut
+    at the entities and joined again. Addresses, names with title or known given name (gender and script kept, surname
+    shared by coreferent mentions), phones, cards (Luhn kept), social security and account numbers, IPv4 addresses and secrets are
+    entities. Null texts stay null, null and repeated ids keep their rows, and all other columns stay.
     """
-    kept = docs.columns
-    docs = docs.drop("n_entities")
-    spared = durable(dictionary(docs, key).filter("attempt > 0").select(F.concat_ws("\x1f", "kind", "norm").alias("part"), "attempt"))
-    none = F.lit(None).cast("map<string,int>")
-    if spared.limit(1).count():
-        hits = docs.filter(F.col("text").rlike(GATE)).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), 0))).alias("m")).select("doc_id", F.explode(_let(_kind(F.col("m")), lambda kind: _parts(F.col("m"), kind))).alias("p")).select("doc_id", F.concat_ws("\x1f", "p.kind", "p.norm").alias("part")).distinct()
-        again = hits.join(spared, "part").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("part", "attempt"))).alias("_again")).withColumnRenamed("doc_id", "_id")
-        rows = docs.join(again, docs["doc_id"].eqNullSafe(again["_id"]), "left").drop("_id")
-    else:
-        rows = docs.withColumn("_again", none)
+    kept = [c for c in docs.columns if c != "n_entities"]
+    docs = docs.select(*kept)
+    found = durable(mentions(docs))
+    spared = dictionary(found, key).filter("attempt > 0")
+    again = found.join(spared.select("kind", "norm", "attempt"), ["kind", "norm"]).select("doc_id", F.concat_ws("\x1f", "kind", "norm").alias("part"), "attempt").distinct()
+    again = again.groupBy(F.col("doc_id").alias("_id")).agg(F.map_from_entries(F.collect_list(F.struct("part", "attempt"))).alias("_again"))
     text = F.col("text")
-    found = F.when(text.rlike(GATE), F.regexp_extract_all(text, F.lit(ANY), 0))
+    gate = F.coalesce(text.rlike(GATE), F.lit(False))
+    rows = docs.filter(gate).join(again, docs["doc_id"].eqNullSafe(again["_id"]), "left").drop("_id").withColumn("_found", F.regexp_extract_all(text, F.lit(ANY), 0))
     new = F.transform(F.col("_found"), lambda m: _again(key, m, F.col("_again")))
     joined = F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    rows = rows.withColumn("_found", found).withColumns({"text": F.when(F.size("_found") > 0, joined).otherwise(text), "n_entities": F.coalesce(F.size("_found"), F.lit(0))})
-    rows = rows.withColumn("n_entities", F.greatest("n_entities", F.lit(0)))
-    if "n_chars" in kept:
-        rows = rows.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return rows.select(*[c for c in kept if c != "n_entities"], "n_entities")
+    rows = rows.withColumns({"text": F.when(F.size("_found") > 0, joined).otherwise(text), "n_entities": F.size("_found")}).select(*kept, "n_entities")
+    rows = rows.unionByName(docs.filter(~gate).withColumn("n_entities", F.lit(0)))
+    return rows.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in kept else rows
