@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.operators.sketch import long_form
@@ -11,15 +11,24 @@ from kmerloom.operators.sketch import long_form
 FEW = 1_000_000
 
 
-def pairs(reads: DataFrame, refs: DataFrame) -> DataFrame:
-    """(read_id, ref_id, shared) of read and reference sketches with a common hash, by an inverted index of the references.
+def hits(reads: DataFrame, refs: DataFrame) -> DataFrame:
+    """(read_id, ref_id, shared, read_size): pairs with a common hash, by an inverted index of the references; a read without any has one row with a null reference.
 
-    The index is broadcast only when its counted size is small. Otherwise both sides shuffle by hash.
+    Read sketches are made once: their sizes come from the places of the exploded hashes. The index is broadcast only when its
+    counted size is small. Otherwise both sides shuffle by hash.
     """
     index = long_form(refs).select(F.col("id").alias("ref_id"), "hash")
     near = F.broadcast if index.count() <= FEW else lambda df: df
-    hits = long_form(reads).select(F.col("id").alias("read_id"), "hash").join(near(index), "hash")
-    return hits.groupBy("read_id", "ref_id").agg(F.count("*").alias("shared"))
+    long = reads.select(F.col("id").alias("read_id"), F.posexplode_outer("sketch").alias("pos", "hash"))
+    found = long.join(near(index), "hash", "left")
+    return found.groupBy("read_id", "ref_id").agg(F.count("ref_id").alias("shared"), F.max("pos").alias("pos")).select(
+        "read_id", "ref_id", "shared", (F.coalesce(F.max("pos").over(Window.partitionBy("read_id")), F.lit(-1)) + 1).alias("read_size")
+    )
+
+
+def pairs(reads: DataFrame, refs: DataFrame) -> DataFrame:
+    """(read_id, ref_id, shared, read_size) of read and reference sketches with a common hash."""
+    return hits(reads, refs).filter(F.col("ref_id").isNotNull())
 
 
 def pairs_local(reads: DataFrame, refs: DataFrame) -> DataFrame:
@@ -32,11 +41,9 @@ def pairs_local(reads: DataFrame, refs: DataFrame) -> DataFrame:
     return reads.select(F.col("id").alias("read_id"), F.explode(each).alias("p")).select("read_id", "p.ref_id", F.col("p.shared").cast("long").alias("shared")).filter("shared > 0")
 
 
-def with_sizes(p: DataFrame, reads: DataFrame, refs: DataFrame) -> DataFrame:
+def with_sizes(p: DataFrame, refs: DataFrame) -> DataFrame:
     """Pairs with both sketch sizes, Jaccard index and containment of the reference in the read."""
-    left = reads.select(F.col("id").alias("read_id"), F.size("sketch").alias("read_size"))
-    right = refs.select(F.col("id").alias("ref_id"), F.size("sketch").alias("ref_size"))
-    out = p.join(left, "read_id").join(right, "ref_id")
+    out = p.join(refs.select(F.col("id").alias("ref_id"), F.size("sketch").alias("ref_size")), "ref_id")
     return out.withColumns({"jaccard": F.col("shared") / (F.col("read_size") + F.col("ref_size") - F.col("shared")), "containment": F.col("shared") / F.col("ref_size"), "union_size": F.least("read_size", "ref_size")})
 
 
@@ -45,8 +52,8 @@ def inverted_index(refs: DataFrame) -> DataFrame:
     return long_form(refs).groupBy("hash").agg(F.sort_array(F.collect_set("id")).alias("refs"))
 
 
-def verdicts(reads: DataFrame, refs: DataFrame, p: DataFrame, start: int = -1, last_wins: bool = False, min_matches: int = -1, min_diff: int = 0, depth_limit: int | None = None) -> DataFrame:
-    """(read_id, ref_id, shared, sketch_size, diff_prefix, diff_runner_up, fail_depth, fail_matches, fail_diff) for every read.
+def verdicts(refs: DataFrame, p: DataFrame, start: int = -1, last_wins: bool = False, min_matches: int = -1, min_diff: int = 0, depth_limit: int | None = None) -> DataFrame:
+    """(read_id, ref_id, shared, sketch_size, diff_prefix, diff_runner_up, fail_depth, fail_matches, fail_diff) for every read of ``hits``.
 
     ``refs`` has ``ord`` from 0. The best reference is the first (``last_wins``: the last) with the most shared hashes. With ``start``
     -1 a read that shares nothing gets the first reference, with 0 none. ``diff_prefix`` is the best less the most among earlier
@@ -54,24 +61,23 @@ def verdicts(reads: DataFrame, refs: DataFrame, p: DataFrame, start: int = -1, l
     this size fail (``min_matches`` if not given); a best below ``min_matches`` fails; a prefix difference up to ``min_diff`` fails.
     """
     order = refs.select(F.col("id").alias("ref_id"), "ord")
-    listed = p.join(F.broadcast(order) if order.count() <= FEW else order, "ref_id").groupBy("read_id").agg(F.collect_list(F.struct("ord", "shared", "ref_id")).alias("l"))
+    named = p.join(F.broadcast(order) if order.count() <= FEW else order, "ref_id", "left")
+    listed = named.groupBy("read_id").agg(F.max("read_size").alias("sketch_size"), F.collect_list(F.when(F.col("ref_id").isNotNull(), F.struct("ord", "shared", "ref_id"))).alias("l"))
     l = F.col("l")  # noqa: E741
     most = F.array_max(F.transform(l, lambda x: x["shared"]))
     ends = F.transform(F.filter(l, lambda x: x["shared"] == F.col("best")), lambda x: F.struct(x["ord"].alias("ord"), x["ref_id"].alias("ref_id")))
     top = listed.withColumn("best", most).withColumn("at", F.array_max(ends) if last_wins else F.array_min(ends))
     earlier = F.coalesce(F.array_max(F.transform(F.filter(l, lambda x: x["ord"] < F.col("at.ord")), lambda x: x["shared"])), F.lit(0))
     rest = F.coalesce(F.array_max(F.transform(F.filter(l, lambda x: x["ord"] != F.col("at.ord")), lambda x: x["shared"])), F.lit(0))
-    top = top.select("read_id", F.col("at.ref_id").alias("hit"), F.col("best"), F.when(F.col("at.ord") == 0, F.lit(start)).otherwise(F.greatest(F.lit(start), earlier)).alias("prev"), rest.alias("second"))
+    top = top.select("read_id", "sketch_size", F.col("at.ref_id").alias("hit"), F.col("best"), F.when(F.col("at.ord") == 0, F.lit(start)).when(F.col("at.ord") > 0, F.greatest(F.lit(start), earlier)).alias("prev"), rest.alias("second"))
     first = refs.agg((F.max_by if last_wins else F.min_by)("id", "ord").alias("first_id"))
-    sized = reads.select(F.col("id").alias("read_id"), F.size("sketch").alias("sketch_size"))
-    all_reads = sized.join(top, "read_id", "left")
     zero: Column = F.lit(None)
     if start < 0:
         zero = F.lit(first.first().first_id)
     best = F.coalesce("best", F.lit(0))
     diff = F.coalesce(F.col("best") - F.col("prev"), F.lit(0 - start)).cast("long")
     limit = min_matches if depth_limit is None else depth_limit
-    return all_reads.select(
+    return top.select(
         "read_id", F.coalesce("hit", zero).alias("ref_id"), best.cast("long").alias("shared"), "sketch_size", diff.alias("diff_prefix"), (best - F.coalesce("second", F.lit(0))).cast("long").alias("diff_runner_up"),
         (F.col("sketch_size") <= limit).alias("fail_depth"), (best < min_matches).alias("fail_matches"), (diff <= min_diff).alias("fail_diff"),
     )

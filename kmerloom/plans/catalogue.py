@@ -125,7 +125,8 @@ def kmer_hashes(spark, d):
 
 @query(f"WITH {RD}, {HRD} SELECT id, string_agg(hash, ',' ORDER BY hash) AS sketch FROM (SELECT * FROM hrd {BOTTOM}) GROUP BY id")
 def minhash_sketch(spark, d):
-    return S.sketches(reads(spark, d), [KMER], SIZE).filter(F.size("sketch") > 0).select("id", F.array_join("sketch", ",").alias("sketch"))
+    long = reads(spark, d).filter(F.length("seq") >= KMER)  # on the text, so that the sketch isn't made again for a filter
+    return S.sketches(long, [KMER], SIZE).select("id", F.array_join("sketch", ",").alias("sketch"))
 
 
 @query(f"WITH {RD}, {HRD} SELECT hash, sum(n)::BIGINT AS depth FROM hrd GROUP BY hash")
@@ -160,12 +161,12 @@ def inverted_index(spark, d):
 
 def _pairs(spark, d):
     a, b = S.sketches(reads(spark, d), [KMER], SIZE), S.sketches(refs(spark, d), [KMER], SIZE)
-    return a, b, O.pairs(a, b)
+    return b, O.pairs(a, b)
 
 
 @query(f"{BASE} SELECT read_id, ref_id, shared::BIGINT AS shared FROM pairs")
 def pair_overlap(spark, d):
-    return _pairs(spark, d)[2]
+    return _pairs(spark, d)[1].drop("read_size")
 
 
 @query(f"{BASE} SELECT read_id, ref_id, shared::BIGINT AS shared FROM pairs")
@@ -178,15 +179,15 @@ _SIZES = "JOIN (SELECT id AS read_id, count(*) AS a FROM srd GROUP BY ALL) USING
 
 @query(f"{BASE} SELECT read_id, ref_id, round(shared / (a + b - shared), 6) AS jaccard, least(a, b)::BIGINT AS union_size FROM pairs {_SIZES}")
 def pair_jaccard(spark, d):
-    a, b, p = _pairs(spark, d)
-    return O.with_sizes(p, a, b).select("read_id", "ref_id", F.round("jaccard", 6).alias("jaccard"), F.col("union_size").cast("long").alias("union_size"))
+    b, p = _pairs(spark, d)
+    return O.with_sizes(p, b).select("read_id", "ref_id", F.round("jaccard", 6).alias("jaccard"), F.col("union_size").cast("long").alias("union_size"))
 
 
 @query(f"WITH {RD}, {RF}, {HRD}, {HRF} SELECT a.id AS read_id, b.id AS ref_id, round(count(*) / any_value(m), 6) AS containment FROM hrd a JOIN hrf b USING (hash) JOIN (SELECT id, count(*) AS m FROM hrf GROUP BY id) c ON c.id = b.id GROUP BY a.id, b.id")
 def pair_containment(spark, d):
     """Full hash sets, so that a passage within a long document is found."""
     a, b = S.sketches(reads(spark, d), [KMER], None), S.sketches(refs(spark, d), [KMER], None)
-    return O.with_sizes(O.pairs(a, b), a, b).select("read_id", "ref_id", F.round("containment", 6).alias("containment"))
+    return O.with_sizes(O.pairs(a, b), b).select("read_id", "ref_id", F.round("containment", 6).alias("containment"))
 
 
 def _verdict_sql(srd: str, srf: str, start: int, n: int, diff: int, depth: int, ctes: str, last: bool = False) -> str:
@@ -489,7 +490,7 @@ PAGES = "rp AS (SELECT page_id AS id, lower(html) AS seq FROM pages)"
 @query(f"WITH {PAGES}, hp AS (SELECT DISTINCT id, {H} AS hash FROM ({_kmers('rp')})), hc AS (SELECT id, hash FROM hp WHERE hash IN (SELECT hash FROM hp GROUP BY hash HAVING count(*) <= 50)), sp AS (SELECT * FROM hc QUALIFY row_number() OVER (PARTITION BY id ORDER BY hash) <= 200), p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM sp a JOIN sp b ON a.hash = b.hash AND a.id < b.id GROUP BY ALL HAVING count(*) >= 150) SELECT a, b, shared::BIGINT AS shared FROM p")
 def page_near_dup(spark, d):
     """Pages whose sketches of 200 hashes share 150 or more; hashes that over 50 pages hold (boilerplate) take no part, which bounds the join."""
-    sk = S.max_samples_sketches(table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lower("html").alias("seq")), [KMER], 200, 50)
+    sk = S.durable(S.max_samples_sketches(table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lower("html").alias("seq")), [KMER], 200, 50))
     return O.pairs(sk, sk).filter((F.col("read_id") < F.col("ref_id")) & (F.col("shared") >= 150)).select(F.col("read_id").alias("a"), F.col("ref_id").alias("b"), "shared")
 
 

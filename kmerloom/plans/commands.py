@@ -18,7 +18,7 @@ def classify(reads: DataFrame, refs: DataFrame, ks: list[int], s: int | None = 1
     ref_sk = S.max_samples_sketches(refs, ks, s, max_samples, name) if max_samples else S.sketches(refs, ks, s, name)
     read_sk = S.masked_sketches(reads, ks, s, min_depth, name) if min_depth else S.sketches(reads, ks, s, name)
     ref_sk = ref_sk.join(refs.select("id", "ord"), "id")
-    return O.verdicts(read_sk, ref_sk, O.pairs(read_sk, ref_sk), start, min_matches=min_matches, min_diff=min_diff, **options)
+    return O.verdicts(ref_sk, O.hits(read_sk, ref_sk), start, min_matches=min_matches, min_diff=min_diff, **options)
 
 
 def filter_reads(reads: DataFrame, refs: DataFrame, ks: list[int], s: int | None = 1000, inverse: bool = False, **options) -> DataFrame:

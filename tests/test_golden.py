@@ -37,9 +37,9 @@ def test_overlap_and_depth(spark):
     want = {(10, 0): 1, (10, 1): 5, (12, 0): 4, (12, 1): 1}
     for pairs in (O.pairs, O.pairs_local):
         assert {(r.read_id, r.ref_id): r.shared for r in pairs(a, b).collect()} == want
-    v = {r.read_id: (r.ref_id, r.shared, r.diff_prefix, r.diff_runner_up) for r in O.verdicts(a, b.join(refs.select("id", "ord"), "id"), O.pairs(a, b)).collect()}
+    v = {r.read_id: (r.ref_id, r.shared, r.diff_prefix, r.diff_runner_up) for r in O.verdicts(b.join(refs.select("id", "ord"), "id"), O.hits(a, b)).collect()}
     assert v == {10: (1, 5, 4, 4), 11: (0, 0, 1, 0), 12: (0, 4, 5, 3)}
-    f = {r.read_id: (r.ref_id, r.shared, r.diff_prefix) for r in O.verdicts(a, b.join(refs.select("id", "ord"), "id"), O.pairs(a, b), start=0).collect()}
+    f = {r.read_id: (r.ref_id, r.shared, r.diff_prefix) for r in O.verdicts(b.join(refs.select("id", "ord"), "id"), O.hits(a, b), start=0).collect()}
     assert f == {10: (1, 5, 4), 11: (None, 0, 0), 12: (0, 4, 4)}
     depth = {r.hash: r.depth for r in S.depth(seqs(spark, READS), [4]).collect()}
     named = {r.k: r.h for r in spark.createDataFrame([("ACGT",), ("TTTT",), ("TGCA",)], "k string").select("k", K.kmer_hash(F.col("k")).alias("h")).collect()}

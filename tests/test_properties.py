@@ -44,11 +44,11 @@ def test_strand_invariance_and_merge(spark):
 def test_prefix_difference_equals_loop(spark):
     rng = random.Random(2)
     vectors = [[rng.choice([0, 0, 1, 2, 3, 3]) for _ in range(5)] for _ in range(80)]
-    reads = spark.createDataFrame([(i, ["x"]) for i in range(80)], "id long, sketch array<string>")
     refs = spark.createDataFrame([(100 + j, j, ["x"]) for j in range(5)], "id long, ord int, sketch array<string>")
-    pairs = spark.createDataFrame([(i, 100 + j, n) for i, v in enumerate(vectors) for j, n in enumerate(v) if n], "read_id long, ref_id long, shared long")
+    rows = [(i, 100 + j, n, 9) for i, v in enumerate(vectors) for j, n in enumerate(v) if n] + [(i, None, 0, 9) for i, v in enumerate(vectors) if not any(v)]
+    hits = spark.createDataFrame(rows, "read_id long, ref_id long, shared long, read_size int")
     for start in (-1, 0):
-        got = {r.read_id: (r.ref_id, r.diff_prefix) for r in O.verdicts(reads, refs, pairs, start).collect()}
+        got = {r.read_id: (r.ref_id, r.diff_prefix) for r in O.verdicts(refs, hits, start).collect()}
         for i, v in enumerate(vectors):
             best, at, diff = start, None, 0
             for j, n in enumerate(v):
