@@ -57,13 +57,14 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple, float],
     The total is ``fraction`` of all tokens. A leaf gives whole epochs while its budget lasts, then the prefix of the next epoch, in
     that epoch's seeded order, whose documents begin before the budget's end. Hot leaves: order hashes are summed in 4096
     buckets a leaf before any shuffle; buckets before the cut are taken, those after it are left, and only the cut's bucket
-    is ordered. Null level values are the empty name, null text has no tokens (its rows go with the prefix); rows of one id keep one place in order. An
-    empty table gives an empty one.
+    is ordered. Null level values are the empty name, null text has no tokens (its rows go with the prefix); rows of one id keep one place in order. Columns
+    of the added names are replaced, all others stay. An empty table gives an empty one.
     """
     names = {f"mix_{k}": F.coalesce(c.cast("string"), F.lit("")) for k, c in levels.items()}
     keys = list(names)
     docs = docs.drop("epoch", "tokens", *keys)
-    sized = docs.withColumns({**names, "tokens": tokens(F.col("text"))})
+    # the whole row travels as one struct, so that no column of it meets a name used here
+    sized = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", *(c.alias(k) for k, c in names.items()), tokens(F.col("text")).alias("tokens"))
     narrow = durable(sized.select("doc_id", *keys, "tokens"))
     leaves = durable(narrow.groupBy(*keys).agg(F.sum("tokens").alias("t")))
     n_leaves, all_tokens = leaves.agg(F.count("*"), F.sum("t")).first()
@@ -92,4 +93,4 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple, float],
     match = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys] + [F.col("l.doc_id").eqNullSafe(F.col("r.last_id"))]
     inside = full.filter(at_cut).alias("l").join(last.alias("r"), reduce(Column.__and__, match), "left").select("l.*", F.coalesce("r.last", F.lit(False)).alias("in_part"))
     chosen = outside.unionByName(inside).withColumn("times", F.col("whole") + F.col("in_part").cast("int")).filter("times > 0")
-    return chosen.select(*docs.columns, *keys, "tokens", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"))
+    return chosen.select("row.*", *keys, "tokens", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"))

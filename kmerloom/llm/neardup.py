@@ -57,13 +57,13 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     Texts are read once; from there on only 16 bytes a document move. Equal fingerprints fold into one point (pre-aggregated, so a
     hot group of copies is one row), points meet in buckets and tiles (hamming.py), every bucket returns a spanning forest, and
     components.py joins the forests. Null text counts as empty (fingerprint zero, linked like any other); a null doc_id keeps its
-    row, with a null component, and links nothing; repeated doc_ids keep their rows. Other columns are ignored.
+    row, with a null component, and links nothing; rows of one doc_id are one document
+    and share a component. Other columns are ignored; an empty table gives an empty one.
     """
     assert 0 <= radius <= 3, "the screen for small buckets is set for a radius of at most 3"
     prints = durable(fingerprints(docs, width))
     points = durable(prints.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("id")))
     edges = hamming.in_buckets(points, radius, points.count(), hamming.forest(radius), "u long,v long")
-    # one doc_id may stand for several fingerprints (repeated ids): points are told apart by fp, components by id
     roots = components(edges)
     named = points.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     out = prints.join(named, "fp", "left")

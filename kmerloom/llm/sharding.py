@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
@@ -20,40 +21,39 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def shuffle_rows(docs: DataFrame, seed: int = 1, bucket_bytes: int = 32 << 20) -> DataFrame:
-    """``docs`` with ``shuffle_position``: a seeded uniform order, 0 to n-1 without gaps.
+    """(row struct, size, position): every row of ``docs`` with its place in a seeded uniform order, 0 to n-1 without gaps.
 
     Pass 1 scatters rows by a hash of seed, doc_id and text into buckets of about ``bucket_bytes``; pass 2 sorts each bucket into a
     fixed order, shuffles it in memory and numbers it from the bucket's start. The order depends on rows, seed and bucket
     count alone, so a lost task gives the same rows again. Rows equal in id and text are one another's copies and share a bucket.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
-    spark = docs.sparkSession
     total = docs.agg(F.sum(size)).first()[0] or 0
-    buckets = max(-(-total // bucket_bytes), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(-(-total // bucket_bytes), 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.coalesce("text", F.lit(""))))
-    dealt = docs.withColumns({"_size": size, "_key": key}).withColumn("_bucket", F.pmod("_key", F.lit(buckets)))
-    starts = dealt.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_start"))
+    dealt = docs.select(F.struct(*docs.columns).alias("row"), size.alias("size"), key.alias("key"), F.pmod(key, F.lit(buckets)).alias("bucket"))
+    starts = dealt.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))
 
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_key", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
-        order = fisher_yates(table.num_rows, np.random.default_rng([seed, table["_bucket"][0].as_py()]))
-        return table.take(pa.array(order)).append_column("_place", pa.array(np.arange(table.num_rows)))
+        fixed = pa.table({"key": table["key"], "doc_id": pc.struct_field(table["row"], "doc_id"), "text": pc.struct_field(table["row"], "text")})
+        order = pc.sort_indices(fixed, sort_keys=[(c, "ascending") for c in fixed.column_names])
+        shuffled = fisher_yates(table.num_rows, np.random.default_rng([seed, table["bucket"][0].as_py()]))
+        return table.take(order.take(pa.array(shuffled))).append_column("place", pa.array(np.arange(table.num_rows)))
 
-    schema = StructType([*dealt.schema.fields]).add("_place", LongType())
-    placed = dealt.groupBy("_bucket").applyInArrow(one, schema)
+    schema = StructType([*dealt.schema.fields]).add("place", LongType())
+    placed = dealt.groupBy("bucket").applyInArrow(one, schema)
     starts = F.broadcast(starts) if buckets <= 1 << 20 else starts  # one row a bucket
-    return placed.join(starts, "_bucket").select(*docs.columns, F.col("_size").alias("shuffle_size"), (F.col("_start") + F.col("_place")).alias("shuffle_position"))
+    return placed.join(starts, "bucket").select("row", "size", (F.col("start") + F.col("place")).alias("position"))
 
 
 def shards(docs: DataFrame, n: int = 40, seed: int = 1, bucket_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` with ``size`` (UTF-8 bytes plus 16), ``shard`` and ``slot``: position p goes to shard p mod n, slot p div n, so counts differ by one at most.
 
     Null texts count as empty; null and repeated ids keep their rows; an empty table gives an empty one. Columns of these names in
-    ``docs`` are replaced.
+    ``docs`` are replaced, all others stay.
     """
-    docs = docs.drop("size", "shard", "slot", "shuffle_size", "shuffle_position", "_bucket", "_key", "_size", "_place", "_n", "_start")
-    done = shuffle_rows(docs, seed, bucket_bytes)
-    return done.select(*docs.columns, F.col("shuffle_size").alias("size"), (F.col("shuffle_position") % n).cast("int").alias("shard"), F.floor(F.col("shuffle_position") / n).cast("long").alias("slot"))
+    done = shuffle_rows(docs.drop("size", "shard", "slot"), seed, bucket_bytes)
+    return done.select("row.*", "size", (F.col("position") % n).cast("int").alias("shard"), F.floor(F.col("position") / n).cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -221,8 +221,7 @@ def train(sample: list[tuple[str, int]], chunk: int = 32, plain_every: int = 16,
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
         w = theta[5:]
-        score = np.full((len(chunks), chunk), theta[0])
-        np.add.at(score, (at_row, at_col), w[at_f])
+        score = theta[0] + np.bincount(at_row * chunk + at_col, w[at_f], len(chunks) * chunk).reshape(len(chunks), chunk)
         p, moves, _ = _expected(score, length, theta[1:5].reshape(2, 2))
         off = (tag - p) * weight[:, None]
         g = np.concatenate([[off.sum()], ((seen - moves) * weight[:, None, None]).sum(0).ravel(), np.bincount(at_f, off[at_row, at_col], len(index))])
