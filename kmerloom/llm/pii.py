@@ -28,8 +28,8 @@ _titles = "|".join(t for ts in TITLES.values() for t in ts)
 _given = "|".join(n for (_, g), ns in GIVEN.items() if g != "n" for n in ns)
 #: Kinds in order of precedence at one place; each pattern stands by itself.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
-    "secret": r"(?<=(?:token|secret|passwd|password|api_key|apikey|TOKEN|SECRET|PASSWORD|API_KEY|Token|Secret|Password)\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{6,200}|(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z\-]{20,})(?![\p{L}\p{N}])",
+    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
+    "secret": r"(?<=[\"'])(?<=(?:token|secret|passwd|password|api_key|apikey|TOKEN|SECRET|PASSWORD|API_KEY|Token|Secret|Password)\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{6,200}|(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z\-]{20,})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
     "card": r"(?<![\p{L}\p{N}.\-])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
