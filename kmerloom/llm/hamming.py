@@ -51,6 +51,7 @@ def in_buckets(points: DataFrame, radius: int, n: int, work: Callable[[np.ndarra
     ``sides`` per row: 0 for the left tile, 1 for the right tile, 2 when bucket or tile is compared with itself. Each pair within
     the radius meets in each table it agrees in, exactly once there.
     """
+    assert 0 <= radius <= WIDEST
     blocks, agree = plan_blocks(n, radius)
     keyed = points.select("fp", "id", F.explode(table_keys(F.col("fp"), blocks, agree)).alias("k")).select("k.t", "k.key", F.bit_count("fp").alias("pop"), "fp", "id")
     sizes = keyed.groupBy("t", "key", "pop").agg(F.count("*").alias("m"))
@@ -81,11 +82,10 @@ def _groups(batches: Iterator[pa.RecordBatch], work: Callable, fields: list[tupl
         return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
     def flush(cols: list[np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        out, begin = [], 0
-        fps, ids, side, table = cols[7].view(np.uint64), cols[8], cols[6], cols[0]
-        for end in _linked_groups(fps, ends):
-            out += work(int(table[end[0]]), fps[end[0] : end[1]], ids[end[0] : end[1]], side[end[0] : end[1]])
-        del begin
+        out: list[tuple] = []
+        table, side, fps, ids = cols[0], cols[6], cols[7].view(np.uint64), cols[8]
+        for a, b in _linked_groups(fps, ends):
+            out += work(int(table[a]), fps[a:b], ids[a:b], side[a:b])
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*out), fields)], names=[f for f, _ in fields])
 
@@ -107,9 +107,8 @@ def _groups(batches: Iterator[pa.RecordBatch], work: Callable, fields: list[tupl
         yield from flush(held, np.array([len(held[0])]))
 
 
-#: Groups up to this size are screened together, by comparing rows at every distance in the sorted stream.
-SMALL = 48
-_RADIUS = 3
+#: Groups up to this size are screened together, by comparing rows at every distance in the sorted stream, for pairs within the largest radius in use.
+SMALL, WIDEST = 48, 3
 
 
 def _linked_groups(fps: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -122,7 +121,7 @@ def _linked_groups(fps: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int
     f, g = fps[small], group[small]
     for d in range(1, min(SMALL, int(sizes[~hit].max(initial=1)))):
         same = np.flatnonzero(g[d:] == g[:-d])
-        near = same[np.bitwise_count(f[same + d] ^ f[same]) <= _RADIUS]
+        near = same[np.bitwise_count(f[same + d] ^ f[same]) <= WIDEST]
         hit[g[near]] = True
     for i in np.flatnonzero(hit):
         yield int(begins[i]), int(ends[i])

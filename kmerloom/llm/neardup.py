@@ -60,7 +60,6 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     row, with a null component, and links nothing; rows of one doc_id are one document
     and share a component. Other columns are ignored; an empty table gives an empty one.
     """
-    assert 0 <= radius <= 3, "the screen for small buckets is set for a radius of at most 3"
     prints = durable(fingerprints(docs, width))
     points = durable(prints.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("id")))
     edges = hamming.in_buckets(points, radius, points.count(), hamming.forest(radius), "u long,v long")
