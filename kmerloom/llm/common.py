@@ -28,16 +28,28 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Python work takes an Arrow batch in slices of about this size, so that what it makes of one slice is gone before the next.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in row slices of about SLICE_BYTES, one row at least."""
+    step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
 def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches as column lists; ``rows`` is called for each batch on its own."""
+    """``mapInArrow`` over slices of batches as column lists; ``rows`` is called for each slice on its own."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = rows(batch.to_pydict())
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+            for part in slices(batch):
+                out = rows(part.to_pydict())
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

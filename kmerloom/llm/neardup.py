@@ -12,24 +12,22 @@ from kmerloom.llm.common import arrow_map, durable
 from kmerloom.llm.components import components
 
 
-def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> list[int]:
+def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
     """XXH64 of each shingle: A-Z lower-cased, words cut at ASCII white space, repeats included; a shorter text is one shingle."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z change, and only x20 and x09-x0D cut
-    if not words:
-        return []
-    if len(words) <= width:
-        return [xxh64_intdigest(b" ".join(words), seed)]
-    return [xxh64_intdigest(s, seed) for s in map(b" ".join, zip(*(words[i:] for i in range(width))))]
+    n = max(len(words) - width + 1, min(1, len(words)))
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)] * n
+    return np.fromiter((xxh64_intdigest(s, seed) for s in shingles), np.uint64, n)
 
 
-def majority(hashes: list[list[int]], at_once: int = 100_000) -> np.ndarray:
+def majority(hashes: list[np.ndarray], at_once: int = 100_000) -> np.ndarray:
     """Fingerprints: a bit is 1 if it is set in over half of the text's hashes; no hash, fingerprint zero."""
     out, sizes = np.zeros(len(hashes), np.uint64), np.fromiter(map(len, hashes), np.int64, len(hashes))
     full, begin = np.flatnonzero(sizes), 0
     while begin < len(full):
         end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[full[begin:]]), at_once)))
         rows = full[begin:end]
-        flat = np.concatenate([np.array(hashes[i], np.uint64) for i in rows])
+        flat = np.concatenate([hashes[i] for i in rows])
         sums = np.zeros((len(rows), 64), np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]])
         for lane in range(8):  # bit 8 b + lane of each byte b

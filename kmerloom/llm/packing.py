@@ -8,6 +8,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import durable
+from kmerloom.llm.common import durable, slices
 
 #: Characters on which both tokenizer libraries agree about letters, digits and white space.
 SHARED = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*")
@@ -29,7 +30,7 @@ def encoder(json_path: str, ranks_path: str) -> Callable[[str], list[int]]:
     import tiktoken
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(json_path)
+    own: list[Tokenizer] = []  # read when the first text needs it
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -37,7 +38,9 @@ def encoder(json_path: str, ranks_path: str) -> Callable[[str], list[int]]:
     def encode(text: str) -> list[int]:
         if SHARED.fullmatch(text) and "<|" not in text:
             return fast.encode_ordinary(text)
-        return own.encode(text, add_special_tokens=False).ids
+        if not own:
+            own.append(Tokenizer.from_file(json_path))
+        return own[0].encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -94,7 +97,7 @@ def _pack(batches: Iterator[pa.RecordBatch], encode: tuple[str, str], size: int,
         return out
 
     packer, ids_of = Packer(size, width, close), encoder(*encode)
-    for batch in batches:
+    for batch in chain.from_iterable(map(slices, batches)):
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids = np.array([*ids_of(text or ""), end_id], "<u4")
             for at in range(0, len(ids), size):

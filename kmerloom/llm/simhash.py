@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from kmerloom.llm import hamming
-from kmerloom.llm.common import durable
+from kmerloom.llm.common import durable, slices
 
 #: Mixes two word hashes to one term hash (odd 64-bit constants: the golden ratio and a Weyl increment).
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -77,7 +78,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names=names)
 
     last: tuple | None = None
-    for batch in batches:
+    for batch in chain.from_iterable(map(slices, batches)):
         out = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             fp = fingerprint(text)

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import arrow_map, labelled_sample
+from kmerloom.llm.common import arrow_map, labelled_sample, slices
 from kmerloom.llm.quality import newton
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -262,7 +263,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, cut: float = 0.5, **options)
     model = train(labelled_sample(docs, labels, "toxic", options.get("modulus", 5), options.get("held_out", 0), options.get("sample", 6000), "toxic"))
 
     def toxic(batches):
-        for b in batches:
+        for b in chain.from_iterable(map(slices, batches)):
             text = b.column(b.schema.get_field_index("text")).to_pylist()
             x = np.array([model.read(t or "")[0] for t in text]).reshape(len(text), 5)
             yield b.filter(pa.array(model.score(x) < cut))
