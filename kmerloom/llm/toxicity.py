@@ -26,23 +26,28 @@ def token_features(word: str) -> list[str]:
 
 def useful_features(words: list[list[str]], y: np.ndarray, least_docs: int = 3, least_lift: float = 6.0) -> dict[str, float]:
     """Log lift of features whose rate a token in toxic texts is ``least_lift`` times that in the others, seen in ``least_docs`` toxic texts."""
-    rate, docs = (Counter(), Counter()), Counter()
     total = [1, 1]
     for ws, label in zip(words, y):
         total[label] += len(ws)
+    rate, docs = (Counter(), Counter()), Counter()
+    for ws in (ws for ws, label in zip(words, y) if label):
         here: Counter = Counter()
         for w, k in Counter(ws).items():
             for f in token_features(w):
                 here[f] += k
-        rate[label].update(here)
-        if label:
-            docs.update(here.keys())
+        rate[1].update(here)
+        docs.update(here.keys())
+    docs = Counter({f: k for f, k in docs.items() if k >= least_docs})  # the others' counts aren't needed
+    for ws in (ws for ws, label in zip(words, y) if not label):
+        for w, k in Counter(ws).items():
+            for f in token_features(w):
+                if f in docs:
+                    rate[0][f] += k
     out = {}
-    for f, k in docs.items():
-        if k >= least_docs:
-            lift = ((rate[1][f] + 0.1) / total[1]) / ((rate[0][f] + 0.5) / total[0])
-            if lift >= least_lift:
-                out[f] = float(np.log(lift))
+    for f in docs:
+        lift = ((rate[1][f] + 0.1) / total[1]) / ((rate[0][f] + 0.5) / total[0])
+        if lift >= least_lift:
+            out[f] = float(np.log(lift))
     return out
 
 
@@ -167,7 +172,7 @@ def _expected(score: np.ndarray, length: np.ndarray, move: np.ndarray) -> tuple[
     return p, moves, z
 
 
-def train(sample: list[tuple[str, int]], chunk: int = 32, plain_every: int = 16, rounds: int = 120, seed: int = 3) -> Field:
+def train(sample: list[tuple[str, int]], chunk: int = 32, plain_every: int = 16, rounds: int = 120, at_once: int = 4096) -> Field:
     """Token labels come from the documents' labels: in a toxic text, a token whose best feature has a high lift is toxic, all others are clean.
 
     The field is fitted on chunks of ``chunk`` tokens by gradient ascent (Adam) on the conditional likelihood with a ridge: all chunks
@@ -175,7 +180,8 @@ def train(sample: list[tuple[str, int]], chunk: int = 32, plain_every: int = 16,
     Without toxic or clean texts every score is near the only kind seen (0.5 without any).
     """
     y = np.array([v for _, v in sample], int)
-    words = [WORD.findall(t.lower()) for t, _ in sample]
+    known_words: dict[str, str] = {}
+    words = [[known_words.setdefault(w, w) for w in WORD.findall(t.lower())] for t, _ in sample]  # one string a word
     lifts = useful_features(words, y) if len(set(y.tolist())) == 2 else {}
     empty = Field(-4.0, {}, np.zeros((2, 2)), frozenset(), np.zeros(5))
     if not lifts:
@@ -184,6 +190,7 @@ def train(sample: list[tuple[str, int]], chunk: int = 32, plain_every: int = 16,
         return empty
     index = {f: i for i, f in enumerate(sorted(lifts))}
     strong = float(np.log(12))
+    plain_word: tuple[list[int], float] = ([], 0.0)
     cache: dict[str, tuple[list[int], float]] = {}
     chunks: list[tuple[list[list[int]], list[int], float]] = []
     plain = 0
@@ -192,7 +199,7 @@ def train(sample: list[tuple[str, int]], chunk: int = 32, plain_every: int = 16,
         for w in ws:
             if w not in cache:
                 fs = [f for f in token_features(w) if f in index]
-                cache[w] = ([index[f] for f in fs], max((lifts[f] for f in fs), default=0.0))
+                cache[w] = ([index[f] for f in fs], max(lifts[f] for f in fs)) if fs else plain_word
             ids, lift = cache[w]
             rows.append(ids)
             tags.append(int(label and lift >= strong))
@@ -223,7 +230,8 @@ def train(sample: list[tuple[str, int]], chunk: int = 32, plain_every: int = 16,
     for step in range(1, rounds + 1):
         w = theta[5:]
         score = theta[0] + np.bincount(at_row * chunk + at_col, w[at_f], len(chunks) * chunk).reshape(len(chunks), chunk)
-        p, moves, _ = _expected(score, length, theta[1:5].reshape(2, 2))
+        blocks = [_expected(score[i : i + at_once], length[i : i + at_once], theta[1:5].reshape(2, 2)) for i in range(0, len(chunks), at_once)]
+        p, moves = (np.concatenate([b[k] for b in blocks]) for k in (0, 1))
         off = (tag - p) * weight[:, None]
         g = np.concatenate([[off.sum()], ((seen - moves) * weight[:, None, None]).sum(0).ravel(), np.bincount(at_f, off[at_row, at_col], len(index))])
         g = g - 0.5 * theta
