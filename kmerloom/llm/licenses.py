@@ -45,19 +45,21 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(text: list[str], template: list[str], where: dict[str, list[int]], a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
+def align(text: list[str], template: list[str], where: dict[str, list[int]], a: int, b: int, c: int, d: int, after: bool = False, before: bool = False) -> list[tuple[int, int]]:
     """Matched (template place, text place) of template[a:b] and text[c:d].
 
-    Anchors are words that occur once in both ranges; the longest rising run of them splits the ranges and each gap is aligned
+    A range that begins right ``after`` a match, or ends right ``before`` one, first goes on from it word by word; a range that
+    begins or ends elsewhere doesn't, since a stray word there would take the place of the notice's own. Then, anchors are words that occur once in both ranges; the longest rising run of them splits the ranges and each gap is aligned
     in turn. Where no word is unique in the text range, the template word with the fewest places there is tried at each of them
-    within the stretch up to its neighbours' places, and the best stretch counts (a notice may be repeated).
+    within the stretch up to its neighbours' places, and the stretch with the most words close together counts (a notice may be
+    repeated). So a notice that stands in the text word for word is always matched in full.
     """
     found: list[tuple[int, int]] = []
-    while a < b and c < d and template[a] == text[c]:
+    while after and a < b and c < d and template[a] == text[c]:
         found.append((a, c))
         a, c = a + 1, c + 1
     closing: list[tuple[int, int]] = []
-    while a < b and c < d and template[b - 1] == text[d - 1]:
+    while before and a < b and c < d and template[b - 1] == text[d - 1]:
         b, d = b - 1, d - 1
         closing.append((b, d))
     if a < b and c < d:
@@ -76,18 +78,19 @@ def align(text: list[str], template: list[str], where: dict[str, list[int]], a:
         if anchors:
             at = (a, c)
             for i, j in [*anchors, (b, d)]:
-                found += align(text, template, where, at[0], i, at[1], j)
+                found += align(text, template, where, at[0], i, at[1], j, after or at[0] > a, before or i < b)
                 if i < b:
                     found.append((i, j))
                 at = (i + 1, j + 1)
         elif spots:
             i, lo, hi, p = min(spots, key=lambda s: s[2] - s[1])
-            best: list[tuple[int, int]] = []
+            best, most = [], 0
             for k in range(lo, hi):
                 left, right = (p[k - 1] + 1 if k > lo else c), (p[k + 1] if k + 1 < hi else d)
-                one = [*align(text, template, where, a, i, left, p[k]), (i, p[k]), *align(text, template, where, i + 1, b, p[k] + 1, right)]
-                if len(one) > len(best):
-                    best = one
+                one = [*align(text, template, where, a, i, left, p[k], after and left == c, True), (i, p[k]), *align(text, template, where, i + 1, b, p[k] + 1, right, True, before and right == d)]
+                close = len(dense(one, b - a))
+                if close > most:
+                    best, most = one, close
             found += best
     return found + closing[::-1]
 

@@ -28,6 +28,21 @@ def test_scan(spark):
     assert texts[0][got[0].begin : got[0].end] == t["GPL-3.0"].rstrip(".") and got[0].coverage == 1.0 and 0.9 < got[5].coverage < 1
 
 
+def test_whole_notices_among_stray_words():
+    """A notice that stands in the text word for word is found in full, whatever words of templates stand before and after it."""
+    rng = random.Random(3)
+    templates = {k: [m.group().lower() for m in licenses.WORD.finditer(v)] for k, v in licenses.TEMPLATES.items()}
+    vocabulary = frozenset(w for t in templates.values() for w in t)
+    some = sorted(vocabulary) + ["lorem", "ipsum", "dolor"] * 40
+    for _ in range(300):
+        name = rng.choice(list(templates))
+        own = templates[name] + ["amet"] * 20
+        stray = lambda: rng.choices(rng.choice([some, own]), k=rng.randint(0, 120))
+        words = [*stray(), *templates[name], *stray()]
+        got = {g[0]: g for g in licenses.scan_text(" ".join(words), templates, vocabulary)}
+        assert got[name][1] == 1.0, " ".join(words)
+
+
 def test_odd_rows(spark):
     docs = odd(spark)
     got = licenses.license_scan(docs).collect()
