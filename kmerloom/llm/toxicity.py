@@ -20,6 +20,12 @@ WORD = re.compile(r"[^\W\d_]+")
 STEMS = (3, 4, 5, 6, 7)
 
 
+def lowered(text: str) -> str:
+    """Lower case, character by character where a letter's lower case is longer, so that offsets stay those of ``text``."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
 def token_features(word: str) -> list[str]:
     return [f"={word}", *(word[:n] for n in STEMS if len(word) >= n)]
 
@@ -101,7 +107,8 @@ class Field:
 
     def read(self, text: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
         """Document features and the character spans of tokens more likely toxic than not (neighbouring ones join)."""
-        words = WORD.findall(text.lower())
+        low = lowered(text)
+        words = WORD.findall(low)
         flagged = {}
         for w in set(words):
             if w[:3] in self.known or f"={w}" in self.known:
@@ -115,9 +122,9 @@ class Field:
         p = self.marginals(n, spots)
         toxic = {i for (i, _), x in zip(spots, p) if x > 0.5}
         spans: list[tuple[int, int]] = []
-        if toxic:  # on the lower-cased text, which has the same offsets but for a few letters such as dotted capital I
+        if toxic:
             previous = -2
-            for i, m in enumerate(WORD.finditer(text.lower())):
+            for i, m in enumerate(WORD.finditer(low)):
                 if i in toxic:
                     if previous == i - 1:
                         spans[-1] = (spans[-1][0], m.end())
@@ -181,7 +188,7 @@ def train(sample: list[tuple[str, int]], chunk: int = 32, plain_every: int = 16,
     """
     y = np.array([v for _, v in sample], int)
     known_words: dict[str, str] = {}
-    words = [[known_words.setdefault(w, w) for w in WORD.findall(t.lower())] for t, _ in sample]  # one string a word
+    words = [[known_words.setdefault(w, w) for w in WORD.findall(lowered(t))] for t, _ in sample]  # one string a word
     lifts = useful_features(words, y) if len(set(y.tolist())) == 2 else {}
     empty = Field(-4.0, {}, np.zeros((2, 2)), frozenset(), np.zeros(5))
     if not lifts:

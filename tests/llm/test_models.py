@@ -74,3 +74,11 @@ def test_spans_point_at_the_words():
     _, spans = field.read("Over there the IDIOT jumps")
     assert [("Over there the IDIOT jumps")[a:b] for a, b in spans] == ["IDIOT"]
     assert field.read("the fox jumps")[1] == []
+
+
+def test_offsets_hold_where_lower_case_is_longer():
+    """A dotted capital I becomes two characters in lower case; spans count those of the text itself."""
+    field = toxicity.train([("the quick brown fox jumps over it again", 0)] * 40 + [(f"the quick brown idiot number {w} jumps", 1) for w in "abcdefgh" for _ in range(3)])
+    text = "İİ over İstanbul the IDIOT jumps"
+    assert [text[a:b] for a, b in field.read(text)[1]] == ["IDIOT"]
+    assert len(toxicity.lowered(text)) == len(text)
