@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm.common import durable
 
-#: Order hashes are cut at so many hex digits: 4096 buckets a leaf. Only the bucket at a leaf's cut is ordered row by row.
-DIGITS = 3
+#: Order hashes are summed by two hex digits at a time, 256 buckets a leaf and step: first all of a leaf, then the bucket at its cut.
+#: Only the last step's bucket at the cut, one row in 65536, is ordered row by row.
+STEPS = (2, 4)
 #: Leaves up to this number (about 100 bytes each) are broadcast; more of them are joined by a shuffle.
 FEW = 50_000
 
@@ -55,9 +56,9 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple, float],
     """``docs`` rows chosen to meet the tree's weights, once an epoch chosen, with ``epoch``, ``tokens`` and the levels as ``mix_<level>``.
 
     The total is ``fraction`` of all tokens. A leaf gives whole epochs while its budget lasts, then the prefix of the next epoch, in
-    that epoch's seeded order, whose documents begin before the budget's end. Hot leaves: order hashes are summed in 4096
-    buckets a leaf before any shuffle; buckets before the cut are taken, those after it are left, and only the cut's bucket
-    is ordered. Null level values are the empty name, null text has no tokens (its rows go with the prefix); rows of one id keep one place in order. Columns
+    that epoch's seeded order, whose documents begin before the budget's end. Hot leaves: order hashes are summed in 256
+    buckets a leaf before any shuffle, then the bucket at the cut in 256 finer ones; what lies before the cut is taken, what lies after
+    it is left, and only the finest bucket at the cut is ordered. Null level values are the empty name, null text has no tokens (its rows go with the prefix); rows of one id keep one place in order. Columns
     of the added names are replaced, all others stay. An empty table gives an empty one.
     """
     names = {f"mix_{k}": F.coalesce(c.cast("string"), F.lit("")) for k, c in levels.items()}
@@ -71,25 +72,26 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple, float],
     near = F.broadcast if n_leaves <= FEW else lambda df: df
     shares = budgets(leaves.withColumn("cap", F.col("t") * max_epochs), keys, weights, F.lit(int((all_tokens or 0) * fraction)))
     shares = shares.withColumns({"whole": F.when(F.col("t") > 0, F.floor(F.col("budget") / F.col("t"))).otherwise(F.lit(0)).cast("int")}).withColumn("part", F.col("budget") - F.col("whole") * F.col("t"))
-    shares = shares.select(*keys, "whole", "part")
+    shares = shares.select(*keys, "whole", "part", F.lit("").alias("cut"), F.lit(0).cast("long").alias("start"))
 
     def placed(df: DataFrame) -> DataFrame:
-        h = order_hash(seed, F.col("whole"), F.col("doc_id"))
-        return df.join(near(shares), keys).withColumn("h", h).withColumn("b", F.substring("h", 1, DIGITS))
+        return df.join(near(shares), keys).withColumn("h", order_hash(seed, F.col("whole"), F.col("doc_id")))
 
     run = Window.partitionBy(*keys).orderBy("b")
-    sums = placed(narrow).groupBy(*keys, "b", "part").agg(F.sum("tokens").alias("n"))
-    cuts = sums.withColumn("upto", F.sum("n").over(run)).filter((F.col("upto") - F.col("n") < F.col("part")) & (F.col("upto") >= F.col("part")))
-    cuts = cuts.groupBy(*keys).agg(F.min("b").alias("cut"), F.min_by(F.col("upto") - F.col("n"), "b").alias("start"))
-    shares = durable(shares.join(cuts, keys, "left"))
+    for digits in STEPS:
+        here = placed(narrow).filter(F.col("h").startswith(F.col("cut"))).withColumn("b", F.substring("h", 1, digits))
+        sums = here.groupBy(*keys, "b", "part", "start").agg(F.sum("tokens").alias("n")).withColumn("upto", F.col("start") + F.sum("n").over(run))
+        cuts = sums.filter((F.col("upto") - F.col("n") < F.col("part")) & (F.col("upto") >= F.col("part")))
+        cuts = cuts.groupBy(*keys).agg(F.min("b").alias("cut"), F.min_by(F.col("upto") - F.col("n"), "b").alias("start"))
+        shares = durable(shares.drop("cut", "start").join(cuts, keys, "left"))
     row = Window.partitionBy(*keys).orderBy("h", "doc_id")
-    last = placed(narrow).filter(F.col("b") == F.col("cut")).groupBy(*keys, "doc_id", "h", "start", "part").agg(F.sum("tokens").alias("tokens"))
+    last = placed(narrow).filter(F.col("h").startswith(F.col("cut"))).groupBy(*keys, "doc_id", "h", "start", "part").agg(F.sum("tokens").alias("tokens"))
     last = last.withColumn("upto", F.col("start") + F.sum("tokens").over(row)).filter((F.col("upto") - F.col("tokens") < F.col("part")) & (F.col("part") > 0))
     last = last.select(*keys, F.col("doc_id").alias("last_id"), F.lit(True).alias("last"))
     full = placed(sized)
     # only the cut's bucket meets the ordered ids
-    at_cut = F.coalesce(F.col("b") == F.col("cut"), F.lit(False))
-    outside = full.filter(~at_cut).withColumn("in_part", (F.col("part") > 0) & (F.col("cut").isNull() | (F.col("b") < F.col("cut"))))
+    at_cut = F.coalesce(F.col("h").startswith(F.col("cut")), F.lit(False))
+    outside = full.filter(~at_cut).withColumn("in_part", (F.col("part") > 0) & (F.col("cut").isNull() | (F.col("h") < F.col("cut"))))
     match = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys] + [F.col("l.doc_id").eqNullSafe(F.col("r.last_id"))]
     inside = full.filter(at_cut).alias("l").join(last.alias("r"), reduce(Column.__and__, match), "left").select("l.*", F.coalesce("r.last", F.lit(False)).alias("in_part"))
     chosen = outside.unionByName(inside).withColumn("times", F.col("whole") + F.col("in_part").cast("int")).filter("times > 0")
