@@ -150,7 +150,8 @@ def insertions(kmer: Column) -> Column:
     def at(i: Column) -> Column:
         return F.transform(F.array(*map(F.lit, "ACGT")), lambda a: F.struct(i.alias("at"), a.alias("alt"), F.concat(F.substring(kmer, F.lit(1), i), a, F.substring(kmer, i + 1, F.length(kmer) - i - 1)).alias("kmer")))
 
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.length(kmer) - 1), at))
+    none = F.expr("cast(array() as array<struct<at:int,alt:string,kmer:string>>)")
+    return F.when(F.length(kmer) >= 2, F.flatten(F.transform(F.sequence(F.lit(1), F.length(kmer) - 1), at))).otherwise(none)
 
 
 def ratio_text(shared: Column, total: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.operators.sketch import long_form
+from kmerloom.operators.sketch import durable, long_form
 
 #: Reference hashes up to this number (about 40 bytes each) are broadcast; beyond it the join shuffles by hash.
 FEW = 1_000_000
@@ -81,3 +81,24 @@ def verdicts(refs: DataFrame, p: DataFrame, start: int = -1, last_wins: bool = F
         "read_id", F.coalesce("hit", zero).alias("ref_id"), best.cast("long").alias("shared"), "sketch_size", diff.alias("diff_prefix"), (best - F.coalesce("second", F.lit(0))).cast("long").alias("diff_runner_up"),
         (F.col("sketch_size") <= limit).alias("fail_depth"), (best < min_matches).alias("fail_matches"), (diff <= min_diff).alias("fail_diff"),
     )
+
+
+def near_classes(sk: DataFrame, least: int) -> DataFrame:
+    """(id, class_id, links) of ``sk(id, sketch)``: the smallest id of an equal sketch, and how many other classes share ``least`` hashes or more.
+
+    Equal sketches fold into one class first, so copies are never paired. Two sketches that share ``least`` hashes share one
+    of their rarest size - least + 1 (prefix filter, exact), so only those are joined and hashes that most sketches hold meet no one;
+    every pair found is then counted on the whole sketches. Null and empty sketches are a class of their own without links.
+    """
+    keyed = durable(sk.select("id", "sketch", F.sha2(F.coalesce(F.array_join("sketch", ","), F.lit("")), 256).alias("key")))
+    classes = durable(keyed.groupBy("key").agg(F.min("id").alias("class_id"), F.first("sketch").alias("sketch")))
+    held = classes.filter(F.size("sketch") >= least).select("class_id", "sketch")
+    long = held.select("class_id", F.size("sketch").alias("m"), F.explode("sketch").alias("hash"))
+    ranked = long.join(long.groupBy("hash").agg(F.count("*").alias("n")), "hash").groupBy("class_id", "m").agg(F.sort_array(F.collect_list(F.struct("n", "hash"))).alias("l"))
+    rare = durable(ranked.select("class_id", F.explode(F.slice("l", F.lit(1), F.col("m") - least + 1)).alias("x")).select("class_id", F.col("x.hash").alias("hash")))
+    a, b = rare.select(F.col("class_id").alias("a"), "hash"), rare.select(F.col("class_id").alias("b"), "hash")
+    met = a.join(b, "hash").filter("a < b").select("a", "b").distinct()
+    both = met.join(held.select(F.col("class_id").alias("a"), F.col("sketch").alias("x")), "a").join(held.select(F.col("class_id").alias("b"), F.col("sketch").alias("y")), "b")
+    near = both.filter(F.size(F.array_intersect("x", "y")) >= least).select(F.explode(F.array("a", "b")).alias("class_id"))
+    counted = classes.select("key", "class_id").join(near.groupBy("class_id").agg(F.count("*").alias("links")), "class_id", "left")
+    return keyed.select("id", "key").join(counted, "key").select("id", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))

@@ -411,6 +411,23 @@ def substitution_neighbours(spark, d):
     return first.select("id", "c.*")
 
 
+_FIRST = "b AS (SELECT item_id AS id, substr(" + _dna("text") + f", 1, {KMER}) AS kmer FROM benchmark)"
+
+
+@query(" UNION ALL ".join(f"SELECT id, {w}::INT AS width, i::INT AS at, substr(kmer, i + 1, {w}) AS orig, substr(kmer, 1, i) || substr(kmer, i + 1 + {w}) AS kmer FROM (WITH {_FIRST} SELECT *, unnest(range(0, length(kmer) - {w} + 1)) AS i FROM b)" for w in (1, 2)))
+def deletion_neighbours(spark, d):
+    """Of the first k-mer of each reference, one base and two neighbouring bases left out."""
+    first = dna_refs(spark, d).select("id", F.substring("seq", 1, KMER).alias("s"))
+    one = lambda w: first.select("id", F.lit(w).alias("width"), F.explode(K.deletions(F.col("s"), w)).alias("c")).select("id", "width", "c.*")
+    return one(1).unionByName(one(2))
+
+
+@query(f"WITH {_FIRST}, s AS (SELECT *, unnest(range(1, length(kmer))) AS i FROM b) SELECT id, i::INT AS at, x AS alt, substr(kmer, 1, i) || x || substr(kmer, i + 1, length(kmer) - i - 1) AS kmer FROM s, (SELECT unnest(['A', 'C', 'G', 'T']) AS x)")
+def insertion_neighbours(spark, d):
+    """Of the first k-mer of each reference."""
+    return dna_refs(spark, d).select("id", F.explode(K.insertions(F.substring("seq", 1, KMER))).alias("c")).select("id", "c.*")
+
+
 @query(f"WITH {RF}, {HRF}, {SRF} SELECT id, '{{\"name\":\"' || id || '\",\"kmer\":{KMER},\"sketchSize\":' || count(*) || ',\"hashes\":[' || string_agg('\"' || hash || '\"', ',' ORDER BY hash) || ']}}' AS json FROM srf GROUP BY id")
 def sketch_json(spark, d):
     sk = S.sketches(refs(spark, d), [KMER], SIZE).filter(F.size("sketch") > 0)
@@ -487,11 +504,14 @@ def mixture_sample(spark, d):
 PAGES = "rp AS (SELECT page_id AS id, lower(html) AS seq FROM pages)"
 
 
-@query(f"WITH {PAGES}, hp AS (SELECT DISTINCT id, {H} AS hash FROM ({_kmers('rp')})), hc AS (SELECT id, hash FROM hp WHERE hash IN (SELECT hash FROM hp GROUP BY hash HAVING count(*) <= 50)), sp AS (SELECT * FROM hc QUALIFY row_number() OVER (PARTITION BY id ORDER BY hash) <= 200), p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM sp a JOIN sp b ON a.hash = b.hash AND a.id < b.id GROUP BY ALL HAVING count(*) >= 150) SELECT a, b, shared::BIGINT AS shared FROM p")
+@query(f"""WITH {PAGES}, hp AS (SELECT DISTINCT id, {H} AS hash FROM ({_kmers('rp')})), sp AS (SELECT * FROM hp QUALIFY row_number() OVER (PARTITION BY id ORDER BY hash) <= 200),
+k AS (SELECT p.page_id AS id, coalesce(string_agg(hash, ',' ORDER BY hash), '') AS s FROM pages p LEFT JOIN sp ON sp.id = p.page_id GROUP BY p.page_id), c AS (SELECT id, min(id) OVER (PARTITION BY s) AS class_id FROM k),
+r AS (SELECT sp.* FROM sp JOIN c ON c.id = sp.id AND c.id = class_id), n AS (SELECT a.id AS id, b.id AS other FROM r a JOIN r b ON a.hash = b.hash AND a.id <> b.id GROUP BY ALL HAVING count(*) >= 150)
+SELECT c.id, class_id, coalesce(links, 0)::BIGINT AS links FROM c LEFT JOIN (SELECT id, count(*) AS links FROM n GROUP BY id) l ON l.id = class_id""")
 def page_near_dup(spark, d):
-    """Pages whose sketches of 200 hashes share 150 or more; hashes that over 50 pages hold (boilerplate) take no part, which bounds the join."""
-    sk = S.durable(S.max_samples_sketches(table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lower("html").alias("seq")), [KMER], 200, 50))
-    return O.pairs(sk, sk).filter((F.col("read_id") < F.col("ref_id")) & (F.col("shared") >= 150)).select(F.col("read_id").alias("a"), F.col("ref_id").alias("b"), "shared")
+    """Each page's class of equal sketches of 200 hashes, and the number of other classes that share 150 or more; no hash is left out."""
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lower("html").alias("seq"))
+    return O.near_classes(S.sketches(pages, [KMER], 200).select("id", "sketch"), 150)
 
 
 @query(f"WITH {RF}, {HRF}, {SRF}, l AS (SELECT id, list(hash) AS s FROM srf GROUP BY id) SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s))::INT AS both, len(list_distinct(a.s || b.s))::INT AS either, (len(a.s) - len(list_intersect(a.s, b.s)))::INT AS only_a FROM l a JOIN l b ON b.id = a.id + 1")
