@@ -85,3 +85,23 @@ def test_mixtures(spark):
     assert [r.prediction for r in scoring.lineage_model(train, train.limit(2), "f", "y").collect()] == [1.0, 0.0]
     words = spark.createDataFrame([(1.0,), (-1.0,), (0.0,)], "s double").select(scoring.verdict(F.col("s")).alias("v")).collect()
     assert [r.v for r in words] == ["COINF", "PURE", "UNKNOWN"]
+
+
+def test_near_classes_lose_no_link(spark):
+    """Against all pairs: copies, near copies, sketches below the bound, empty and null ones."""
+    import random
+
+    from kmerloom.operators import overlap
+
+    rng = random.Random(4)
+    base = [f"h{i}" for i in range(40)]
+    data = [(i, sorted(rng.sample(base, 30))) for i in range(40)] + [(50, sorted(base[:30])), (51, sorted(base[:30])), (52, base[:5]), (53, []), (54, None), (55, [])]
+    got = {r.id: (r.class_id, r.links) for r in overlap.near_classes(spark.createDataFrame(data, "id long, sketch array<string>"), 24).collect()}
+    classes = {}
+    for i, s in data:
+        classes.setdefault(tuple(s or ()), i)
+    for i, s in data:
+        s = tuple(s or ())
+        assert got[i] == (classes[s], sum(t != s and len(set(s) & set(t)) >= 24 for t in classes))
+    assert len(got) == len(data)
+    assert overlap.near_classes(spark.createDataFrame([], "id long, sketch array<string>"), 24).count() == 0
