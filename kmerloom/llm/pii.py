@@ -29,7 +29,7 @@ _given = "|".join(n for (_, g), ns in GIVEN.items() if g != "n" for n in ns)
 #: Kinds in order of precedence at one place; each pattern stands by itself.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
-    "secret": r"(?<=[\"'])(?<=(?:token|secret|passwd|password|api_key|apikey|TOKEN|SECRET|PASSWORD|API_KEY|Token|Secret|Password)\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{6,200}|(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z\-]{20,})(?![\p{L}\p{N}])",
+    "secret": r"(?<=[\"'])(?<=(?:token|secret|passwd|password|api_key|apikey|TOKEN|SECRET|PASSWORD|API_KEY|Token|Secret|Password)\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{6,}|(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z\-]{20,})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
     "card": r"(?<![\p{L}\p{N}.\-])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
@@ -38,8 +38,8 @@ PATTERNS = {
     "person": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_titles})\.? {_name}(?: {_name})?|(?:{_given}) {_name})(?![\p{{L}}\p{{N}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every entity has: a digit, an at sign, a quoted secret, or a title or known name before a capital.
-GATE = rf"[@0-9]|(?:=|:)\s{{0,3}}[\"']|(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}|г)(?:{_titles}|{_given})\.? \p{{Lu}}"
+#: What every entity has: a digit, an at sign, a quoted secret, a key or hex string of letters alone, or a title or known name before a capital.
+GATE = rf"[@0-9]|(?:=|:)\s{{0,3}}[\"']|AKIA[A-Z]{{16}}|gh[pousr]_[A-Za-z]{{36}}|sk-[A-Za-z\-]{{20}}|[a-f]{{32}}|[A-F]{{32}}|(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}|г)(?:{_titles}|{_given})\.? \p{{Lu}}"
 
 
 def _kind(m: Column) -> Column:
@@ -47,7 +47,7 @@ def _kind(m: Column) -> Column:
     digits = F.length(F.regexp_replace(m, r"\D", ""))
     return (
         F.when(m.contains("@") & m.rlike(rf"^(?:{PATTERNS['email']})$"), "email")
-        .when(m.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]{8,}$") & ~m.rlike(r"^[0-9A-F]{32,128}$"), "iban")
+        .when(m.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]{8,}$") & ~m.rlike(r"^[0-9A-F]{32,}$"), "iban")
         .when(m.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip")
         .when(m.rlike(r"^\d(?:[ \-]?\d){12,18}$"), "card")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
@@ -209,7 +209,7 @@ def _again(key: str, m: Column, attempts: Column) -> Column:
 
 def _cased(new: Column, old: Column) -> Column:
     """``new`` with capitals where ``old`` has them."""
-    return F.array_join(F.transform(F.split(new, ""), lambda c, i: F.when(F.substring(old, i + 1, F.lit(1)) != F.lower(F.substring(old, i + 1, F.lit(1))), F.upper(c)).otherwise(c)), "")
+    return F.array_join(F.zip_with(F.split(new, ""), F.split(old, ""), lambda c, o: F.when(o != F.lower(o), F.upper(c)).otherwise(c)), "")
 
 
 def mentions(docs: DataFrame) -> DataFrame:
