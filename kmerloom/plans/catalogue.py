@@ -428,6 +428,32 @@ def insertion_neighbours(spark, d):
     return dna_refs(spark, d).select("id", F.explode(K.insertions(F.substring("seq", 1, KMER))).alias("c")).select("id", "c.*")
 
 
+_EVERY = f"b AS (SELECT id, (p - 1)::INT AS pos, kmer FROM ({_kmers('drf')}))"
+
+
+def _every(spark, d):
+    return S.kmer_table(dna_refs(spark, d), [KMER]).select("id", "pos", "kmer")
+
+
+@query(f"WITH {DRF}, {_EVERY}, s AS (SELECT *, unnest(range(0, length(kmer))) AS i FROM b) SELECT id, pos, i::INT AS at, substr(kmer, i + 1, 1) AS orig, x AS alt, substr(kmer, 1, i) || x || substr(kmer, i + 2) AS kmer FROM s, (SELECT unnest(['A', 'C', 'G', 'T']) AS x) WHERE x <> substr(kmer, i + 1, 1)")
+def substitution_neighbours_all(spark, d):
+    """Of every k-mer of each reference."""
+    return _every(spark, d).select("id", "pos", F.explode(K.substitutions(F.col("kmer"))).alias("c")).select("id", "pos", "c.*")
+
+
+@query(f"WITH {DRF}, {_EVERY} " + " UNION ALL ".join(f"SELECT id, pos, {w}::INT AS width, i::INT AS at, substr(kmer, i + 1, {w}) AS orig, substr(kmer, 1, i) || substr(kmer, i + 1 + {w}) AS kmer FROM (SELECT *, unnest(range(0, length(kmer) - {w} + 1)) AS i FROM b)" for w in (1, 2)))
+def deletion_neighbours_all(spark, d):
+    """Of every k-mer of each reference, one base and two neighbouring bases left out."""
+    one = lambda w: _every(spark, d).select("id", "pos", F.lit(w).alias("width"), F.explode(K.deletions(F.col("kmer"), w)).alias("c")).select("id", "pos", "width", "c.*")
+    return one(1).unionByName(one(2))
+
+
+@query(f"WITH {DRF}, {_EVERY}, s AS (SELECT *, unnest(range(1, length(kmer))) AS i FROM b) SELECT id, pos, i::INT AS at, x AS alt, substr(kmer, 1, i) || x || substr(kmer, i + 1, length(kmer) - i - 1) AS kmer FROM s, (SELECT unnest(['A', 'C', 'G', 'T']) AS x)")
+def insertion_neighbours_all(spark, d):
+    """Of every k-mer of each reference."""
+    return _every(spark, d).select("id", "pos", F.explode(K.insertions(F.col("kmer"))).alias("c")).select("id", "pos", "c.*")
+
+
 @query(f"WITH {RF}, {HRF}, {SRF} SELECT id, '{{\"name\":\"' || id || '\",\"kmer\":{KMER},\"sketchSize\":' || count(*) || ',\"hashes\":[' || string_agg('\"' || hash || '\"', ',' ORDER BY hash) || ']}}' AS json FROM srf GROUP BY id")
 def sketch_json(spark, d):
     sk = S.sketches(refs(spark, d), [KMER], SIZE).filter(F.size("sketch") > 0)
