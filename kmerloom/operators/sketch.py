@@ -5,23 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kmerloom.cluster import durable, spread  # noqa: F401
 from kmerloom.functions import kmers as K
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals a scan with fewer splits than cores to all cores; larger scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once into the reliable folder of spark.checkpoint.dir; for what several branches of a plan read."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/kmerloom-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def kmer_table(seqs: DataFrame, ks: list[int]) -> DataFrame:
     """(id, pos, k, kmer): every k-mer of every k."""
     one = [seqs.select("id", F.posexplode_outer(K.kmers(F.col("seq"), k)).alias("pos", "kmer")).filter(F.col("kmer").isNotNull()).select("id", "pos", F.lit(k).alias("k"), "kmer") for k in ks]

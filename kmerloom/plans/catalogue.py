@@ -6,13 +6,12 @@ conversations groups of sketches to merge, labels the truth. Text is folded to l
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kmerloom.cluster import fresh_folder
 from kmerloom.functions import kmers as K
 from kmerloom.operators import lineage as L
 from kmerloom.operators import overlap as O
@@ -553,8 +552,7 @@ def stream_classify(spark, d):
     """The documents as a stream of files against the panel; what an available-now run has written."""
     panel = S.sketches(refs(spark, d), [KMER], SIZE).join(refs(spark, d).select("id", "ord"), "id")
     schema = spark.read.parquet(f"{d}/documents.parquet").schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    out = f"{base}/stream-{uuid4()}"
+    out = fresh_folder(spark, "stream")
     # a glob, so that a single file and a folder of parts both stream
     stream = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]").select(F.col("doc_id").alias("id"), F.lower("text").alias("seq"))
     done = classify_stream(stream, panel, [KMER], SIZE)
