@@ -11,8 +11,8 @@ from kmerloom.llm.common import durable
 
 #: Given names that are known, and drawn from, by script and gender. The first lists of each pair also mark a name without a title.
 GIVEN = {
-    ("latin", "f"): "Alice Anna Clara Elena Emma Helena Ines Julia Laura Lena Maria Marta Nora Paula Rosa Sarah Sofia Teresa Victoria Yvonne".split(),
-    ("latin", "m"): "Adam Bruno Carlos Daniel David Emil Felix Georg Hugo James Jean John Karl Lucas Michael Oscar Pablo Robert Thomas Victor".split(),
+    ("latin", "f"): "Alice Anna Clara Elena Emma Helena Ines Julia Laura Lena Maria Marta Nora Paula Rosa Sarah Sofia Teresa Victoria Yvonne Aisha Amelie Ananya Camila Chloe Deepa Elizabeth Fatima Giulia Ingrid Jennifer Katarzyna Leila Lucia Mei Nadia Olivia Priya Yuki Zainab".split(),
+    ("latin", "m"): "Adam Bruno Carlos Daniel David Emil Felix Georg Hugo James Jean John Karl Lucas Michael Oscar Pablo Robert Thomas Victor Ahmed Andrzej Antonio Arjun Christopher Diego Fernando Giovanni Hans Hassan Hiroshi Ibrahim Joseph Kwame Lars Mohammed Omar Rajesh Stefan Wei William".split(),
     ("latin", "n"): "Alex Andrea Charlie Dominique Jordan Kim Robin Sascha".split(),
     ("cyrillic", "f"): "Анна Вера Галина Елена Ирина Мария Ольга Татьяна".split(),
     ("cyrillic", "m"): "Андрей Борис Виктор Иван Михаил Николай Павел Сергей".split(),
@@ -22,15 +22,21 @@ GIVEN = {
 TITLES = {"f": "Mrs Ms Miss Mme Mlle Frau Sra Srta Señora Signora Г-жа г-жа".split(), "m": "Mr Herr Sr Señor Signor Monsieur Г-н г-н".split(), "n": "Dr Prof".split()}
 CONSONANTS, VOWELS = {"latin": "bdfgklmnprstvz", "cyrillic": "бвгдклмнпрстз"}, {"latin": "aeiou", "cyrillic": "аеиоу"}
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+NUMBERS = ("card", "ssn", "phone")
+#: From this attempt on a surrogate grows by a character each time, so that no space of a shape is ever too small.
+GROWS = 8
 
-_name = r"\p{Lu}[\p{L}'’]*\p{Ll}(?:-\p{Lu}\p{L}+)?"
+_name = r"\p{Lu}(?:['’]\p{Lu})?\p{L}*\p{Ll}(?:-\p{Lu}\p{L}+)?"
 _titles = "|".join(t for ts in TITLES.values() for t in ts)
 _given = "|".join(n for (_, g), ns in GIVEN.items() if g != "n" for n in ns)
-#: Kinds in order of precedence at one place; each pattern stands by itself.
+_h = "[0-9A-Fa-f]{1,4}"
+#: Kinds in order of precedence at one place; each pattern stands by itself. No repeated group can back up (possessive), so no
+#: pattern recurses on long texts, and none is tried twice within one run of an address's characters.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
-    "secret": r"(?<=[\"'])(?<=(?:token|secret|passwd|password|api_key|apikey|TOKEN|SECRET|PASSWORD|API_KEY|Token|Secret|Password)\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{6,}|(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z\-]{20,})(?![\p{L}\p{N}])",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[._%+\-]*+[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)++",
+    "secret": r"(?<=[\"'])(?<=(?:token|secret|passwd|password|api_key|apikey|TOKEN|SECRET|PASSWORD|API_KEY|Token|Secret|Password)\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{6,}+|(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+)(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])sk-[0-9A-Za-z\-]{20,}+",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:{_h}:){{7}}{_h}|[0-9A-Fa-f]{{4}}(?::{_h}){{0,5}}::(?:{_h}(?::{_h}){{0,5}})?)(?![\p{{L}}\p{{N}}]|:[0-9A-Fa-f])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
     "card": r"(?<![\p{L}\p{N}.\-])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
@@ -40,6 +46,13 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has: a digit, an at sign, a quoted secret, a key or hex string of letters alone, or a title or known name before a capital.
 GATE = rf"[@0-9]|(?:=|:)\s{{0,3}}[\"']|AKIA[A-Z]{{16}}|gh[pousr]_[A-Za-z]{{36}}|sk-[A-Za-z\-]{{20}}|[a-f]{{32}}|[A-F]{{32}}|(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}|г)(?:{_titles}|{_given})\.? \p{{Lu}}"
+#: A capitalised word, which may be a name on its own.
+LONE = r"(?<![\p{L}\p{N}])\p{Lu}(?:['’]\p{Lu})?\p{L}*+(?:-\p{Lu}\p{L}++)?"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, whatever the number of places that it is used in."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _kind(m: Column) -> Column:
@@ -47,8 +60,10 @@ def _kind(m: Column) -> Column:
     digits = F.length(F.regexp_replace(m, r"\D", ""))
     return (
         F.when(m.contains("@") & m.rlike(rf"^(?:{PATTERNS['email']})$"), "email")
-        .when(m.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]{8,}$") & ~m.rlike(r"^[0-9A-F]{32,}$"), "iban")
+        .when(m.rlike(r"^(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)$"), "hex")
+        .when(m.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]{8,}$"), "iban")
         .when(m.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip")
+        .when(m.rlike(rf"^(?:{PATTERNS['ip6']})$"), "ip6")
         .when(m.rlike(r"^\d(?:[ \-]?\d){12,18}$"), "card")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^[+(\d][\d ().\-]+$") & (digits >= 7) & (digits <= 20), "phone")
@@ -57,71 +72,103 @@ def _kind(m: Column) -> Column:
     )
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, whatever the number of places that it is used in."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _script(s: Column) -> Column:
     return F.when(s.rlike(r"\p{IsCyrillic}"), "cyrillic").when(s.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _hex(key: str, *parts: Column) -> Column:
-    """256 keyed hex digits."""
-    seed = F.concat_ws("\x1f", F.lit(key), *parts)
-    return F.concat(*(F.sha2(F.concat_ws("\x1f", F.lit(str(i)), seed), 256) for i in range(4)))
+def _chars(s: Column) -> Column:
+    return F.filter(F.split(s, ""), lambda c: c != "")
+
+
+# --- what is kept of a part: a keyed digest and its shape, never the part itself
+
+
+def digest(key: str, kind: Column, norm: Column) -> Column:
+    return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, norm), 256)
+
+
+def _classes(s: Column) -> Column:
+    """One letter or digit for all of a class and script."""
+    for pattern, one in ((r"\p{Nd}", "0"), (r"[\p{L}&&\p{IsCyrillic}]", "б"), (r"[\p{L}&&\p{IsGreek}]", "α"), ("[\\p{L}&&[^бα]]", "a")):
+        s = F.regexp_replace(s, pattern, one)
+    return s
+
+
+def _luhn(digits: Column) -> Column:
+    """Luhn sum modulo 10 (0: a valid number)."""
+    n = F.length(digits)
+    terms = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(digits, i, F.lit(1)).cast("int") * F.when(F.pmod(n - i, F.lit(2)) == 1, 2).otherwise(1))
+    return F.pmod(F.aggregate(terms, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x)), F.lit(10))
+
+
+def shape(kind: Column, norm: Column) -> Column:
+    """All that a surrogate takes from its part: classes of characters; of numbers the first digit, of cards the Luhn sum, of accounts the country."""
+    n = F.length(norm)
+    plain = F.concat(F.substring(norm, 1, 1), F.repeat(F.lit("0"), n - 1))
+    card = F.concat(F.substring(plain, F.lit(1), n - 1), F.pmod(_luhn(norm) - _luhn(plain), F.lit(10)).cast("string"))
+    return F.when(kind == "card", card).when(kind.isin(*NUMBERS), plain).when(kind == "iban", F.concat(F.substring(norm, 1, 2), _classes(F.substring(norm, F.lit(3), n)))).otherwise(_classes(norm))
+
+
+# --- drawing
+
+
+def _blocks(mark: Column, attempt: Column, n: Column) -> Column:
+    """array<string> of 64 keyed hex digits each, enough for n draws and 64 more."""
+    return F.transform(F.sequence(F.lit(0), F.shiftright(n, 4) + 4), lambda i: F.sha2(F.concat_ws("\x1f", mark, attempt.cast("string"), i.cast("string")), 256))
 
 
 def _draw(h: Column, i: Column | int, n: Column | int) -> Column:
-    """The i-th draw below n (four hex digits each, 64 of them in turn)."""
-    at = F.pmod(F.lit(i) if isinstance(i, int) else i, F.lit(64)) * 4 + 1
-    return F.pmod(F.conv(F.substring(h, at, F.lit(4)), 16, 10).cast("int"), F.lit(n) if isinstance(n, int) else n)
+    """The i-th draw below n: four hex digits each, 16 of them a block."""
+    i = F.lit(i) if isinstance(i, int) else i
+    block = F.element_at(h, F.pmod(F.shiftright(i, 4), F.size(h)) + 1)
+    return F.pmod(F.conv(F.substring(block, F.pmod(i, F.lit(16)) * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.lit(n) if isinstance(n, int) else n)
 
 
 def _pick(alphabet: str, k: Column) -> Column:
     return F.substring(F.lit(alphabet), k + 1, F.lit(1))
 
 
-def _shape(value: Column, h: Column, hexadecimal: Column) -> Column:
+def _more(attempt: Column, h: Column) -> Column:
+    """Hex digits put behind a surrogate whose shape has run out of free values."""
+    return F.substring(F.element_at(h, -1), F.lit(1), F.greatest(F.lit(0), attempt - GROWS + 1))
+
+
+def _redrawn(value: Column, h: Column, hexadecimal: Column) -> Column:
     """Each character replaced by one of its class, script and case; others stay."""
 
     def one(c: Column, i: Column) -> Column:
-        small = F.lower(c)
         script = _script(c)
         letters = F.when(hexadecimal, "abcdef").when(script == "cyrillic", LETTERS["cyrillic"]).when(script == "greek", LETTERS["greek"]).otherwise(LETTERS["latin"])
         letter = _let(letters, lambda a: F.substring(a, _draw(h, i, F.length(a)) + 1, F.lit(1)))
-        return F.when(c.rlike(r"\p{Nd}"), _draw(h, i, 10).cast("string")).when(c.rlike(r"\p{L}"), F.when(c != small, F.upper(letter)).otherwise(letter)).otherwise(c)
-
-    return F.array_join(F.transform(F.split(value, ""), one), "")
-
-
-def _digits(value: Column) -> Column:
-    return F.regexp_replace(value, r"\D", "")
-
+        return F.when(c.rlike(r"\p{Nd}"), _draw(h, i, 10).cast("string")).when(c.rlike(r"\p{L}"), letter).otherwise(c)
 
-def _refill(value: Column, digits: Column) -> Column:
-    """``value`` with its digits replaced by ``digits`` in order."""
-    return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike(r"\d"), F.substring(digits, F.length(_digits(F.substring(value, F.lit(1), i))) + 1, F.lit(1))).otherwise(c)), "")
+    return F.array_join(F.transform(_chars(value), one), "")
 
 
-def _luhn(digits: Column) -> Column:
-    """Luhn sum modulo 10 (0: a valid number)."""
-    n = F.length(digits)
-    terms = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(digits, i, F.lit(1)).cast("int") * F.when(F.pmod(n - i, F.lit(2)) == 1, 2).otherwise(1))
-    return F.pmod(F.aggregate(terms, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x)), F.lit(10))
-
-
-def _numbers(kind: Column, digits: Column, h: Column) -> Column:
+def _numbers(kind: Column, digits: Column, h: Column, more: Column) -> Column:
     """Digits for digits. Cards keep their first digit and their Luhn sum, so a valid one stays valid; numbers with a country code keep its first digit."""
     new = F.array_join(F.transform(F.sequence(F.lit(0), F.length(digits) - 1), lambda i: _draw(h, i, 10).cast("string")), "")
 
-
     def card(new: Column) -> Column:
         body = F.concat(F.substring(digits, F.lit(1), F.lit(1)), F.substring(new, F.lit(2), F.length(digits) - 2))
         return _let(body, lambda b: F.concat(b, F.pmod(_luhn(digits) - _luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
     coded = (kind == "phone") & (F.length(digits) > 10)
-    return F.when(kind == "card", _let(new, card)).when(coded, F.concat(F.substring(digits, F.lit(1), F.lit(1)), F.substring(new, F.lit(2), F.length(digits)))).otherwise(new)
+    own = F.when(kind == "card", _let(new, card)).when(coded, F.concat(F.substring(digits, F.lit(1), F.lit(1)), F.substring(new, F.lit(2), F.length(digits)))).otherwise(new)
+    return F.concat(own, F.translate(more, "abcdef", "012345"))
+
+
+def _mod97(s: Column) -> Column:
+    """The number that an account's letters (a = 10) and digits spell, modulo 97."""
+    step = lambda a, c: F.when(c.between("0", "9"), F.pmod(a * 10 + F.ascii(c) - 48, F.lit(97))).otherwise(F.pmod(a * 100 + F.ascii(c) - 87, F.lit(97)))
+    return F.aggregate(_chars(s), F.lit(0), step)
+
+
+def _account(mask: Column, h: Column, more: Column) -> Column:
+    """Same country, valid check digits, the rest redrawn."""
+    rest = F.concat(_redrawn(F.substring(mask, F.lit(5), F.length(mask)), h, F.lit(False)), more)
+    country = F.substring(mask, 1, 2)
+    return _let(rest, lambda r: F.concat(country, F.lpad((98 - _mod97(F.concat(r, country, F.lit("00")))).cast("string"), 2, "0"), r))
 
 
 def _from_list(names: list[str], h: Column, attempt: Column) -> Column:
@@ -134,29 +181,32 @@ def _syllables(script: str, h: Column, attempt: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3) + F.least(attempt, F.lit(20))), lambda i: F.concat(_pick(c, _draw(h, 2 * i, len(c))), _pick(v, _draw(h, 2 * i + 1, len(v))))), "")
 
 
-def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
-    """The surrogate of a normal form: equal forms get equal surrogates, whatever their case or separators in the text.
+def surrogate(kind: Column, mask: Column, mark: Column, attempt: Column) -> Column:
+    """The surrogate of a part with this shape and keyed digest: equal parts get equal ones, whatever their case or separators in the text.
 
-    Kinds of parts: mailbox and host (of an address), ip, secret, iban, card/ssn/phone (digits), given_<gender>, surname.
+    Kinds of parts: mailbox and host (of an address), ip, ip6, secret, hex, iban, card/ssn/phone (digits), given_<gender>, surname.
+    Hosts lie below example.org, IPv4 addresses in the reserved 240.0.0.0/4 (in the IPv6 range once attempts grow), IPv6 ones in 2001:db8::/32.
     """
-    return _let(_hex(key, kind, norm, attempt.cast("string")), lambda h: _by_kind(kind, norm, attempt, h))
+    return _let(_blocks(mark, attempt, F.length(mask)), lambda h: _by_kind(kind, mask, attempt, h))
 
 
-def _by_kind(kind: Column, norm: Column, attempt: Column, h: Column) -> Column:
-    ip = F.concat_ws(".", (_draw(h, 0, 223) + 1).cast("string"), *((_draw(h, i, 256)).cast("string") for i in (1, 2)), (_draw(h, 3, 254) + 1).cast("string"))
-    script = _script(norm)
+def _by_kind(kind: Column, mask: Column, attempt: Column, h: Column) -> Column:
+    more = _more(attempt, h)
+    ip = F.concat_ws(".", (_draw(h, 0, 16) + 240).cast("string"), *((_draw(h, i, 256)).cast("string") for i in (1, 2)), (_draw(h, 3, 254) + 1).cast("string"))
+    ip6 = F.concat(F.lit("2001:db8:"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substring(F.element_at(h, 2), 4 * i + 1, F.lit(4))), ":"))
+    script, no = _script(mask), F.lit(False)
     given = F.lit(None).cast("string")
     for (s, g), names in GIVEN.items():
         given = F.when((kind == f"given_{g}") & (script == s), _from_list(names, h, attempt)).otherwise(given)
-    given = F.coalesce(given, _title(_shape(norm, h, F.lit(False))))
+    given = F.coalesce(given, _title(F.concat(_redrawn(mask, h, no), F.when(attempt >= GROWS, F.regexp_replace(more, r"\d", "o")).otherwise(""))))
     surname = F.lit(None).cast("string")
     for s in CONSONANTS:
         surname = F.when(script == s, F.concat(F.initcap(_syllables(s, h, attempt)), F.lit("n" if s == "latin" else "н"))).otherwise(surname)
-    surname = F.coalesce(surname, _title(_shape(norm, h, F.lit(False))))
-    host = F.concat(_shape(F.element_at(F.split(norm, r"\."), 1), h, F.lit(False)), F.lit("-"), F.substring(h, F.lit(251), F.lit(6)), F.lit(".example.org"))
+    surname = F.coalesce(surname, _title(F.concat(_redrawn(mask, h, no), F.regexp_replace(more, r"\d", "o"))))
+    host = F.concat(_redrawn(F.element_at(F.split(mask, r"\."), 1), h, no), F.lit("-"), F.substring(F.element_at(h, 3), F.lit(1), F.lit(6)), more, F.lit(".example.org"))
     return (
-        F.when(kind == "ip", ip).when(kind == "host", host).when(kind.startswith("given"), given).when(kind == "surname", surname)
-        .when(kind.isin("card", "ssn", "phone"), _numbers(kind, norm, h)).otherwise(_shape(norm, h, norm.rlike("^[0-9a-f]{32,}$")))
+        F.when(kind == "ip", F.when(attempt >= GROWS, ip6).otherwise(ip)).when(kind == "ip6", ip6).when(kind == "host", host).when(kind.startswith("given"), given).when(kind == "surname", surname)
+        .when(kind.isin(*NUMBERS), _numbers(kind, mask, h, more)).when(kind == "iban", _account(mask, h, more)).otherwise(F.concat(_redrawn(mask, h, kind == "hex"), more))
     )
 
 
@@ -164,100 +214,156 @@ def _title(s: Column) -> Column:
     return F.concat(F.upper(F.substring(s, F.lit(1), F.lit(1))), F.substring(s, F.lit(2), F.length(s)))
 
 
+# --- from texts to parts and back
+
+
 def _head(m: Column) -> Column:
     """A person's title with what stands after it, or nothing."""
     return F.regexp_extract(m, rf"^(?:{_titles})\.? ", 0)
 
 
+def _names(m: Column) -> Column:
+    """A person's names without the title."""
+    return F.split(F.substring(m, F.length(_head(m)) + 1, F.length(m)), " ")
+
+
 def _gender(m: Column) -> Column:
     title = F.regexp_extract(m, rf"^({_titles})\.? ", 1)
-    first = F.element_at(F.split(F.substring(m, F.length(_head(m)) + 1, F.length(m)), " "), 1)
+    first = F.element_at(_names(m), 1)
     known = {g: [n for (_, x), ns in GIVEN.items() if x == g for n in ns] for g in "fm"}
     return F.when(title.isin(TITLES["f"]), "f").when(title.isin(TITLES["m"]), "m").when(first.isin(known["f"]), "f").when(first.isin(known["m"]), "m").otherwise("n")
 
 
+def _long_form(m: Column) -> Column:
+    """An IPv6 address with all its eight groups of four digits."""
+    side = lambda i: F.filter(F.split(F.coalesce(F.get(F.split(m, "::"), i), F.lit("")), ":"), lambda g: g != "")
+    groups = F.concat(side(0), F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(side(0)) - F.size(side(1)))), side(1))
+    return F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ":")
+
+
+def _mailbox(m: Column) -> Column:
+    """An address without the marks that stand before it."""
+    return F.regexp_replace(m, r"^[._%+\-]+", "")
+
+
 def _parts(m: Column, kind: Column) -> Column:
     """array<struct<kind, norm>> of what a found text is made of. A lone name after a title is a surname."""
     part = lambda k, v: F.struct((F.lit(k) if isinstance(k, str) else k).alias("kind"), v.alias("norm"))
-    at = F.split(F.lower(m), "@")
-    names = F.split(F.lower(F.substring(m, F.length(_head(m)) + 1, F.length(m))), " ")
+    at = F.split(F.lower(_mailbox(m)), "@")
+    names = F.transform(_names(m), F.lower)
     both = F.array(part(F.concat(F.lit("given_"), _gender(m)), F.element_at(names, 1)), part("surname", F.element_at(names, -1)))
     return (
         F.when(kind == "email", F.array(part("mailbox", F.element_at(at, 1)), part("host", F.element_at(at, -1))))
         .when(kind == "person", F.when(F.size(names) == 1, F.array(part("surname", F.element_at(names, 1)))).otherwise(both))
-        .when(kind.isin("card", "ssn", "phone"), F.array(part(kind, _digits(m))))
+        .when(kind.isin(*NUMBERS), F.array(part(kind, F.regexp_replace(m, r"\D", ""))))
+        .when(kind == "iban", F.array(part(kind, F.lower(F.regexp_replace(m, " ", "")))))
+        .when(kind == "ip6", F.array(part(kind, _long_form(F.lower(m)))))
         .otherwise(F.array(part(kind, F.lower(m))))
     )
 
 
-def _again(key: str, m: Column, attempts: Column) -> Column:
-    """What a found text is replaced by. ``attempts``: map<kind + x1f + norm, int> of parts whose first surrogate was taken."""
+def _refill(value: Column, new: Column, kept: str) -> Column:
+    """``value`` with its characters, but for those of the class ``kept``, replaced by those of ``new`` in order; what is left over comes last."""
+    bare = lambda s: F.length(F.regexp_replace(s, kept, ""))
+    filled = F.transform(_chars(value), lambda c, i: F.when(c.rlike(kept), c).otherwise(F.substring(new, bare(F.substring(value, F.lit(1), i)) + 1, F.lit(1))))
+    return F.concat(F.array_join(filled, ""), F.substring(new, bare(value) + 1, F.length(new)))
 
-    def of(part: Column) -> Column:
-        return surrogate(key, part["kind"], part["norm"], F.coalesce(F.try_element_at(attempts, F.concat_ws("\x1f", part["kind"], part["norm"])), F.lit(0)))
 
-    def joined(kind: Column, said: Column) -> Column:
-        plain = F.element_at(said, 1)
-        return (
-            F.when(kind == "email", F.concat_ws("@", said)).when(kind == "person", F.concat(_head(m), F.array_join(said, " ")))
-            .when(kind.isin("card", "ssn", "phone"), _refill(m, plain)).when(kind == "ip", plain).otherwise(_cased(plain, m))
-        )
+def _cased(new: Column, old: Column) -> Column:
+    """``new`` with capitals where ``old`` has them."""
+    return F.array_join(F.zip_with(_chars(new), _chars(old), lambda c, o: F.when(o != F.lower(o), F.upper(c)).otherwise(c)), "")
 
-    new = _let(_kind(m), lambda kind: _let(F.transform(_parts(m, kind), of), lambda said: joined(kind, said)))
-    return F.when((m == F.upper(m)) & (m != F.lower(m)), F.upper(new)).otherwise(new)
 
+def _of(key: str, part: Column, attempts: Column) -> Column:
+    """A part's surrogate. ``attempts``: map<digest, int> of parts whose first surrogate was taken."""
+    return _let(digest(key, part["kind"], part["norm"]), lambda mark: surrogate(part["kind"], shape(part["kind"], part["norm"]), mark, F.coalesce(F.try_element_at(attempts, mark), F.lit(0))))
 
-def _cased(new: Column, old: Column) -> Column:
-    """``new`` with capitals where ``old`` has them."""
-    return F.array_join(F.zip_with(F.split(new, ""), F.split(old, ""), lambda c, o: F.when(o != F.lower(o), F.upper(c)).otherwise(c)), "")
 
+def _told(key: str, m: Column, attempts: Column) -> Column:
+    """struct<m, kind, said>: a found text, its kind, and its parts' surrogates."""
+    said = lambda kind: F.transform(_parts(m, kind), lambda p: _of(key, p, attempts))
+    return _let(_kind(m), lambda kind: F.struct(m.alias("m"), kind.alias("kind"), said(kind).alias("said")))
 
-def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, norm): the distinct parts of each document's entities."""
-    found = docs.filter(F.col("text").rlike(GATE)).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), 0))).alias("m"))
-    return found.select("doc_id", F.explode(_let(_kind(F.col("m")), lambda kind: _parts(F.col("m"), kind))).alias("p")).select("doc_id", "p.kind", "p.norm")
+
+def _written(told: Column) -> Column:
+    """What a found text is replaced by."""
+    m, kind, said = told["m"], told["kind"], told["said"]
+    plain = F.element_at(said, 1)
+    new = (
+        F.when(kind == "email", F.concat(F.regexp_extract(m, r"^[._%+\-]*", 0), F.concat_ws("@", said))).when(kind == "person", F.concat(_head(m), F.array_join(said, " ")))
+        .when(kind.isin(*NUMBERS), _refill(m, plain, r"\D")).when(kind == "iban", _refill(m, F.upper(plain), " ")).when(kind.isin("ip", "ip6"), plain).otherwise(_cased(plain, m))
+    )
+    return _let(new, lambda n: F.when((m == F.upper(m)) & (m != F.lower(m)), F.upper(n)).otherwise(n))
 
 
-def dictionary(found: DataFrame, key: str, rounds: int = 50) -> DataFrame:
-    """(kind, norm, attempt, s): every distinct part of ``found(kind, norm)`` and its surrogate; no two of a kind share one, and none equals a real part.
+def _people(told: Column) -> Column:
+    """array<struct<name, new>>: the names of a text's persons as they are written, each once, and what they become."""
+    each = F.transform(F.filter(told, lambda t: t["kind"] == "person"), lambda t: F.zip_with(_names(t["m"]), t["said"], lambda n, s: F.struct(n.alias("name"), s.alias("new"))))
+    return _let(F.flatten(each), lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda x: x["name"])), lambda n: F.struct(n.alias("name"), F.element_at(F.filter(all_, lambda x: x["name"] == n), 1)["new"].alias("new"))))
 
-    Where a surrogate is taken, all but its smallest part try again with the next attempt, until a round finds none. Parts are
+
+def _lone(segment: Column, people: Column) -> Column:
+    """A stretch between entities with the lone names of ``people`` (map<name, new>) replaced."""
+    kept = F.zip_with(F.split(segment, LONE, -1), F.regexp_extract_all(segment, F.lit(LONE), 0), lambda a, w: F.concat(a, F.coalesce(F.try_element_at(people, w), w, F.lit(""))))
+    return F.array_join(kept, "")
+
+
+def mentions(docs: DataFrame, key: str) -> DataFrame:
+    """(text_hash, kind, shape, mark): the distinct parts of each text's entities, as keyed digests."""
+    found = docs.filter(F.col("text").rlike(GATE)).select(F.xxhash64("text").alias("text_hash"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), 0))).alias("m"))
+    parts = found.select("text_hash", F.explode(_let(_kind(F.col("m")), lambda kind: _parts(F.col("m"), kind))).alias("p"))
+    return parts.select("text_hash", "p.kind", shape(F.col("p.kind"), F.col("p.norm")).alias("shape"), digest(key, F.col("p.kind"), F.col("p.norm")).alias("mark"))
+
+
+def dictionary(found: DataFrame, key: str) -> DataFrame:
+    """(kind, shape, mark, attempt): every distinct part of ``found(kind, shape, mark)``, with the attempt at which no two of a kind share a surrogate and none equals a real part.
+
+    Where a surrogate is taken, all but its smallest part try again with the next attempt, until a round finds none; from the attempt
+    ``GROWS`` on surrogates grow, so that the rounds end even where a shape has fewer values than parts. Parts are
     folded before the shuffle, so one part that fills a third of all texts is one row a task.
     """
-    now = found.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)).withColumn("s", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt")))
-    for _ in range(rounds):
-        now = durable(now)
-        first = now.groupBy("kind", F.lower("s").alias("low")).agg(F.min("norm").alias("first"), F.count("*").alias("m"))
-        real = now.select("kind", F.col("norm").alias("low")).withColumn("real", F.lit(True))
-        taken = first.join(real, ["kind", "low"], "left").filter((F.col("m") > 1) | F.col("real")).select("kind", "low", F.when(F.col("real"), F.lit(None)).otherwise(F.col("first")).alias("keeps"), F.lit(True).alias("taken"))
+    now = found.select("kind", "shape", "mark").distinct().withColumn("attempt", F.lit(0))
+    while True:
+        said = F.lower(surrogate(F.col("kind"), F.col("shape"), F.col("mark"), F.col("attempt")))
+        now = durable(now.withColumn("said", digest(key, F.col("kind"), F.when(F.col("kind") == "ip6", _long_form(said)).otherwise(said))))
+        first = now.groupBy("said").agg(F.min("mark").alias("first"), F.count("*").alias("m"))
+        real = now.select(F.col("mark").alias("said"), F.lit(True).alias("real"))
+        taken = first.join(real, "said", "left").filter((F.col("m") > 1) | F.col("real")).select("said", F.when(F.col("real"), F.lit(None)).otherwise(F.col("first")).alias("keeps"), F.lit(True).alias("taken"))
         if not taken.limit(1).count():
-            return now
-        joined = now.withColumn("low", F.lower("s")).join(taken, ["kind", "low"], "left")
-        attempt = F.col("attempt") + F.when(F.col("taken") & ~F.col("norm").eqNullSafe(F.col("keeps")), 1).otherwise(0)
-        now = joined.select("kind", "norm", attempt.alias("attempt")).withColumn("s", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt")))
-    raise ValueError("surrogates still collide; give longer name lists")
+            return now.drop("said")
+        attempt = F.col("attempt") + F.when(F.col("taken") & ~F.col("mark").eqNullSafe(F.col("keeps")), 1).otherwise(0)
+        now = now.join(taken, "said", "left").select("kind", "shape", "mark", attempt.alias("attempt"))
+
+
+#: Texts with a part whose first surrogate was taken are broadcast up to this number (a hash and a few digests each).
+FEW = 100_000
 
 
 def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with entities in ``text`` replaced, and ``n_entities``; n_chars, where there is one, follows the new text.
 
     Surrogates are functions of key and part alone, but for parts whose first surrogate was taken: their attempts come to the texts that
-    hold them by a join on doc_id, which only texts that may hold an entity take part in; all others pass as they are. Texts are cut
+    hold them by a join on the text's hash (broadcast while few texts need it), so repeated or null ids gather nothing. Texts are cut
     at the entities and joined again. Addresses, names with title or known given name (gender and script kept, surname
-    shared by coreferent mentions), phones, cards (Luhn kept), social security and account numbers, IPv4 addresses and secrets are
-    entities. Null texts stay null, null and repeated ids keep their rows, and all other columns stay.
+    shared by coreferent mentions; the same names standing alone in that text go too), phones, cards (Luhn kept), social security numbers, account
+    numbers (country and check digits kept valid), IP addresses and secrets are entities. ``n_entities`` counts those found by their own shape.
+    Nothing that is written between the steps holds a part, only its keyed digest and shape. Null texts stay null, null and repeated ids
+    keep their rows, an empty table gives an empty one, and all other columns stay.
     """
     kept = [c for c in docs.columns if c != "n_entities"]
     docs = docs.select(*kept)
-    found = durable(mentions(docs))
-    spared = dictionary(found, key).filter("attempt > 0")
-    again = found.join(spared.select("kind", "norm", "attempt"), ["kind", "norm"]).select("doc_id", F.concat_ws("\x1f", "kind", "norm").alias("part"), "attempt").distinct()
-    again = again.groupBy(F.col("doc_id").alias("_id")).agg(F.map_from_entries(F.collect_list(F.struct("part", "attempt"))).alias("_again"))
+    found = durable(mentions(docs, key).distinct())
+    spared = dictionary(found, key).filter("attempt > 0").select("mark", "attempt")
+    again = found.join(spared, "mark").groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("mark", "attempt"))).alias("_again"))
+    again = durable(again.withColumnRenamed("text_hash", "_hash"))
+    again = F.broadcast(again) if again.count() <= FEW else again
     text = F.col("text")
     gate = F.coalesce(text.rlike(GATE), F.lit(False))
-    rows = docs.filter(gate).join(again, docs["doc_id"].eqNullSafe(again["_id"]), "left").drop("_id").withColumn("_found", F.regexp_extract_all(text, F.lit(ANY), 0))
-    new = F.transform(F.col("_found"), lambda m: _again(key, m, F.col("_again")))
-    joined = F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    rows = docs.filter(gate).withColumn("_hash", F.xxhash64("text")).join(again, "_hash", "left").withColumn("_found", F.regexp_extract_all(text, F.lit(ANY), 0))
+    rows = rows.withColumn("_told", F.transform("_found", lambda m: _told(key, m, F.col("_again"))))
+    cut = F.split(text, ANY, -1)
+    segments = _let(_people(F.col("_told")), lambda p: F.when(F.size(p) == 0, cut).otherwise(_let(F.map_from_entries(p), lambda known: F.transform(cut, lambda s: _lone(s, known)))))
+    joined = F.array_join(F.zip_with(segments, F.transform("_told", _written), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     rows = rows.withColumns({"text": F.when(F.size("_found") > 0, joined).otherwise(text), "n_entities": F.size("_found")}).select(*kept, "n_entities")
     rows = rows.unionByName(docs.filter(~gate).withColumn("n_entities", F.lit(0)))
     return rows.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in kept else rows
