@@ -2,8 +2,9 @@
 
 Pigeonhole: cut the 64 bits into ``blocks`` blocks; two fingerprints that differ in at most r bits agree in at least
 ``blocks - r`` of them, so for each choice of that many blocks there is one permuted table keyed by the chosen bits, and
-every pair within the radius meets in some table. A bucket (table, key) with more than ``TILE`` rows is cut into tiles
-of one population count each, and only tile pairs whose population counts differ by at most r become tasks.
+every pair within the radius meets in some table. Each bucket (table, key) is compared in tiles of rows sorted by population
+count, by exclusive or and bit counts of whole tiles; tile pairs whose population counts differ by more than r are skipped. A bucket
+with more than ``TILE`` rows is dealt to several tasks by the same rule: tiles of one population count each, a task a tile pair.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def _groups(batches: Iterator[pa.RecordBatch], work: Callable, fields: list[tupl
         yield from flush(held, np.array([len(held[0])]))
 
 
-#: Groups up to this size are screened together, by comparing rows at every distance in the sorted stream, for pairs within the largest radius in use.
+#: Groups up to this size are one tile each; many of them are compared at once, rows at every distance in the sorted stream, and only those with a pair within the largest radius in use go on.
 SMALL, WIDEST = 48, 3
 
 
@@ -127,26 +128,36 @@ def _linked_groups(fps: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int
         yield int(begins[i]), int(ends[i])
 
 
+def near_tiles(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, places) of all pairs within the radius of ``fps``, which are sorted by population count: tile by tile of STRIP rows,
+    exclusive or and bit counts of a whole tile pair at once. Tile pairs whose population counts differ beyond the radius are skipped."""
+    pops = np.bitwise_count(fps).astype(np.int16)
+    for i in range(0, len(fps), STRIP):
+        last = pops[min(i + STRIP, len(fps)) - 1]
+        for j in range(i, int(np.searchsorted(pops, last + radius, "right")), STRIP):
+            near = np.bitwise_count(fps[i : i + STRIP, None] ^ fps[None, j : j + STRIP]) <= radius
+            x, y = np.nonzero(np.triu(near, 1) if i == j else near)
+            if len(x):
+                yield x + i, y + j
+
+
 def forest(radius: int) -> Callable:
-    """Work that returns links (id, id) of a spanning forest of the group's near pairs: as many links as rows at most."""
+    """Work that returns links (id, id) of a spanning forest of the group's near pairs: fewer links than rows."""
 
     def work(table: int, fps: np.ndarray, ids: np.ndarray, sides: np.ndarray) -> list[tuple]:
         order = np.argsort(np.bitwise_count(fps), kind="stable")
         fps, ids = fps[order], ids[order]
-        pops = np.bitwise_count(fps).astype(np.int16)
-        low, high = np.searchsorted(pops, pops - radius), np.searchsorted(pops, pops + radius, "right")
-        unseen, out = np.ones(len(fps), bool), []
-        for root in range(len(fps)):
-            if not unseen[root]:
-                continue
-            unseen[root], queue = False, [root]
-            while queue:
-                i = queue.pop()
-                window = slice(low[i], high[i])
-                near = np.flatnonzero(unseen[window] & (np.bitwise_count(fps[window] ^ fps[i]) <= radius)) + low[i]
-                unseen[near] = False
-                out += [(int(ids[i]), int(ids[j])) for j in near]
-                queue += near.tolist()
+        tree, out = np.arange(len(fps)), []
+        for x, y in near_tiles(fps, radius):
+            apart = tree[x] != tree[y]
+            x, y = x[apart], y[apart]
+            if len(x):  # one pair of each two trees will do
+                low, high = np.minimum(tree[x], tree[y]), np.maximum(tree[x], tree[y])
+                for k in np.unique(low * len(fps) + high, return_index=True)[1].tolist():
+                    u, v = tree[x[k]], tree[y[k]]
+                    if u != v:
+                        tree[tree == v] = u
+                        out.append((int(ids[x[k]]), int(ids[y[k]])))
         return out
 
     return work

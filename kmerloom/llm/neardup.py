@@ -55,13 +55,15 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     Texts are read once; from there on only 16 bytes a document move. Equal fingerprints fold into one point (pre-aggregated, so a
     hot group of copies is one row), points meet in buckets and tiles (hamming.py), every bucket returns a spanning forest, and
     components.py joins the forests. Null text counts as empty (fingerprint zero, linked like any other); a null doc_id keeps its
-    row, with a null component, and links nothing; rows of one doc_id are one document
-    and share a component. Other columns are ignored; an empty table gives an empty one.
+    row, with a null component, and links nothing; rows of one doc_id are one document, so that the fingerprints of its texts are
+    linked too. Other columns are ignored; an empty table gives an empty one.
     """
     prints = durable(fingerprints(docs, width))
     points = durable(prints.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("id")))
     edges = hamming.in_buckets(points, radius, points.count(), hamming.forest(radius), "u long,v long")
-    roots = components(edges)
+    several = prints.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("doc_id")
+    shared = prints.join(several, "doc_id", "left_semi").join(points, "fp").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    roots = components(edges.unionByName(shared))
     named = points.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     out = prints.join(named, "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

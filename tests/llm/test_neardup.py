@@ -102,3 +102,31 @@ def test_components_of_long_chains(spark):
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     for part in (order[:200], order[200:], [1000, 1001]):
         assert {got.get(i, i) for i in part} == {min(part)}
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    """3 and 5 share text A, 5 also has B, 7 has B: all three are one component, though A and B aren't near."""
+    rng = random.Random(8)
+    a, b, c = (" ".join("".join(rng.choices("etaoinshr", k=5)) for _ in range(60)) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (None, c)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (3, 3), (5, 3), (5, 3), (7, 3), (9, 9)]
+
+
+def test_tiles_find_every_pair(monkeypatch):
+    """Tiles of any size give all pairs within the radius, each once; a forest links what they link."""
+    fps = np.array(clustered(6, 60), np.uint64)
+    fps = fps[np.argsort(np.bitwise_count(fps), kind="stable")]
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3, 1)))}
+    for strip in (1, 7, 64, 1000):
+        monkeypatch.setattr(hamming, "STRIP", strip)
+        got = [p for x, y in hamming.near_tiles(fps, 3) for p in zip(x.tolist(), y.tolist())]
+        assert len(got) == len(set(got)) and set(got) == {(int(i), int(j)) for i, j in want}
+        links = hamming.forest(3)(0, fps, np.arange(len(fps)), np.full(len(fps), 2))
+        assert len(links) < len(fps)
+        root = brute_components({i: {int(f)} for i, f in enumerate(fps)})
+        trees = {i: i for i in root}
+        for u, v in links:
+            a, b = trees[u], trees[v]
+            trees = {k: a if t == b else t for k, t in trees.items()}
+        assert len(set(trees.values())) == len(set(root.values()))

@@ -27,6 +27,62 @@ def test_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(rows)
 
 
+def test_order_is_a_replay_of_both_passes(spark):
+    """The same buckets and permutations by plain Python: hash of all columns, rows in the fixed order, swaps from the end."""
+    from pyspark.sql import functions as F
+
+    docs = odd(spark, clashes=False).select("doc_id", "text")
+    n, seed = docs.count(), 3
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"))
+    buckets = sharding.LEAST_BUCKETS
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(0).cast("long")), F.lit(buckets))).collect()
+    order = []
+    for b in range(buckets):
+        rows = sorted((r for r in keyed if r.bucket == b), key=lambda r: (r.key, r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+        places = list(range(len(rows)))
+        picks = np.random.default_rng([seed, b]).integers(0, np.arange(1, len(rows) + 1)) if rows else []
+        for i in range(len(rows) - 1, 0, -1):
+            places[i], places[picks[i]] = places[picks[i]], places[i]
+        order += [(rows[p].doc_id, rows[p].text) for p in places]
+    got = sharding.shards(docs, 7, seed=seed).collect()
+    starts = [s * n // 7 for s in range(8)]
+    assert {(r.shard, r.slot): (r.doc_id, r.text) for r in got} == {(s, p - starts[s]): order[p] for s in range(7) for p in range(starts[s], starts[s + 1])}
+
+
+def test_equal_rows_fill_no_bucket(spark):
+    """A third of all rows is one and the same: its copies are dealt over all buckets, in the same order however the input lies."""
+    rows = [(7, "the same text again " * 5)] * 3000 + [(i, f"text {i}") for i in range(100, 6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [sharding.shards(docs.repartition(k), 40, bucket_bytes=20_000).collect() for k in (3, 8)]
+    assert {(r.shard, r.slot): (r.doc_id, r.text) for r in runs[0]} == {(r.shard, r.slot): (r.doc_id, r.text) for r in runs[1]}
+    assert Counter((r.doc_id, r.text) for r in runs[0]) == Counter(rows)
+    per = Counter(r.shard for r in runs[0] if r.doc_id == 7)
+    assert len(per) == 40 and max(per.values()) < 3 * min(per.values())
+    by = defaultdict(list)
+    for r in runs[0]:
+        by[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
+def test_pass_two_writes_the_shards_in_order(spark, tmp_path):
+    docs = odd(spark, clashes=False)
+    done = sharding.shards(docs, 5, bucket_bytes=2000)
+    sharding.write_shards(done, str(tmp_path / "s"))
+    import glob
+
+    import pyarrow.parquet as pq
+
+    want = defaultdict(list)
+    for r in sorted(done.collect(), key=lambda r: (r.shard, r.slot)):
+        want[r.shard].append((r.doc_id, r.text))
+    for shard, rows in want.items():
+        files = [pq.ParquetFile(f).read().to_pylist() for f in glob.glob(f"{tmp_path}/s/shard={shard}/*.parquet")]
+        assert all([r["slot"] for r in f] == list(range(f[0]["slot"], f[0]["slot"] + len(f))) for f in files)
+        assert [(r["doc_id"], r["text"]) for f in sorted(files, key=lambda f: f[0]["slot"]) for r in f] == rows
+    plan = done.sortWithinPartitions("shard", "slot")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(shard" not in plan
+
+
 def test_fisher_yates_is_even():
     seen = Counter(tuple(sharding.fisher_yates(4, np.random.default_rng(i))) for i in range(24_000))
     assert len(seen) == 24 and all(800 < n < 1200 for n in seen.values())
