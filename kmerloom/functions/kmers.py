@@ -2,6 +2,9 @@
 
 A hash is, by name: ``md5`` (16 hex digits, whose string order is the unsigned order), ``xxhash64`` (a long, ordered as unsigned
 after a flip of the sign bit) or ``murmur3`` (64 bits of x64_128, seed 42, as 16 hex digits, by an Arrow UDF).
+
+How k-mers are hashed is said by three keywords everywhere (``**how`` where a function only hands them on): ``name`` of the hash,
+``canonical`` (the smaller hash of both strands) and ``valid_only`` (k-mers beyond A, C, G, T are masked).
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 BASES, COMPLEMENT = "ACGTacgt", "TGCAtgca"
 
@@ -92,6 +95,14 @@ def _murmur3_hex(values: pd.Series) -> pd.Series:
     return pd.Series([f"{h:016x}" for h in hashed.tolist()]).where(values.notna().to_numpy(), None)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _murmur3_list(lists: pd.Series) -> pd.Series:
+    """The same of whole lists, hashed together."""
+    hexed = [f"{h:016x}" for h in murmur3_x64([v.encode() for values in lists for v in values]).tolist()]
+    ends = np.cumsum([len(values) for values in lists], dtype=np.int64)
+    return pd.Series([hexed[e - len(values) : e] for e, values in zip(ends.tolist(), lists)], dtype=object)
+
+
 HASHES: dict[str, Callable[[Column], Column]] = {
     "md5": lambda c: F.substring(F.md5(c), 1, 16),
     "xxhash64": lambda c: F.xxhash64(c),
@@ -113,10 +124,29 @@ def kmer_hash(kmer: Column, name: str = "md5", canonical: bool = False) -> Colum
     return order_key(F.least(*both), name)
 
 
-def hashes(seq: Column, ks: list[int], name: str = "md5", canonical: bool = False) -> Column:
-    """Hash of every k-mer in sequence order, duplicates kept."""
-    assert name != "murmur3", "a Python hash can't run inside an array function; explode the k-mers first"
-    return F.transform(kmers_multi(seq, ks), lambda x: kmer_hash(x, name, canonical))
+def hashes(seq: Column, ks: list[int], name: str = "md5", canonical: bool = False, valid_only: bool = False) -> Column:
+    """Hash of every k-mer in sequence order, duplicates kept; masked k-mers are left out."""
+    listed = kmers_multi(seq, ks)
+    listed = F.filter(listed, is_valid) if valid_only else listed
+    if name != "murmur3":
+        return F.transform(listed, lambda x: kmer_hash(x, name, canonical))
+    # a Python hash can't run inside an array function, so it takes the lists
+    one = _murmur3_list(listed)
+    return F.zip_with(one, _murmur3_list(F.transform(listed, reverse_complement)), lambda a, b: F.least(a, b)) if canonical else one
+
+
+def hash_type(name: str = "md5") -> str:
+    return "bigint" if name == "xxhash64" else "string"
+
+
+def depth_key(kmer: Column, canonical: bool = False) -> Column:
+    """A long that stands for the k-mer (or for both its strands) where only equality counts."""
+    return F.xxhash64(F.least(kmer, reverse_complement(kmer)) if canonical else kmer)
+
+
+def slot(h: Column, slots: int, name: str = "md5") -> Column:
+    """Which of ``slots`` counters a hash falls into."""
+    return F.pmod(h if name == "xxhash64" else F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(slots))
 
 
 def bottom(h: Column, s: int | None, name: str = "md5") -> Column:
@@ -154,6 +184,11 @@ def insertions(kmer: Column) -> Column:
     return F.when(F.length(kmer) >= 2, F.flatten(F.transform(F.sequence(F.lit(1), F.length(kmer) - 1), at))).otherwise(none)
 
 
+def six(number: Column) -> Column:
+    """A number as text with six decimals."""
+    return F.format_string("%.6f", F.round(number, 6))
+
+
 def ratio_text(shared: Column, total: Column) -> Column:
     """shared/total as text."""
     return F.concat_ws("/", shared.cast("string"), total.cast("string"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.functions import kmers as K
-from kmerloom.operators.sketch import hash_table
+from kmerloom.functions.kmers import six
+from kmerloom.operators.sketch import durable, hash_table
+
+#: Group names up to this number are broadcast.
+GROUPS = 100_000
 
 
 def lineage_of(name: Column, letters: int) -> Column:
@@ -14,22 +19,32 @@ def lineage_of(name: Column, letters: int) -> Column:
     return F.substring(name, 1, letters)
 
 
-def group_unique(seqs: DataFrame, group: str, k: int, name: str = "md5") -> DataFrame:
-    """(group, hash) of hashes that occur in one group only. A hash is unique when its smallest and largest group agree, so no distinct count is needed."""
-    table = seqs.select("id", F.col(group).alias("g"), "seq").select("g", F.explode_outer(K.kmers(F.col("seq"), k)).alias("kmer")).filter(F.col("kmer").isNotNull())
-    ends = table.select("g", K.kmer_hash(F.col("kmer"), name).alias("hash")).groupBy("hash").agg(F.min("g").alias("g"), F.max("g").alias("last"))
-    return ends.filter(F.col("g") == F.col("last")).select(F.col("g").alias(group), "hash")
+def group_unique(seqs: DataFrame, group: str, ks: int | list[int], **how) -> DataFrame:
+    """(group, hash) of hashes that occur in one group only.
+
+    A hash is unique when its smallest and largest group agree. Groups travel as a long each (Spark folds those in place, not
+    strings), and get their names back at the end.
+    """
+    ks = [ks] if isinstance(ks, int) else ks
+    named = seqs.select(F.col(group).alias("g"), F.xxhash64(group).alias("code"), F.col("seq"))
+    table = hash_table(named.select(F.col("code").alias("id"), "seq"), ks, **how)
+    ends = table.groupBy("hash").agg(F.min("id").alias("code"), F.max("id").alias("last")).filter(F.col("code") == F.col("last"))
+    names = durable(named.filter(F.col("g").isNotNull()).select("g", "code").distinct())
+    names = F.broadcast(names) if names.count() <= GROUPS else names
+    return ends.join(names, "code").select(F.col("g").alias(group), "hash")
 
 
-def group_overlap(reads: DataFrame, ks: list[int], unique: DataFrame, group: str, name: str = "md5", similarity: str = "read") -> DataFrame:
+def group_overlap(reads: DataFrame, ks: list[int], unique: DataFrame, group: str, similarity: str = "read", deep: DataFrame | None = None, **how) -> DataFrame:
     """(read_id, group, shared, n_hashes, sim, rank): distinct hashes that a read shares with each group's own ones, ranked.
 
-    ``n_hashes`` counts all of the read's k-mers, repeated and masked ones too. Similarity is shared over these (``read``), over
-    the group's hashes (``group``) or over the union (``jaccard``); ranks fall with it, ties by group name.
+    ``n_hashes`` counts all of the read's k-mers, repeated and masked ones too; with ``deep(hash)`` only those hashes can be shared.
+    Similarity is shared over these (``read``), over the group's hashes (``group``) or over the union (``jaccard``); ranks fall with it, ties by group name.
     """
-    table = hash_table(reads, ks, name)
-    n = table.groupBy("id").agg(F.count("*").alias("n_hashes"))
-    shared = table.select("id", "hash").distinct().join(unique, "hash").groupBy("id", group).agg(F.count("*").alias("shared"))
+    table = hash_table(reads, ks, **how)
+    n = read_sizes(reads, ks)
+    held = table.select("id", "hash").distinct()
+    held = held if deep is None else held.join(deep, "hash", "left_semi")
+    shared = held.join(unique, "hash").groupBy("id", group).agg(F.count("*").alias("shared"))
     out = shared.join(n, "id")
     if similarity != "read":
         out = out.join(unique.groupBy(group).agg(F.count("*").alias("size")), group)
@@ -39,6 +54,12 @@ def group_overlap(reads: DataFrame, ks: list[int], unique: DataFrame, group: str
     return out.withColumn("rank", rank).select(F.col("id").alias("read_id"), group, "shared", "n_hashes", "sim", "rank")
 
 
+def read_sizes(reads: DataFrame, ks: list[int]) -> DataFrame:
+    """(id, n_hashes): number of k-mers, by length alone."""
+    n = reduce(Column.__add__, (F.greatest(F.lit(0), F.coalesce(F.length("seq"), F.lit(0)) - (k - 1)) for k in ks))
+    return reads.groupBy("id").agg(F.sum(n.cast("long")).alias("n_hashes"))
+
+
 def ranked_lists(overlap: DataFrame, group: str) -> DataFrame:
     """(read_id, n_hashes, groups): array<struct<name, sim, shared>> in rank order."""
     one = F.struct("rank", F.col(group).alias("name"), "sim", "shared")
@@ -56,7 +77,7 @@ def assign(reads: DataFrame, min_hashes: int = 50, min_type_match: int = 15) ->
     """Lineage and sub-lineage of ``reads(read_id, n_hashes, type_shared, lin, sublin)``, whose lists are ranked.
 
     Reads with fewer hashes or type matches go. The lineage is the first with more than 5 shared hashes, the sub-lineage the first
-    with more than 2 and a similarity over 0.005. Where they disagree, a strong lineage (more than 10) takes the second sub-lineage if that one
+    with more than 2 and a similarity over 0.005. Where both are there and disagree, a strong lineage (more than 10) takes the second sub-lineage if that one
     agrees and has more than 2; else the sub-lineage is cleared.
     """
     kept = reads.filter((F.col("n_hashes") >= min_hashes) & (F.col("type_shared") >= min_type_match))
@@ -64,10 +85,31 @@ def assign(reads: DataFrame, min_hashes: int = 50, min_type_match: int = 15) ->
     kept = kept.withColumns({"lineage": F.coalesce(lin, F.lit("")), "sublineage": F.coalesce(sub, F.lit(""))})
     second = F.try_element_at("sublin", F.lit(2))
     agrees = (F.try_element_at("lin", F.lit(1))["shared"] > 10) & (second["shared"] > 2) & (F.substring(second["name"], 1, 1) == F.try_element_at("lin", F.lit(1))["name"])
-    differs = (F.col("sublineage") != "") & (F.substring("sublineage", 1, 1) != F.col("lineage"))
+    differs = (F.col("lineage") != "") & (F.col("sublineage") != "") & (F.substring("sublineage", 1, 1) != F.col("lineage"))
     return kept.withColumn("sublineage", F.when(differs, F.when(F.coalesce(agrees, F.lit(False)), second["name"]).otherwise("")).otherwise(F.col("sublineage")))
 
 
+def summary(assigned: DataFrame) -> DataFrame:
+    """One row of ``assign``'s result: shares of lineages and sub-lineages, counts of sub-lineages (each 'name:value;...' falling), and whether either had too few reads."""
+    cells = []
+    for level, column in (("lineage", "lineage"), ("sublineage", "sublineage")):
+        found = prevalence(assigned, column, level)
+        text = lambda v: F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["name"], v(x))), ";")
+        order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "name", "n", "pct")))
+        one = found.agg(order.alias("l"), F.coalesce(F.sum("n"), F.lit(0)).cast("string").alias("total"), F.coalesce(F.first("enough"), F.lit(False)).alias("enough"))
+        note = F.concat(F.when(F.col("enough"), F.lit("INFO:")).otherwise(F.lit("WARN:low_")), F.lit(f"{level}_counts:"), F.col("total"))
+        counts = [text(lambda x: x["n"].cast("string")).alias("sublineage_counts")] if level == "sublineage" else []
+        cells.append(one.select(text(lambda x: six(x["pct"])).alias(f"{level}s"), *counts, note.alias(f"{level}_note")))
+    return cells[0].join(cells[1], how="cross")  # one row each
+
+
+def with_zeros(lists: DataFrame, column: str, names: DataFrame, name: str) -> DataFrame:
+    """``lists`` whose ``column`` also names, behind the groups it has, all other groups of ``names`` with nothing shared, in order of name. One row of names is broadcast."""
+    every = F.broadcast(names.agg(F.sort_array(F.collect_set(name)).alias("_names")))
+    rest = F.transform(F.array_except("_names", F.transform(column, lambda g: g["name"])), lambda n: F.struct(n.alias("name"), F.lit(0.0).alias("sim"), F.lit(0).cast("long").alias("shared")))
+    return lists.join(every, how="cross").withColumn(column, F.concat(column, rest)).drop("_names")
+
+
 def prevalence(assigned: DataFrame, name: str, level: str) -> DataFrame:
     """(level, name, n, pct, enough): shares of the assignments; ``enough`` is false below 1000 of them in all."""
     counted = assigned.filter(F.col(name).isNotNull() & (F.col(name) != "")).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n"))

@@ -14,13 +14,17 @@ FEW = 1_000_000
 def hits(reads: DataFrame, refs: DataFrame) -> DataFrame:
     """(read_id, ref_id, shared, read_size): pairs with a common hash, by an inverted index of the references; a read without any has one row with a null reference.
 
-    Read sketches are made once: their sizes come from the places of the exploded hashes. The index is broadcast only when its
-    counted size is small. Otherwise both sides shuffle by hash.
+    Read sketches are made once: their sizes come from the places of the exploded hashes. The index (counted, so hand in ``refs`` as a table)
+    is broadcast only when small. Otherwise both sides shuffle by hash: a read without hashes goes by its id, so that empty sketches
+    don't meet in one task, and a hash that most reads hold is a skewed key that AQE splits (the index has one row a reference for it).
     """
-    index = long_form(refs).select(F.col("id").alias("ref_id"), "hash")
-    near = F.broadcast if index.count() <= FEW else lambda df: df
+    index = long_form(refs).select(F.col("id").alias("ref_id"), F.col("hash").alias("_hash"))
     long = reads.select(F.col("id").alias("read_id"), F.posexplode_outer("sketch").alias("pos", "hash"))
-    found = long.join(near(index), "hash", "left")
+    if index.count() <= FEW:
+        found = long.join(F.broadcast(index), F.col("hash") == F.col("_hash"), "left")
+    else:
+        key = F.coalesce(F.col("hash").cast("string"), F.concat(F.lit("none "), F.col("read_id").cast("string")))
+        found = long.withColumn("_key", key).join(index.withColumn("_hash", F.col("_hash").cast("string")), F.col("_key") == F.col("_hash"), "left")
     return found.groupBy("read_id", "ref_id").agg(F.count("ref_id").alias("shared"), F.max("pos").alias("pos")).select(
         "read_id", "ref_id", "shared", (F.coalesce(F.max("pos").over(Window.partitionBy("read_id")), F.lit(-1)) + 1).alias("read_size")
     )
@@ -31,14 +35,28 @@ def pairs(reads: DataFrame, refs: DataFrame) -> DataFrame:
     return hits(reads, refs).filter(F.col("ref_id").isNotNull())
 
 
+def panel_row(refs: DataFrame) -> DataFrame:
+    """One row with all sketches of ``refs(id, ord, sketch)`` as ``panel``, in order of ``ord``; its hashes are counted first and may be ``FEW`` at most."""
+    total = refs.agg(F.sum(F.size("sketch"))).first()[0] or 0
+    if total > FEW:
+        raise ValueError(f"a panel of {total} hashes is too large to travel as one row (limit {FEW}); use the joined form")
+    return F.broadcast(refs.agg(F.array_sort(F.collect_list(F.struct("ord", F.col("id").alias("ref_id"), F.col("sketch").alias("s")))).alias("panel")))
+
+
 def pairs_local(reads: DataFrame, refs: DataFrame) -> DataFrame:
-    """The same without a shuffle, for a small panel: its sketches travel as one array, each read intersects them in its row. Stateless, so it also streams."""
-    panel = [(r.id, r.sketch) for r in refs.select("id", "sketch").collect()]
-    known = F.array(*(F.struct(F.lit(i).alias("ref_id"), F.array(*map(F.lit, s)).cast("array<string>").alias("s")) for i, s in panel)) if panel else None
-    if known is None:
-        return reads.select(F.col("id").alias("read_id"), F.lit(None).cast("long").alias("ref_id"), F.lit(0).alias("shared")).limit(0)
-    each = F.transform(known, lambda r: F.struct(r["ref_id"].alias("ref_id"), F.size(F.array_intersect(F.col("sketch"), r["s"])).alias("shared")))
-    return reads.select(F.col("id").alias("read_id"), F.explode(each).alias("p")).select("read_id", "p.ref_id", F.col("p.shared").cast("long").alias("shared")).filter("shared > 0")
+    """The same without a shuffle, for a small panel: its sketches travel as one broadcast row, each read intersects them in its row. Stateless, so it also streams."""
+    panel = panel_row(refs.select("id", F.col("id").alias("ord"), "sketch"))
+    each = F.transform("panel", lambda r: F.struct(r["ref_id"].alias("ref_id"), F.size(F.array_intersect(F.col("sketch"), r["s"])).alias("shared")))
+    beside = reads.select(F.col("id").alias("read_id"), "sketch").join(panel, how="cross")  # one row
+    return beside.select("read_id", F.explode(each).alias("p")).select("read_id", "p.ref_id", F.col("p.shared").cast("long").alias("shared")).filter("shared > 0")
+
+
+def all_counts(refs: DataFrame, found: DataFrame) -> DataFrame:
+    """(read_id, counts): each read's shared hashes with every reference of ``refs(id, ord)``, zeros too, in order of ``ord``."""
+    names = F.broadcast(refs.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda r: r["id"]).alias("names")))
+    known = F.map_from_entries(F.filter(F.collect_list(F.when(F.col("ref_id").isNotNull(), F.struct("ref_id", "shared"))), lambda x: x.isNotNull()))
+    listed = found.groupBy("read_id").agg(known.alias("known")).join(names, how="cross")  # one row
+    return listed.select("read_id", F.transform("names", lambda r: F.coalesce(F.try_element_at("known", r), F.lit(0).cast("long"))).alias("counts"))
 
 
 def with_sizes(p: DataFrame, refs: DataFrame) -> DataFrame:
@@ -55,12 +73,13 @@ def inverted_index(refs: DataFrame) -> DataFrame:
 def verdicts(refs: DataFrame, p: DataFrame, start: int = -1, last_wins: bool = False, min_matches: int = -1, min_diff: int = 0, depth_limit: int | None = None) -> DataFrame:
     """(read_id, ref_id, shared, sketch_size, diff_prefix, diff_runner_up, fail_depth, fail_matches, fail_diff) for every read of ``hits``.
 
-    ``refs`` has ``ord`` from 0. The best reference is the first (``last_wins``: the last) with the most shared hashes. With ``start``
+    ``ord`` is the order of ``refs``, of any type (their names: ties go by name). The best reference is the first (``last_wins``: the last) with the most shared hashes. With ``start``
     -1 a read that shares nothing gets the first reference, with 0 none. ``diff_prefix`` is the best less the most among earlier
     references (``start`` if there are none), ``diff_runner_up`` the best less the second best. ``depth_limit``: sketches up to
     this size fail (``min_matches`` if not given); a best below ``min_matches`` fails; a prefix difference up to ``min_diff`` fails.
     """
     order = refs.select(F.col("id").alias("ref_id"), "ord")
+    ends_at = refs.agg(F.min("ord").alias("low"), (F.max_by if last_wins else F.min_by)("id", "ord").alias("id")).first()
     named = p.join(F.broadcast(order) if order.count() <= FEW else order, "ref_id", "left")
     listed = named.groupBy("read_id").agg(F.max("read_size").alias("sketch_size"), F.collect_list(F.when(F.col("ref_id").isNotNull(), F.struct("ord", "shared", "ref_id"))).alias("l"))
     l = F.col("l")  # noqa: E741
@@ -69,11 +88,8 @@ def verdicts(refs: DataFrame, p: DataFrame, start: int = -1, last_wins: bool = F
     top = listed.withColumn("best", most).withColumn("at", F.array_max(ends) if last_wins else F.array_min(ends))
     earlier = F.coalesce(F.array_max(F.transform(F.filter(l, lambda x: x["ord"] < F.col("at.ord")), lambda x: x["shared"])), F.lit(0))
     rest = F.coalesce(F.array_max(F.transform(F.filter(l, lambda x: x["ord"] != F.col("at.ord")), lambda x: x["shared"])), F.lit(0))
-    top = top.select("read_id", "sketch_size", F.col("at.ref_id").alias("hit"), F.col("best"), F.when(F.col("at.ord") == 0, F.lit(start)).when(F.col("at.ord") > 0, F.greatest(F.lit(start), earlier)).alias("prev"), rest.alias("second"))
-    first = refs.agg((F.max_by if last_wins else F.min_by)("id", "ord").alias("first_id"))
-    zero: Column = F.lit(None)
-    if start < 0:
-        zero = F.lit(first.first().first_id)
+    top = top.select("read_id", "sketch_size", F.col("at.ref_id").alias("hit"), F.col("best"), F.when(F.col("at.ord") == F.lit(ends_at.low), F.lit(start)).when(F.col("at.ord").isNotNull(), F.greatest(F.lit(start), earlier)).alias("prev"), rest.alias("second"))
+    zero: Column = F.lit(ends_at.id if start < 0 else None)
     best = F.coalesce("best", F.lit(0))
     diff = F.coalesce(F.col("best") - F.col("prev"), F.lit(0 - start)).cast("long")
     limit = min_matches if depth_limit is None else depth_limit

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kmerloom.functions.kmers import six
+
 
 def strain_counts(classified: DataFrame) -> DataFrame:
     """(ref_id, n): reads a reference, failed reads left out."""
@@ -31,6 +33,20 @@ def accuracy_by_group(assigned: DataFrame, group: str, estimate: str, truth: str
     return assigned.groupBy(group).agg(F.count("*").alias("n"), F.avg((F.col(estimate) == F.col(truth)).cast("double")).alias("pct_correct"))
 
 
+def accuracy_of_lineages(calls: DataFrame, least_sim: float = 0.0) -> DataFrame:
+    """(strain, n, pct_sublineage, pct_lineage) of ``calls(strain, lineage, lin_sim, sublineage, sub_sim)``: a call is right when it names the strain (the lineage: its first letter) with a similarity over ``least_sim``."""
+    sub = (F.col("strain") == F.col("sublineage")) & (F.col("sub_sim") > least_sim)
+    lin = (F.substring("strain", 1, 1) == F.substring("lineage", 1, 1)) & (F.col("lin_sim") > least_sim)
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    return calls.groupBy("strain").agg(F.count("*").alias("n"), share(sub).alias("pct_sublineage"), share(lin).alias("pct_lineage"))
+
+
+def composition(calls: DataFrame, least_sim: float = 0.01) -> DataFrame:
+    """(name, n, pct): estimated make-up by the sub-lineages called with a similarity over ``least_sim``."""
+    counted = calls.filter(F.col("sub_sim") > least_sim).groupBy(F.col("sublineage").alias("name")).agg(F.count("*").alias("n"))
+    return counted.withColumn("pct", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
+
+
 def total_error(truth: DataFrame, estimate: DataFrame) -> DataFrame:
     """One row from (name, pct) tables: the summed absolute error, whether first and second agree or are flipped, and what the truth over 0.05 and 0.1 says of it."""
     both = truth.select("name", F.col("pct").alias("t")).join(estimate.select("name", F.col("pct").alias("e")), "name", "full").fillna(0.0, ["t", "e"])
@@ -57,6 +73,53 @@ def mixture_sample(reads: DataFrame, group: str, wanted: dict[str, int] | Column
     return reads.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(order, "id"))).filter(F.col("_r") <= n).drop("_r")
 
 
+def mixture_reads(reads: DataFrame, spec: list[tuple[int, str, float, int]], genome_length: float, strain: str = "strain", seed: int = 42, read_length: int = 250) -> DataFrame:
+    """``reads(id, strain, ...)`` drawn for every mixture of ``spec`` (mixture, strain, proportion, coverage), with ``mixture`` and ``mixture_name``.
+
+    A strain gives ceil(coverage * genome / read length * proportion) reads, first by a seeded hash of their ids; every mixture is the union of its strains'.
+    """
+    names = {m: "_".join(f"{s}-{p:g}" for x, s, p, _ in spec if x == m) + "_" + str([c for x, _, _, c in spec if x == m][-1]) for m in {row[0] for row in spec}}
+    rows = [(m, names[m], s, reads_needed(c, genome_length, p, read_length)) for m, s, p, c in spec]
+    wanted = reads.sparkSession.createDataFrame(rows, f"mixture int, mixture_name string, {strain} string, _n long")  # as long as the design
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))
+    drawn = reads.join(F.broadcast(wanted), strain).withColumn("_r", F.row_number().over(Window.partitionBy("mixture", strain).orderBy(order, "id")))
+    return drawn.filter(F.col("_r") <= F.col("_n")).drop("_r", "_n")
+
+
+def shuffled(rows: DataFrame, key: str = "id", seed: int = 42) -> DataFrame:
+    """``rows`` in a seeded random order (by ``shuffle_key``, a hash of the key), as a distributed sort."""
+    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return rows.withColumn("shuffle_key", mixed).orderBy("shuffle_key", key)
+
+
+def strain_features(found: DataFrame, strains: list[str] | None = None, collapse: bool = False) -> DataFrame:
+    """(sample, strain, n) of ``found(sample, strain)``: reads a strain. A missing name counts as 'unclassified'; ``collapse`` keeps first letters ('U'); every strain of ``strains`` is there, with 0 if need be."""
+    blank = F.col("strain").isNull() | (F.col("strain") == "")
+    name = F.when(blank, "U" if collapse else "unclassified").otherwise(F.substring("strain", 1, 1) if collapse else F.col("strain"))
+    counted = found.groupBy("sample", name.alias("strain")).agg(F.count("*").alias("n"))
+    if strains:
+        zero = found.select("sample").distinct().select("sample", F.explode(F.array(*map(F.lit, strains))).alias("strain"), F.lit(0).cast("long").alias("n"))
+        counted = counted.unionByName(zero).groupBy("sample", "strain").agg(F.sum("n").alias("n"))
+    return counted
+
+
+def sample_labels(samples: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """(sample, label) of ``samples(sample, coinfected)``: 1 or -1, or with ``classes(name, label)`` the class of 'coinfected' or of the sample's first letter."""
+    if classes is None:
+        return samples.select("sample", F.when(F.col("coinfected"), "1").otherwise("-1").alias("label"))
+    name = F.when(F.col("coinfected"), "coinfected").otherwise(F.substring("sample", 1, 1))
+    known = F.broadcast(classes.select(F.col("name").alias("_name"), F.col("label").cast("string").alias("label")))  # one row a class of a label map
+    return samples.withColumn("_name", name).join(known, "_name").select("sample", "label")
+
+
+def result_lines(features: DataFrame, labels: DataFrame, tag: str = "hpv", namespace: str = "vir", normalize: bool = False) -> DataFrame:
+    """(sample, line): one model line a sample, "label 1.0 'tag |namespace strain:count ...", strains by name; ``normalize`` gives shares."""
+    listed = features.groupBy("sample").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("strain", "n"))).alias("l")).join(labels, "sample")
+    weight = (lambda x: six(x["n"] / F.col("total"))) if normalize else (lambda x: x["n"].cast("string"))
+    pairs = F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["strain"], weight(x))), " ")
+    return listed.select("sample", F.concat("label", F.lit(f" 1.0 '{tag} |{namespace} "), pairs).alias("line"))
+
+
 def random_mixtures(strains: list[str], n: int, seed: int, least: float = 0.04, most: float = 0.5, coverage: tuple[int, int] = (20, 200), largest: int = 5) -> list[list[tuple[str, float, int]]]:
     """n mixture designs as (strain, proportion, coverage): two to ``largest`` strains, drawn proportions within bounds, the first takes the rest."""
     rng, out = random.Random(seed), []

@@ -1,4 +1,7 @@
-"""Sketches, depths and sample frequencies. Tables have ``id`` and ``seq``; hash tables are long: one row a hash."""
+"""Sketches, depths and sample frequencies. Tables have ``id`` and ``seq``; hash tables are long: one row a hash.
+
+``**how`` is how k-mers are hashed: ``name``, ``canonical``, ``valid_only`` (see functions/kmers.py).
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,9 @@ from pyspark.sql import functions as F
 from kmerloom.cluster import durable, spread  # noqa: F401
 from kmerloom.functions import kmers as K
 
+#: Deep k-mers (a long each) up to this number are broadcast; beyond it the join shuffles by k-mer.
+DEEP = 4_000_000
+
 
 def kmer_table(seqs: DataFrame, ks: list[int]) -> DataFrame:
     """(id, pos, k, kmer): every k-mer of every k."""
@@ -19,15 +25,15 @@ def kmer_table(seqs: DataFrame, ks: list[int]) -> DataFrame:
 
 
 def hash_table(seqs: DataFrame, ks: list[int], name: str = "md5", canonical: bool = False, valid_only: bool = False) -> DataFrame:
-    """(id, pos, k, hash), duplicates kept; with ``valid_only`` k-mers beyond A, C, G, T are left out."""
+    """(id, pos, k, hash), duplicates kept; masked k-mers are left out."""
     table = kmer_table(seqs, ks)
     table = table.filter(K.is_valid(F.col("kmer"))) if valid_only else table
     return table.select("id", "pos", "k", K.kmer_hash(F.col("kmer"), name, canonical).alias("hash"))
 
 
-def sketches(seqs: DataFrame, ks: list[int], s: int | None = 1000, name: str = "md5", canonical: bool = False) -> DataFrame:
+def sketches(seqs: DataFrame, ks: list[int], s: int | None = 1000, name: str = "md5", canonical: bool = False, valid_only: bool = False) -> DataFrame:
     """(id, sketch): the s smallest distinct hashes of a row, made in the row, without a shuffle."""
-    return seqs.select("id", K.bottom(K.hashes(F.col("seq"), ks, name, canonical), s, name).alias("sketch"))
+    return seqs.select("id", K.bottom(K.hashes(F.col("seq"), ks, name, canonical, valid_only), s, name).alias("sketch"))
 
 
 def long_form(sk: DataFrame, *keep: str) -> DataFrame:
@@ -35,65 +41,92 @@ def long_form(sk: DataFrame, *keep: str) -> DataFrame:
     return sk.select("id", *keep, F.explode_outer("sketch").alias("hash")).filter(F.col("hash").isNotNull())
 
 
-def counts_by_sequence(seqs: DataFrame, ks: list[int], name: str = "md5") -> DataFrame:
+def counts_by_sequence(seqs: DataFrame, ks: list[int], **how) -> DataFrame:
     """(id, hash, n): occurrences within a sequence."""
-    return hash_table(seqs, ks, name).groupBy("id", "hash").agg(F.count("*").alias("n"))
+    return hash_table(seqs, ks, **how).groupBy("id", "hash").agg(F.count("*").alias("n"))
 
 
-def depth(seqs: DataFrame, ks: list[int], name: str = "md5", canonical: bool = False) -> DataFrame:
+def depth(seqs: DataFrame, ks: list[int], **how) -> DataFrame:
     """(hash, depth): occurrences over all sequences, folded before the shuffle."""
-    return hash_table(seqs, ks, name, canonical).groupBy("hash").agg(F.count("*").alias("depth"))
+    return hash_table(seqs, ks, **how).groupBy("hash").agg(F.count("*").alias("depth"))
+
 
+def slot_depth(seqs: DataFrame, ks: list[int], slots: int, name: str = "md5", **how) -> DataFrame:
+    """(slot, depth): the counter of fixed size. Hashes of one slot are counted together, so a depth is never too small; rows never exceed ``slots``."""
+    return hash_table(seqs, ks, name, **how).groupBy(K.slot(F.col("hash"), slots, name).alias("slot")).agg(F.count("*").alias("depth"))
 
-def approximate_depth(seqs: DataFrame, ks: list[int], eps: float = 1e-4, confidence: float = 0.99, name: str = "md5") -> bytes:
-    """A count-min sketch of the hashes, whose size doesn't grow with the input."""
-    table = hash_table(seqs, ks, name)
+
+def approximate_depth(seqs: DataFrame, ks: list[int], eps: float = 1e-4, confidence: float = 0.99, **how) -> bytes:
+    """A count-min sketch of the hashes, whose size (by ``eps`` and ``confidence`` alone) doesn't grow with the input."""
+    table = hash_table(seqs, ks, **how)
     return table.agg(F.count_min_sketch("hash", F.lit(eps), F.lit(confidence), F.lit(42)).alias("cms")).first().cms
 
 
-def sample_frequency(seqs: DataFrame, ks: list[int], name: str = "md5", mode: str = "samples") -> DataFrame:
+def sample_frequency(seqs: DataFrame, ks: list[int], mode: str = "samples", **how) -> DataFrame:
     """(hash, n_refs): distinct sequences that hold a hash; ``mode='occurrence'`` counts every occurrence."""
-    table = hash_table(seqs, ks, name)
+    table = hash_table(seqs, ks, **how)
     table = table if mode == "occurrence" else table.select("id", "hash").distinct()
     return table.groupBy("hash").agg(F.count("*").alias("n_refs"))
 
 
-def gathered(long: DataFrame, s: int | None, extra: list[Column] | None = None) -> DataFrame:
-    """(id, sketch) from the long form. Only the s smallest of a row group survive, so the lists stay short."""
-    return long.groupBy("id").agg(F.sort_array(F.collect_set("hash")).alias("sketch"), *(extra or [])).withColumn("sketch", F.slice("sketch", 1, s) if s else F.col("sketch"))
+def gathered(long: DataFrame, s: int | None, name: str = "md5") -> DataFrame:
+    """(id, sketch) from the long form. A list holds the distinct hashes of one sequence, which were one row before."""
+    return long.groupBy("id").agg(K.bottom(F.collect_set("hash"), s, name).alias("sketch"))
+
 
+def masked_sketches(seqs: DataFrame, ks: list[int], s: int | None, min_depth: int, over: DataFrame | None = None, depths: DataFrame | None = None, slots: int | None = None, name: str = "md5", canonical: bool = False, valid_only: bool = False) -> DataFrame:
+    """(id, sketch) of the hashes that occur ``min_depth`` times or more in ``over`` (the sequences themselves).
 
-def masked_sketches(seqs: DataFrame, ks: list[int], s: int | None, min_depth: int, name: str = "md5", over: DataFrame | None = None) -> DataFrame:
-    """(id, sketch) of the hashes that occur ``min_depth`` times or more in ``over`` (the sequences themselves)."""
-    own = counts_by_sequence(seqs, ks, name)
-    total = (own.groupBy("hash").agg(F.sum("n").alias("depth")) if over is None else depth(over, ks, name)).filter(F.col("depth") >= min_depth)
-    kept = gathered(own.join(total, "hash").select("id", "hash"), s)
-    return _all_ids(seqs, kept)
+    Depths are counted on a long a k-mer, folded before their shuffle; only the deep ones (broadcast up to ``DEEP`` of them, counted) meet the
+    k-mers again, and only what is left is hashed and gathered. ``depths(hash, depth)`` is a table counted before, ``slots`` counts
+    in that many counters instead, where a rare k-mer may pass with its slot.
+    """
+    long = kmer_table(seqs, ks)
+    long = long.filter(K.is_valid(F.col("kmer"))) if valid_only else long
+    hashed = K.kmer_hash(F.col("kmer"), name, canonical)
+    if depths is not None:
+        key, deep = hashed, depths.filter(F.col("depth") >= min_depth).select(F.col("hash").alias("key"))
+    else:
+        key = K.slot(hashed, slots, name) if slots else K.depth_key(F.col("kmer"), canonical)
+        counted = kmer_table(over, ks) if over is not None else long
+        counted = counted.filter(K.is_valid(F.col("kmer"))) if valid_only else counted
+        deep = counted.groupBy(key.alias("key")).agg(F.count("*").alias("depth")).filter(F.col("depth") >= min_depth).select("key")
+    deep = durable(deep)
+    deep = F.broadcast(deep) if deep.count() <= DEEP else deep
+    kept = long.select("id", "kmer", key.alias("key")).join(deep, "key", "left_semi").select("id", hashed.alias("hash"))
+    return _all_ids(seqs, gathered(kept, s, name), name)
 
 
-def _all_ids(seqs: DataFrame, kept: DataFrame) -> DataFrame:
-    return seqs.select("id").join(kept, "id", "left").withColumn("sketch", F.coalesce("sketch", F.array().cast("array<string>")))
+def _all_ids(seqs: DataFrame, kept: DataFrame, name: str) -> DataFrame:
+    none = F.array().cast(f"array<{K.hash_type(name)}>")
+    return seqs.select("id").join(kept, "id", "left").withColumn("sketch", F.coalesce("sketch", none))
 
 
-def max_samples_sketches(seqs: DataFrame, ks: list[int], s: int | None, max_samples: int, name: str = "md5", strict: bool = False, mode: str = "samples") -> DataFrame:
+def max_samples_sketches(seqs: DataFrame, ks: list[int], s: int | None, max_samples: int, strict: bool = False, mode: str = "samples", name: str = "md5", **how) -> DataFrame:
     """(id, sketch) of the hashes that at most ``max_samples`` sequences hold; ``strict``: fewer (informative k-mers)."""
-    freq = sample_frequency(seqs, ks, name, mode)
+    freq = sample_frequency(seqs, ks, mode, name=name, **how)
     freq = freq.filter(F.col("n_refs") < max_samples) if strict else freq.filter(F.col("n_refs") <= max_samples)
-    table = hash_table(seqs, ks, name).select("id", "hash").distinct()
-    return _all_ids(seqs, gathered(table.join(freq, "hash").select("id", "hash"), s))
+    table = hash_table(seqs, ks, name, **how).select("id", "hash").distinct()
+    return _all_ids(seqs, gathered(table.join(freq, "hash").select("id", "hash"), s, name), name)
 
 
-def merge(sk: DataFrame, group: str, s: int) -> DataFrame:
+def _smallest(long: DataFrame, group: str, s: int, name: str) -> DataFrame:
+    """The rows of each group's s smallest hashes. Spark cuts a group to s rows before the shuffle, so a hot group isn't gathered."""
+    run = Window.partitionBy(group).orderBy(K.order_key(F.col("hash"), name))
+    return long.withColumn("r", F.row_number().over(run)).filter(F.col("r") <= s)
+
+
+def merge(sk: DataFrame, group: str, s: int, name: str = "md5") -> DataFrame:
     """(group, sketch): union of a group's sketches, s smallest."""
-    long = sk.select(F.col(group), F.explode_outer("sketch").alias("hash")).filter(F.col("hash").isNotNull())
-    return long.groupBy(group).agg(F.slice(F.sort_array(F.collect_set("hash")), 1, s).alias("sketch"))
+    long = sk.select(F.col(group), F.explode_outer("sketch").alias("hash")).filter(F.col("hash").isNotNull()).distinct()
+    listed = _smallest(long, group, s, name).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("r", "hash"))).alias("l"))
+    return listed.select(group, F.transform("l", lambda x: x["hash"]).alias("sketch"))
 
 
-def merge_with_counts(sk: DataFrame, group: str, s: int) -> DataFrame:
+def merge_with_counts(sk: DataFrame, group: str, s: int, name: str = "md5") -> DataFrame:
     """(group, hash, n): union of a group's sketches, the 2s smallest hashes, in how many sketches each."""
     long = sk.select(F.col(group), F.explode_outer("sketch").alias("hash")).filter(F.col("hash").isNotNull())
-    counted = long.groupBy(group, "hash").agg(F.count("*").alias("n"))
-    return counted.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy("hash"))).filter(F.col("r") <= 2 * s).drop("r")
+    return _smallest(long.groupBy(group, "hash").agg(F.count("*").alias("n")), group, 2 * s, name).drop("r")
 
 
 def by_name(seqs: DataFrame) -> DataFrame:
@@ -101,8 +134,13 @@ def by_name(seqs: DataFrame) -> DataFrame:
     return seqs.groupBy("name").agg(F.max_by("seq", "ord").alias("seq"))
 
 
-def search(seqs: DataFrame, wanted: DataFrame, ks: list[int]) -> DataFrame:
-    """(id, kmers): each sequence's k-mers of the list ``wanted(kmer)``, in order, comma-joined; sequences without one are left out."""
-    found = kmer_table(seqs, ks).join(wanted.select("kmer").distinct(), "kmer", "left_semi")
-    listed = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "pos", "kmer"))).alias("l"))
-    return listed.select("id", F.array_join(F.transform("l", lambda x: x["kmer"]), ",").alias("kmers"))
+def search(seqs: DataFrame, wanted: DataFrame, ks: list[int], canonical: bool = False) -> DataFrame:
+    """(id, kmers): each sequence's k-mers of the list ``wanted(kmer)``, in order, comma-joined; sequences without one are left out.
+
+    ``canonical``: a k-mer also matches by its other strand.
+    """
+    strand = lambda c: F.least(c, K.reverse_complement(c)) if canonical else c
+    listed = kmer_table(seqs, ks).withColumn("_w", strand(F.col("kmer")))
+    found = listed.join(wanted.select(strand(F.col("kmer")).alias("_w")).distinct(), "_w", "left_semi")
+    gathered_ = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "pos", "kmer"))).alias("l"))
+    return gathered_.select("id", F.array_join(F.transform("l", lambda x: x["kmer"]), ",").alias("kmers"))

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.cluster import fresh_folder
+from kmerloom.cluster import durable, fresh_folder, remove
 from kmerloom.functions import kmers as K
 from kmerloom.operators import lineage as L
 from kmerloom.operators import overlap as O
@@ -19,8 +19,8 @@ from kmerloom.operators import scoring
 from kmerloom.operators import sketch as S
 from kmerloom.operators import variants as V
 from kmerloom.plans import commands as C
-from kmerloom.sources import sinks
-from kmerloom.streaming.classify import classify_stream
+from kmerloom.sources import fastx, sinks
+from kmerloom.streaming.classify import classify_stream, running_depth, running_prevalence
 
 KMER, SIZE, WINDOW = 16, 1000, 100
 #: Variants are called on shorter k-mers, whose depth varies enough on these tables for calls of both kinds.
@@ -49,8 +49,7 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def refs(spark: SparkSession, d: str) -> DataFrame:
-    one = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("id"), F.lower("text").alias("seq"))
-    return one.withColumn("ord", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")) - 1)
+    return spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("id"), F.lower("text").alias("seq"), F.col("item_id").alias("ord"))
 
 
 def dna_reads(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +158,7 @@ def inverted_index(spark, d):
 
 
 def _pairs(spark, d):
-    a, b = S.sketches(reads(spark, d), [KMER], SIZE), S.sketches(refs(spark, d), [KMER], SIZE)
+    a, b = S.sketches(reads(spark, d), [KMER], SIZE), durable(S.sketches(refs(spark, d), [KMER], SIZE))
     return b, O.pairs(a, b)
 
 
@@ -170,7 +169,7 @@ def pair_overlap(spark, d):
 
 @query(f"{BASE} SELECT read_id, ref_id, shared::BIGINT AS shared FROM pairs")
 def pair_overlap_local(spark, d):
-    return O.pairs_local(S.sketches(reads(spark, d), [KMER], SIZE), S.sketches(refs(spark, d), [KMER], SIZE))
+    return O.pairs_local(S.sketches(reads(spark, d), [KMER], SIZE), durable(S.sketches(refs(spark, d), [KMER], SIZE)))
 
 
 _SIZES = "JOIN (SELECT id AS read_id, count(*) AS a FROM srd GROUP BY ALL) USING (read_id) JOIN (SELECT id AS ref_id, count(*) AS b FROM srf GROUP BY ALL) USING (ref_id)"
@@ -185,7 +184,7 @@ def pair_jaccard(spark, d):
 @query(f"WITH {RD}, {RF}, {HRD}, {HRF} SELECT a.id AS read_id, b.id AS ref_id, round(count(*) / any_value(m), 6) AS containment FROM hrd a JOIN hrf b USING (hash) JOIN (SELECT id, count(*) AS m FROM hrf GROUP BY id) c ON c.id = b.id GROUP BY a.id, b.id")
 def pair_containment(spark, d):
     """Full hash sets, so that a passage within a long document is found."""
-    a, b = S.sketches(reads(spark, d), [KMER], None), S.sketches(refs(spark, d), [KMER], None)
+    a, b = S.sketches(reads(spark, d), [KMER], None), durable(S.sketches(refs(spark, d), [KMER], None))
     return O.with_sizes(O.pairs(a, b), b).select("read_id", "ref_id", F.round("containment", 6).alias("containment"))
 
 
@@ -359,20 +358,36 @@ def sketch_merge_counts(spark, d):
     return S.merge_with_counts(_turn_sketches(spark, d), "conv_id", 50)
 
 
-DEPTHS = f"dd AS (SELECT kmer, count(*) AS depth FROM ({_kmers('drd', CALL_K)}) GROUP BY kmer)"
-PROFILE = f"""pf AS (SELECT id AS ref_id, p - 1 AS j, kmer, coalesce(depth, 0) AS depth, floor(avg(coalesce(depth, 0)) OVER (PARTITION BY id ORDER BY p ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW))::BIGINT AS avg_depth
-FROM ({_kmers('drf', CALL_K)}) LEFT JOIN dd USING (kmer))"""
-LOW = "lows AS (SELECT pf.*, seq FROM pf JOIN drf ON drf.id = ref_id WHERE depth < 0.5 * avg_depth)"
-SNPS = f"""snps AS (SELECT ref_id, j, i + j + 1 AS pos, substr(kmer, i + 1, 1) AS orig, b AS alt, avg_depth, depth, substr(kmer, 1, i) || b || substr(kmer, i + 2) AS alt_kmer
-FROM (SELECT *, unnest(range(0, {CALL_K})) AS i FROM lows), (SELECT unnest(['A', 'C', 'G', 'T']) AS b) WHERE b <> substr(kmer, i + 1, 1))"""
-DELS = f"""dels AS (SELECT ref_id, j, i + j + 1 AS pos, substr(x, i + 1, 1) AS orig, '-' AS alt, avg_depth, depth, substr(x, 1, i) || substr(x, i + 2) AS alt_kmer
-FROM (SELECT *, unnest(range(0, {CALL_K} + 1)) AS i FROM (SELECT *, substr(seq, j, {CALL_K} + 1) AS x FROM lows WHERE j > 0)))"""
-CALLS = f"WITH {DRD}, {DRF}, {DEPTHS}, {PROFILE}, {LOW}, {SNPS}, {DELS}"
-SNP_HITS = "SELECT c.ref_id, c.j, c.pos, c.orig, c.alt, c.avg_depth, c.depth, a.depth::BIGINT AS alt_depth FROM snps c JOIN dd a ON a.kmer = c.alt_kmer WHERE a.depth >= 0.1::DOUBLE * avg_depth AND a.depth > c.depth"
-DEL_HITS = "SELECT c.ref_id, c.j, c.pos, c.orig, c.alt, c.avg_depth, c.depth, a.depth::BIGINT AS alt_depth FROM dels c JOIN dd a ON a.kmer = c.alt_kmer WHERE a.depth > 0.9::DOUBLE * avg_depth"
+def _calls_sql(key: Callable[[str], str] = lambda c: c) -> tuple[str, str, str]:
+    """SQL of depths and profile, and of the rescued substitutions and deletions; ``key`` makes both strands of a k-mer one."""
+    profile = f"""dd AS (SELECT {key("kmer")} AS kmer, count(*)::BIGINT AS depth FROM ({_kmers("drd", CALL_K)}) GROUP BY ALL),
+pf AS (SELECT id AS ref_id, p - 1 AS j, k.kmer, coalesce(depth, 0) AS depth, floor(avg(coalesce(depth, 0)) OVER (PARTITION BY id ORDER BY p ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW))::BIGINT AS avg_depth
+FROM ({_kmers("drf", CALL_K)}) k LEFT JOIN dd ON dd.kmer = {key("k.kmer")}),
+lows AS (SELECT pf.*, seq FROM pf JOIN drf ON drf.id = ref_id WHERE depth < 0.5 * avg_depth)"""
+    snps = f"""SELECT c.ref_id, c.j, c.pos, c.orig, c.alt, c.avg_depth, c.depth, a.depth AS alt_depth FROM (
+  SELECT ref_id, j, i + j + 1 AS pos, substr(kmer, i + 1, 1) AS orig, b AS alt, avg_depth, depth, substr(kmer, 1, i) || b || substr(kmer, i + 2) AS alt_kmer
+  FROM (SELECT *, unnest(range(0, {CALL_K})) AS i FROM lows), (SELECT unnest(['A', 'C', 'G', 'T']) AS b) WHERE b <> substr(kmer, i + 1, 1)) c
+JOIN dd a ON a.kmer = {key("c.alt_kmer")} WHERE a.depth >= 0.1::DOUBLE * avg_depth AND a.depth > c.depth"""
+    # each stretch of k + 1 bases is perturbed once, whatever the number of low places that have it
+    dels = f"""SELECT c.ref_id, c.j, i + c.j + 1 AS pos, substr(c.x, i + 1, 1) AS orig, '-' AS alt, c.avg_depth, c.depth, h.alt_depth
+FROM (SELECT ref_id, j, avg_depth, depth, substr(seq, j, {CALL_K} + 1) AS x FROM lows WHERE j > 0) c
+JOIN (SELECT x, i, a.depth AS alt_depth FROM (SELECT x, i, substr(x, 1, i) || substr(x, i + 2) AS alt_kmer FROM (SELECT x, unnest(range(0, {CALL_K} + 1)) AS i FROM (SELECT DISTINCT substr(seq, j, {CALL_K} + 1) AS x FROM lows WHERE j > 0))) e
+  JOIN dd a ON a.kmer = {key("e.alt_kmer")}) h ON h.x = c.x WHERE h.alt_depth > 0.9::DOUBLE * c.avg_depth"""
+    return f"WITH {DRD}, {DRF}, {profile}", snps, dels
 
 
-@query(f"WITH {DRD}, {DRF}, {DEPTHS}, {PROFILE} SELECT ref_id, j::INT AS pos, avg_depth, depth::BIGINT AS depth FROM pf")
+def _both_strands(c: str) -> str:
+    return f"least({c}, reverse(translate({c}, 'ACGT', 'TGCA')))"
+
+
+CALLS, SNP_HITS, DEL_HITS = _calls_sql()
+
+
+def _roll_up_sql(with_: str, snps: str, dels: str) -> str:
+    return f"{with_} SELECT ref_id, pos::BIGINT AS pos, orig, alt, count(*)::BIGINT AS kc, max(alt_depth) AS md, max(avg_depth) AS rd, max(depth)::BIGINT AS od FROM ({snps} UNION ALL {dels}) GROUP BY ref_id, pos, orig, alt"
+
+
+@query(f"{CALLS} SELECT ref_id, j::INT AS pos, avg_depth, depth::BIGINT AS depth FROM pf")
 def depth_profile(spark, d):
     return C.call(dna_refs(spark, d), dna_reads(spark, d), CALL_K, WINDOW, show_depth=True).drop("kmer")
 
@@ -380,7 +395,7 @@ def depth_profile(spark, d):
 def _hits(spark, d):
     r, reads_ = dna_refs(spark, d), dna_reads(spark, d)
     depths = S.depth(reads_, [CALL_K])
-    return V.rescued(V.candidates(r, V.depth_profile(r, depths, CALL_K, WINDOW), CALL_K), depths).withColumns({c: F.col(c).cast("long") for c in ("j", "pos", "avg_depth", "depth", "alt_depth")})
+    return V.rescued(V.candidates(V.places(r, depths, CALL_K, WINDOW), CALL_K), depths).withColumns({c: F.col(c).cast("long") for c in ("j", "pos", "avg_depth", "depth", "alt_depth")})
 
 
 @query(f"{CALLS} SELECT ref_id, j::BIGINT AS j, pos::BIGINT AS pos, orig, alt, avg_depth, depth::BIGINT AS depth, alt_depth FROM ({SNP_HITS})")
@@ -393,40 +408,22 @@ def call_deletions(spark, d):
     return _hits(spark, d).filter("kind = 'del'").drop("kind")
 
 
-@query(f"{CALLS} SELECT ref_id, pos::BIGINT AS pos, orig, alt, count(*)::BIGINT AS kc, max(alt_depth) AS md, max(avg_depth) AS rd, max(depth)::BIGINT AS od FROM ({SNP_HITS} UNION ALL {DEL_HITS}) GROUP BY ref_id, pos, orig, alt")
+@query(_roll_up_sql(CALLS, SNP_HITS, DEL_HITS))
 def call_rollup(spark, d):
     return V.roll_up(_hits(spark, d))
 
 
+@query(_roll_up_sql(*_calls_sql(_both_strands)))
+def call_canonical(spark, d):
+    """Calls from reads of either strand."""
+    return C.call(dna_refs(spark, d), _either_strand(spark, d), CALL_K, WINDOW, canonical=True).withColumns({c: F.col(c).cast("long") for c in ("pos", "rd", "od")})
+
+
 @query(f"{CALLS} SELECT concat_ws(chr(9), ref_id::VARCHAR, pos::VARCHAR, '.', orig, alt, '99', 'PASS', 'KC=' || count(*) || ';MD=' || max(alt_depth) || ';RD=' || max(avg_depth) || ';OD=' || max(depth)) AS line FROM ({SNP_HITS} UNION ALL {DEL_HITS}) GROUP BY ref_id, pos, orig, alt")
 def call_vcf(spark, d):
     return sinks.vcf_lines(V.roll_up(_hits(spark, d)))
 
 
-@query("WITH b AS (SELECT item_id, substr(" + _dna("text") + f", 1, {KMER}) AS kmer FROM benchmark), s AS (SELECT *, unnest(range(0, length(kmer))) AS i FROM b) SELECT item_id AS id, i::INT AS at, substr(kmer, i + 1, 1) AS orig, x AS alt, substr(kmer, 1, i) || x || substr(kmer, i + 2) AS kmer FROM s, (SELECT unnest(['A', 'C', 'G', 'T']) AS x) WHERE x <> substr(kmer, i + 1, 1)")
-def substitution_neighbours(spark, d):
-    """Of the first k-mer of each reference."""
-    first = dna_refs(spark, d).select("id", F.explode(K.substitutions(F.substring("seq", 1, KMER))).alias("c"))
-    return first.select("id", "c.*")
-
-
-_FIRST = "b AS (SELECT item_id AS id, substr(" + _dna("text") + f", 1, {KMER}) AS kmer FROM benchmark)"
-
-
-@query(" UNION ALL ".join(f"SELECT id, {w}::INT AS width, i::INT AS at, substr(kmer, i + 1, {w}) AS orig, substr(kmer, 1, i) || substr(kmer, i + 1 + {w}) AS kmer FROM (WITH {_FIRST} SELECT *, unnest(range(0, length(kmer) - {w} + 1)) AS i FROM b)" for w in (1, 2)))
-def deletion_neighbours(spark, d):
-    """Of the first k-mer of each reference, one base and two neighbouring bases left out."""
-    first = dna_refs(spark, d).select("id", F.substring("seq", 1, KMER).alias("s"))
-    one = lambda w: first.select("id", F.lit(w).alias("width"), F.explode(K.deletions(F.col("s"), w)).alias("c")).select("id", "width", "c.*")
-    return one(1).unionByName(one(2))
-
-
-@query(f"WITH {_FIRST}, s AS (SELECT *, unnest(range(1, length(kmer))) AS i FROM b) SELECT id, i::INT AS at, x AS alt, substr(kmer, 1, i) || x || substr(kmer, i + 1, length(kmer) - i - 1) AS kmer FROM s, (SELECT unnest(['A', 'C', 'G', 'T']) AS x)")
-def insertion_neighbours(spark, d):
-    """Of the first k-mer of each reference."""
-    return dna_refs(spark, d).select("id", F.explode(K.insertions(F.substring("seq", 1, KMER))).alias("c")).select("id", "c.*")
-
-
 _EVERY = f"b AS (SELECT id, (p - 1)::INT AS pos, kmer FROM ({_kmers('drf')}))"
 
 
@@ -453,6 +450,10 @@ def insertion_neighbours_all(spark, d):
     return _every(spark, d).select("id", "pos", F.explode(K.insertions(F.col("kmer"))).alias("c")).select("id", "pos", "c.*")
 
 
+for _kind in ("substitution", "deletion", "insertion"):  # the short names mean the same
+    QUERIES[f"{_kind}_neighbours"], ORACLE[f"{_kind}_neighbours"] = QUERIES[f"{_kind}_neighbours_all"], ORACLE[f"{_kind}_neighbours_all"]
+
+
 @query(f"WITH {RF}, {HRF}, {SRF} SELECT id, '{{\"name\":\"' || id || '\",\"kmer\":{KMER},\"sketchSize\":' || count(*) || ',\"hashes\":[' || string_agg('\"' || hash || '\"', ',' ORDER BY hash) || ']}}' AS json FROM srf GROUP BY id")
 def sketch_json(spark, d):
     sk = S.sketches(refs(spark, d), [KMER], SIZE).filter(F.size("sketch") > 0)
@@ -465,11 +466,11 @@ def sketch_vw(spark, d):
     return sk.select("id", sinks.sketch_features(F.concat(F.lit("item|"), F.col("id").cast("string")), F.col("sketch"), F.lit(1)).alias("line"))
 
 
-@query(f"WITH {RF}, {HRF} SELECT id, round(100 * sum(n) / any_value(length(seq)), 6) AS share, sum(n)::BIGINT || '/' || any_value(length(seq)) AS ratio FROM hrf JOIN rf USING (id) GROUP BY id")
+@query(f"SELECT read_id, ref_id, CASE WHEN sketch_size > 0 THEN round(100 * shared / sketch_size, 6) END AS share, shared || '/' || sketch_size AS ratio FROM ({_verdict_sql('srd', 'srf', -1, -1, 0, -1, _FULL)})")
 def similarity_ratio(spark, d):
-    n = S.hash_table(refs(spark, d), [KMER]).groupBy("id").agg(F.count("*").alias("n"))
-    m = F.length("seq").cast("long")
-    return n.join(refs(spark, d), "id").select("id", F.round(100 * F.col("n") / m, 6).alias("share"), K.ratio_text(F.col("n"), m).alias("ratio"))
+    """Of each classified read, its shared hashes of all."""
+    v = C.classify(reads(spark, d), refs(spark, d), [KMER], SIZE)
+    return v.select("read_id", "ref_id", F.round(100 * F.try_divide("shared", "sketch_size"), 6).alias("share"), K.ratio_text(F.col("shared"), F.col("sketch_size")).alias("ratio"))
 
 
 @query(f"WITH {RF} SELECT id, string_agg(kmer, chr(9) ORDER BY p) AS line FROM ({_kmers('rf')}) GROUP BY id")
@@ -498,10 +499,11 @@ def strain_counts(spark, d):
     return scoring.strain_counts(C.classify(reads(spark, d), refs(spark, d), [KMER], SIZE, min_matches=1))
 
 
-@query("SELECT count(*) FILTER (n_chars >= 1000 AND quality = 1)::BIGINT AS tp, count(*) FILTER (n_chars >= 1000 AND quality <> 1)::BIGINT AS fp, count(*) FILTER (n_chars < 1000 AND quality <> 1)::BIGINT AS tn, count(*) FILTER (n_chars < 1000 AND quality = 1)::BIGINT AS fn FROM documents JOIN labels USING (doc_id)")
+@query(f"SELECT count(*) FILTER (shared >= 1 AND quality = 1)::BIGINT AS tp, count(*) FILTER (shared >= 1 AND quality <> 1)::BIGINT AS fp, count(*) FILTER (shared < 1 AND quality <> 1)::BIGINT AS tn, count(*) FILTER (shared < 1 AND quality = 1)::BIGINT AS fn FROM ({_verdict_sql('srd', 'srf', -1, -1, 0, -1, _FULL)}) v JOIN labels ON doc_id = read_id")
 def confusion(spark, d):
-    both = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
-    return scoring.confusion(both.withColumn("score", F.col("n_chars") - 1000), "score", "quality")
+    """Whether a read shares a hash with the panel, against its label."""
+    v = C.classify(reads(spark, d), refs(spark, d), [KMER], SIZE).withColumn("score", F.col("shared") - 1)
+    return scoring.confusion(v.join(spark.read.parquet(f"{d}/labels.parquet"), F.col("read_id") == F.col("doc_id")), "score", "quality")
 
 
 @query("SELECT lang, count(*)::BIGINT AS n, round(avg(((n_chars >= 1000)::INT = quality)::INT), 6) AS pct_correct FROM documents JOIN labels USING (doc_id) GROUP BY lang")
@@ -547,15 +549,315 @@ def sketch_set_ops(spark, d):
     return a.join(b, "a").select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), F.size(F.array_union("x", "y")).alias("either"), F.size(F.array_except("x", "y")).alias("only_a"))
 
 
-@query()
-def stream_classify(spark, d):
-    """The documents as a stream of files against the panel; what an available-now run has written."""
-    panel = S.sketches(refs(spark, d), [KMER], SIZE).join(refs(spark, d).select("id", "ord"), "id")
+def _stream(spark, d):
+    """The documents as a stream of files; a glob, so that a single file and a folder of parts both stream."""
     schema = spark.read.parquet(f"{d}/documents.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]").select(F.col("doc_id").alias("id"), F.lower("text").alias("seq"))
+
+
+def _panel(spark, d):
+    return durable(S.sketches(refs(spark, d), [KMER], SIZE).join(refs(spark, d).select("id", "ord"), "id"))
+
+
+def _written(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What an available-now run of ``stream`` has written; its folder goes once the rows are safe."""
     out = fresh_folder(spark, "stream")
-    # a glob, so that a single file and a folder of parts both stream
-    stream = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]").select(F.col("doc_id").alias("id"), F.lower("text").alias("seq"))
-    done = classify_stream(stream, panel, [KMER], SIZE)
-    run = done.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/log").trigger(availableNow=True)
+    if mode == "append":
+        run = run.format("parquet").option("path", f"{out}/rows").start()
+    else:  # the whole result of every batch, the last of which stays
+        run = run.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{out}/rows")).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    kept = durable(spark.read.parquet(f"{out}/rows"))
+    remove(spark, out)
+    return kept
+
+
+@query(f"SELECT read_id AS id, ref_id, shared, sketch_size, fail_depth, fail_matches, fail_diff FROM ({_verdict_sql('srd', 'srf', -1, -1, 0, -1, _FULL)})")
+def stream_classify(spark, d):
+    """The documents as a stream against the panel."""
+    return _written(spark, classify_stream(_stream(spark, d), _panel(spark, d), [KMER], SIZE))
+
+
+@query(f"SELECT ref_id, count(*)::BIGINT AS n FROM ({_verdict_sql('srd', 'srf', -1, 1, 0, 1, _FULL)}) WHERE NOT (fail_depth OR fail_matches OR fail_diff) GROUP BY ref_id")
+def stream_prevalence(spark, d):
+    """Running counts of a stream's references, after its last batch."""
+    return _written(spark, running_prevalence(classify_stream(_stream(spark, d), _panel(spark, d), [KMER], SIZE, min_matches=1)), "complete")
+
+
+@query(f"WITH {RD}, {HRD} SELECT hash, sum(n)::BIGINT AS depth FROM hrd GROUP BY hash")
+def stream_depth(spark, d):
+    """Running depths of a stream's k-mers, after its last batch."""
+    return _written(spark, running_depth(_stream(spark, d), KMER), "complete")
+
+
+# --- both strands, masked letters, prepared inputs
+
+HC = f"least({H}, substr(md5(reverse(translate(kmer, 'ACGT', 'TGCA'))), 1, 16))"
+#: Reads of odd ids come from the other strand.
+EITHER = "rd AS (SELECT id, CASE WHEN id % 2 = 1 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq FROM drd)"
+ORDERED = "rf AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS ord FROM drf)"
+_CANON = f"WITH {DRD}, {DRF}, {EITHER}, {ORDERED}, hrd AS (SELECT id, {HC} AS hash, count(*) AS n FROM ({_kmers('rd')}) GROUP BY ALL), hrf AS (SELECT id, {HC} AS hash, count(*) AS n FROM ({_kmers('rf')}) GROUP BY ALL), {SRD}, {SRF}"
+
+
+def _either_strand(spark, d):
+    r = dna_reads(spark, d)
+    return r.select("id", F.when(F.col("id") % 2 == 1, K.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+
+
+def _ordered(spark, d):
+    return dna_refs(spark, d).withColumn("ord", F.col("id"))
+
+
+@query(_verdict_sql("srd", "srf", -1, -1, 0, -1, _CANON))
+def classify_canonical(spark, d):
+    return C.classify(_either_strand(spark, d), _ordered(spark, d), [KMER], SIZE, canonical=True)
+
+
+@query(f"SELECT read_id AS id, ref_id, shared FROM ({_verdict_sql('srd', 'srf', 0, 1, 0, 0, _CANON)}) WHERE NOT (fail_depth OR fail_matches OR fail_diff)")
+def filter_canonical(spark, d):
+    return C.filter_reads(_either_strand(spark, d), _ordered(spark, d), [KMER], SIZE, min_matches=1, canonical=True).select("id", "ref_id", "shared")
+
+
+@query(f"{_CANON} SELECT hash, sum(n)::BIGINT AS depth FROM hrd GROUP BY hash")
+def count_canonical(spark, d):
+    return C.count(_either_strand(spark, d), [KMER], canonical=True)
+
+
+@query(f"{_CANON} SELECT id, string_agg({HC}, chr(9) ORDER BY p) AS line FROM ({_kmers('rf')}) GROUP BY id")
+def hash_dump_canonical(spark, d):
+    return C.hash_dump(dna_refs(spark, d), [KMER], canonical=True).filter("line <> ''")
+
+
+@query(_verdict_sql("mrd", "srf", -1, 5, 0, 5, f"{_CANON}, deep AS (SELECT hash FROM hrd GROUP BY hash HAVING sum(n) >= 2), mrd AS (SELECT id, hash FROM hrd JOIN deep USING (hash) {BOTTOM})"))
+def classify_canonical_depth_mask(spark, d):
+    return C.classify(_either_strand(spark, d), _ordered(spark, d), [KMER], SIZE, min_depth=2, min_matches=5, canonical=True)
+
+
+@query(f"WITH {DRD}, {DRF}, {EITHER}, w AS (SELECT DISTINCT {_both_strands('kmer')} AS kmer FROM ({_kmers('drf', 24)})) SELECT id, string_agg(kmer, ',' ORDER BY p) AS kmers FROM ({_kmers('rd', 24)}) WHERE {_both_strands('kmer')} IN (SELECT kmer FROM w) GROUP BY id")
+def search_canonical(spark, d):
+    return C.search(_either_strand(spark, d), S.kmer_table(dna_refs(spark, d), [24]), [24], canonical=True)
+
+
+#: A projection of texts in which w, x, y and z are unknown bases.
+_NOISY = "ACGTACGTACGTACGTACGTACNNNN"
+NRD, NRF = (f"{n} AS (SELECT {i} AS id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{_NOISY}') AS seq{o} FROM {t})" for n, i, t, o in (("rd", "doc_id", "documents", ""), ("rf", "item_id", "benchmark", ", row_number() OVER (ORDER BY item_id) - 1 AS ord")))
+_VALID = f"WITH {NRD}, {NRF}, hrd AS (SELECT id, {H} AS hash, count(*) AS n FROM ({_kmers('rd')}) WHERE kmer NOT LIKE '%N%' GROUP BY ALL), hrf AS (SELECT id, {H} AS hash, count(*) AS n FROM ({_kmers('rf')}) WHERE kmer NOT LIKE '%N%' GROUP BY ALL), {SRD}, {SRF}"
+
+
+def _noisy(df: DataFrame, key: str) -> DataFrame:
+    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
+    return df.select(F.col(key).alias("id"), F.translate(letters, "abcdefghijklmnopqrstuvwxyz", _NOISY).alias("seq"), F.col(key).alias("ord"))
+
+
+@query(_verdict_sql("srd", "srf", -1, -1, 0, -1, _VALID))
+def classify_valid_only(spark, d):
+    """K-mers with unknown bases are masked."""
+    return C.classify(_noisy(table(spark, d, "documents"), "doc_id"), _noisy(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id"), [KMER], SIZE, valid_only=True)
+
+
+SLOTS = 1 << 20
+
+
+def _slot(h: str) -> str:
+    return f"('0x' || substr({h}, 1, 8))::BIGINT % {SLOTS}"
+
+
+@query(f"WITH {RD}, {HRD} SELECT {_slot('hash')} AS slot, sum(n)::BIGINT AS depth FROM hrd GROUP BY ALL")
+def kmer_depth_slots(spark, d):
+    """Counters of fixed number."""
+    return C.count(reads(spark, d), [KMER], slots=SLOTS)
+
+
+@query(_verdict_sql("mrd", "srf", -1, -1, 0, -1, f"{_FULL}, deep AS (SELECT {_slot('hash')} AS slot FROM hrd GROUP BY ALL HAVING sum(n) >= 6), mrd AS (SELECT id, hash FROM hrd JOIN deep ON slot = {_slot('hash')} {BOTTOM})"))
+def classify_slot_mask(spark, d):
+    """Rare k-mers masked by counters of fixed number."""
+    return C.classify(reads(spark, d), refs(spark, d), [KMER], SIZE, min_depth=6, slots=SLOTS)
+
+
+def _kept(spark, df: DataFrame, name: str, back) -> DataFrame:
+    """``df`` written as a prepared table and read again."""
+    out = fresh_folder(spark, name)
+    df.write.parquet(out)
+    return back(spark, out)
+
+
+@query(_verdict_sql("srd", "srf", -1, -1, 0, -1, _FULL))
+def classify_prepared_sketches(spark, d):
+    """Both sides' sketches from tables."""
+    a, b = (_kept(spark, S.sketches(x(spark, d), [KMER], SIZE), "sketches", fastx.read_sketch_table) for x in (reads, refs))
+    return C.classify(None, refs(spark, d), [KMER], SIZE, read_sketches=a, ref_sketches=b)
+
+
+@query(_verdict_sql("mrd", "srf", -1, 5, 0, 5, _MASK))
+def classify_prepared_depths(spark, d):
+    """Depths from a table."""
+    depths = _kept(spark, C.count(reads(spark, d), [KMER]), "depths", fastx.read_depths)
+    return C.classify(reads(spark, d), refs(spark, d), [KMER], SIZE, min_depth=2, min_matches=5, depths=depths)
+
+
+@query(_verdict_sql("srd", "srf", -1, -1, 0, -1, _FULL.replace("ORDER BY item_id", "ORDER BY reverse(item_id::VARCHAR)")))
+def classify_ties_by_name(spark, d):
+    """References in order of their names."""
+    named = refs(spark, d).withColumn("ord", F.reverse(F.col("id").cast("string")))
+    return C.classify(reads(spark, d), named, [KMER], SIZE)
+
+
+@query(f"{BASE} SELECT r.id AS read_id, string_agg(coalesce(p.shared, 0), ',' ORDER BY f.ord) AS counts FROM rd r CROSS JOIN rf f LEFT JOIN pairs p ON p.read_id = r.id AND p.ref_id = f.id GROUP BY r.id")
+def all_counts(spark, d):
+    """Every read's shared hashes with every reference."""
+    panel = _panel(spark, d)
+    counted = O.all_counts(panel, O.hits(S.sketches(reads(spark, d), [KMER], SIZE), panel))
+    return counted.select("read_id", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"))
+
+
+# --- types, lineages and what a sample is made of
+
+_NAME = "substr(lang, 1, 1) || substr(source, 4, 1)"
+
+
+def _levels_sql(level: str, g: str) -> str:
+    return f"""u{level} AS (SELECT min(g) AS g, hash FROM (SELECT DISTINCT {g} AS g, {H} AS hash FROM ({_kmers("pn", KMER, "name,")})) GROUP BY hash HAVING count(*) = 1),
+k{level} AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, g) AS rank FROM (SELECT m.id, u.g, count(*) AS shared, count(*) / any_value(n_hashes) AS sim FROM mrd m JOIN u{level} u USING (hash) JOIN n ON n.id = m.id GROUP BY m.id, u.g)),
+l{level} AS (SELECT id, string_agg(g || ':' || printf('%.6f', round(sim, 6)) || ';', '' ORDER BY rank) AS sims, string_agg(shared || ';', '' ORDER BY rank) AS counts,
+  max(g) FILTER (rank = 1) AS g1, max(shared) FILTER (rank = 1) AS c1, max(sim) FILTER (rank = 1) AS s1, max(g) FILTER (rank = 2) AS g2, max(shared) FILTER (rank = 2) AS c2,
+  coalesce(first(g ORDER BY rank) FILTER ({"shared > 5" if level == "a" else "shared > 2 AND sim > 0.005"}), '') AS hit FROM k{level} GROUP BY id)"""
+
+
+_TYPED = f"""WITH {RD}, {RF}, {HRD}, {HRF}, deep AS (SELECT hash FROM hrd GROUP BY hash HAVING sum(n) >= 2), mrd AS (SELECT id, hash FROM hrd JOIN deep USING (hash)),
+n AS (SELECT id, greatest(0, length(seq) - {KMER - 1})::BIGINT AS n_hashes FROM rd), pn AS (SELECT doc_id AS id, lower(text) AS seq, {_NAME} AS name FROM documents),
+ty AS (SELECT r.id, coalesce(first(p.ref_id ORDER BY p.shared DESC, p.ord), (SELECT min(id) FROM rf)) AS type_id, coalesce(max(p.shared), 0) AS type_shared
+  FROM rd r LEFT JOIN (SELECT a.id, b.id AS ref_id, any_value(ord) AS ord, count(*) AS shared FROM mrd a JOIN hrf b USING (hash) JOIN rf ON rf.id = b.id GROUP BY a.id, b.id) p ON p.id = r.id GROUP BY r.id),
+{_levels_sql("a", "substr(name, 1, 1)")}, {_levels_sql("b", "name")},
+found AS (SELECT ty.id, type_id, type_shared, n_hashes, coalesce(a.sims, '') AS asims, coalesce(b.sims, '') AS bsims, coalesce(a.counts, '') AS acounts, coalesce(b.counts, '') AS bcounts, coalesce(a.hit, '') AS lin, coalesce(b.hit, '') AS sub,
+  a.g1 AS ag1, a.c1 AS ac1, a.s1 AS as1, b.g1 AS bg1, b.s1 AS bs1, b.g2 AS bg2, b.c2 AS bc2 FROM ty JOIN n USING (id) LEFT JOIN la a USING (id) LEFT JOIN lb b USING (id))"""
+
+
+def _typed(spark, d):
+    panel = table(spark, d, "documents").select(F.lower("text").alias("seq"), F.concat(F.substring("lang", 1, 1), F.substring("source", 4, 1)).alias("name"))
+    return C.lineages(reads(spark, d), refs(spark, d), panel, [KMER], min_depth=2)
+
+
+@query(f"{_TYPED} SELECT concat_ws(chr(9), id::VARCHAR, type_id::VARCHAR, type_shared || '/' || n_hashes, asims, bsims, acounts, bcounts) AS line FROM found")
+def type_lineages(spark, d):
+    """Type, lineages and sub-lineages of each document, rare k-mers masked."""
+    return C.lineage_lines(_typed(spark, d))
+
+
+#: Few documents share anything with a type here, so none is asked for.
+LEAST_TYPE = 0
+_ASSIGNED = f"""{_TYPED}, ok AS (SELECT id, lin, CASE WHEN lin <> '' AND sub <> '' AND substr(sub, 1, 1) <> lin THEN CASE WHEN ac1 > 10 AND bc2 > 2 AND substr(bg2, 1, 1) = ag1 THEN bg2 ELSE '' END ELSE sub END AS sub FROM found WHERE n_hashes >= 50 AND type_shared >= {LEAST_TYPE})"""
+
+
+@query(f"{_ASSIGNED} SELECT id AS read_id, lin AS lineage, sub AS sublineage FROM ok")
+def read_assignments(spark, d):
+    return L.assign(_typed(spark, d), min_type_match=LEAST_TYPE).select("read_id", "lineage", "sublineage")
+
+
+def _shares_sql(c: str) -> str:
+    return f"(SELECT *, n / sum(n) OVER () AS pct FROM (SELECT {c} AS name, count(*) AS n FROM ok WHERE {c} <> '' GROUP BY ALL))"
+
+
+def _note_sql(level: str, c: str) -> str:
+    return f"(SELECT CASE WHEN count(*) >= 1000 THEN 'INFO:' ELSE 'WARN:low_' END || '{level}_counts:' || count(*) FROM ok WHERE {c} <> '')"
+
+
+@query(f"""{_ASSIGNED} SELECT coalesce((SELECT string_agg(name || ':' || printf('%.6f', round(pct, 6)), ';' ORDER BY n DESC, name) FROM {_shares_sql("lin")}), '') AS lineages,
+coalesce((SELECT string_agg(name || ':' || printf('%.6f', round(pct, 6)), ';' ORDER BY n DESC, name) FROM {_shares_sql("sub")}), '') AS sublineages,
+coalesce((SELECT string_agg(name || ':' || n, ';' ORDER BY n DESC, name) FROM {_shares_sql("sub")}), '') AS sublineage_counts, {_note_sql("lineage", "lin")} AS lineage_note, {_note_sql("sublineage", "sub")} AS sublineage_note""")
+def score_reads(spark, d):
+    """The sample's make-up, from the written lines of the lineage command."""
+    return C.score_reads(C.parse_lineage_lines(durable(type_lineages(spark, d))), min_type_match=LEAST_TYPE)
+
+
+@query(f"{_TYPED} SELECT source AS strain, coalesce(ag1 || ':' || printf('%.6f', round(as1, 6)), '') AS lineage, coalesce(bg1 || ':' || printf('%.6f', round(bs1, 6)), '') AS sublineage FROM found JOIN documents ON doc_id = id")
+def result_projection(spark, d):
+    names = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("read_id"), F.concat_ws("|", F.lit("doc"), "lang", F.concat_ws("_", "source", "doc_id")).alias("read_name"))
+    return C.projection(_typed(spark, d).join(names, "read_id"))
+
+
+def _lineage_calls(spark, d):
+    truth = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("read_id"), F.concat(F.substring("lang", 1, 1), F.substring("source", 4, 1)).alias("strain"))
+    top = lambda c, f: F.try_element_at(c, F.lit(1))[f]
+    return _typed(spark, d).join(truth, "read_id").select("strain", top("lin", "name").alias("lineage"), top("lin", "sim").alias("lin_sim"), top("sublin", "name").alias("sublineage"), top("sublin", "sim").alias("sub_sim"))
+
+
+@query(f"{_TYPED} SELECT {_NAME} AS strain, count(*)::BIGINT AS n, round(avg(coalesce({_NAME} = bg1 AND bs1 > 0, false)::INT), 6) AS pct_sublineage, round(avg(coalesce(substr(lang, 1, 1) = ag1 AND as1 > 0, false)::INT), 6) AS pct_lineage FROM found JOIN documents ON doc_id = id GROUP BY ALL")
+def lineage_accuracy(spark, d):
+    return scoring.accuracy_of_lineages(_lineage_calls(spark, d)).withColumns({c: F.round(c, 6) for c in ("pct_sublineage", "pct_lineage")})
+
+
+@query(f"{_TYPED} SELECT bg1 AS name, count(*)::BIGINT AS n, round(count(*) / sum(count(*)) OVER (), 6) AS pct FROM found WHERE bs1 > 0.01 GROUP BY bg1")
+def lineage_composition(spark, d):
+    return scoring.composition(_lineage_calls(spark, d)).withColumn("pct", F.round("pct", 6))
+
+
+# --- documents of sketches, mixtures, model lines
+
+_SKETCH = f"WITH {RF}, {HRF}, {SRF}, l AS (SELECT id, list(hash ORDER BY hash) AS s FROM srf GROUP BY id)"
+_HASHES = "list_aggregate(list_transform(s, lambda x: '\"' || x || '\"'), 'string_agg', ',')"
+
+
+def _ref_sketches(spark, d):
+    return S.sketches(refs(spark, d), [KMER], SIZE).filter(F.size("sketch") > 0)
+
+
+@query(f"""{_SKETCH} SELECT id, '{{{{"alphabet":"ATGC","canonical":"false","hashBits":64,"hashSeed":0,"hashType":"md5","kmer":"{KMER}","name":"' || id || '","preserveCase":"false","seqLen":' || length(seq) || ',"sketches":{{{{"comment":"","hashes":[' || {_HASHES} || '],"length":' || len(s) || ',"name":"' || id || '"}}}}}}}}' AS json FROM l JOIN rf USING (id)""".replace("{{", "{").replace("}}", "}"))
+def sketch_document(spark, d):
+    name = F.col("id").cast("string")
+    sk = S.sketches(refs(spark, d), [KMER], SIZE).join(refs(spark, d), "id").filter(F.size("sketch") > 0)
+    return sk.select("id", sinks.sketch_document(name, F.length("seq"), F.col("sketch"), [KMER]).alias("json"))
+
+
+@query(f"""{_SKETCH} SELECT '[' || string_agg('{{{{"alphabet":"ATGC","canonical":"false","hashBits":64,"hash_seed":0,"hash_type":"md5","kmer":[{KMER}],"length":{SIZE},"name":"' || id || '","preserveCase":"false","sketches":[' || {_HASHES} || ']}}}}', ',' ORDER BY id) || ']' AS json FROM l""".replace("{{", "{").replace("}}", "}"))
+def sketch_list(spark, d):
+    return sinks.sketch_list(_ref_sketches(spark, d), F.col("id").cast("string"), F.col("id"), [KMER], SIZE)
+
+
+@query(f"WITH {RF}, {HRF}, {SRF} SELECT id, '1 1.0 `item_' || id || '|vir ' || string_agg(hash || ':1', ' ' ORDER BY hash) || ' |sketch k:{KMER} s:{SIZE}' AS line FROM srf GROUP BY id")
+def sketch_line(spark, d):
+    name = F.concat(F.lit("item|"), F.col("id").cast("string"))
+    return _ref_sketches(spark, d).select("id", sinks.sketch_line(name, F.col("sketch"), F.lit(1), [KMER], SIZE).alias("line"))
+
+
+_DESIGN = "# strain\tproportion\tcoverage\tfile\nen\t0.6\t3\ta.fq\nde\t0.4\t3\tb.fq\n\nfr\t1.0\t2\tc.fq\n"
+
+
+@query("""SELECT id, lang, mixture, mixture_name FROM (SELECT doc_id AS id, d.lang, mixture::INT AS mixture, mixture_name, n, row_number() OVER (PARTITION BY mixture, d.lang ORDER BY md5('42:' || doc_id), doc_id) AS r
+FROM documents d JOIN (VALUES (0, 'en-0.6_de-0.4_3', 'en', ceil(3 * 20 * 0.6::DOUBLE)), (0, 'en-0.6_de-0.4_3', 'de', ceil(3 * 20 * 0.4::DOUBLE)), (1, 'fr-1_2', 'fr', ceil(2 * 20 * 1.0::DOUBLE))) w(mixture, mixture_name, lang, n) ON w.lang = d.lang) WHERE r <= n""")
+def mixture_design(spark, d):
+    """Documents drawn for two mixtures of a design."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "lang")
+    spec = [row[:4] for row in fastx.parse_mixtures(_DESIGN)]
+    return C.mixture_reads(docs, spec, 5000, "lang")
+
+
+@query("SELECT doc_id AS id, md5('42:' || doc_id) AS shuffle_key FROM documents")
+def training_order(spark, d):
+    return scoring.shuffled(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id")))
+
+
+_STRAINS = ["de", "en", "es", "fr", "xx"]
+
+
+def _results(spark, d):
+    found = spark.read.parquet(f"{d}/documents.parquet").select(F.col("source").alias("sample"), F.col("lang").alias("strain"))
+    samples = found.select("sample").distinct().withColumn("coinfected", F.length("sample") > 4)
+    return found, samples
+
+
+@query("""WITH f AS (SELECT source AS sample, lang AS strain, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT DISTINCT source, unnest(['de', 'en', 'es', 'fr', 'xx']), 0 FROM documents), g AS (SELECT sample, strain, sum(n)::BIGINT AS n FROM f GROUP BY ALL)
+SELECT sample, CASE WHEN length(sample) > 4 THEN '1' ELSE '-1' END || ' 1.0 ''hpv |vir ' || string_agg(strain || ':' || n, ' ' ORDER BY strain) AS line FROM g GROUP BY sample""")
+def result_lines(spark, d):
+    """A model line for each source, with its languages as strains."""
+    found, samples = _results(spark, d)
+    return scoring.result_lines(scoring.strain_features(found, _STRAINS), scoring.sample_labels(samples))
+
+
+@query("""WITH g AS (SELECT source AS sample, substr(lang, 1, 1) AS strain, count(*) AS n FROM documents GROUP BY ALL)
+SELECT sample, CASE WHEN length(sample) > 4 THEN '5' ELSE '2' END || ' 1.0 ''hpv |vir ' || string_agg(strain || ':' || printf('%.6f', round(n / t, 6)), ' ' ORDER BY strain) AS line FROM (SELECT *, sum(n) OVER (PARTITION BY sample) AS t FROM g) GROUP BY sample""")
+def result_lines_classes(spark, d):
+    """The same with shares of first letters and labels from a map."""
+    found, samples = _results(spark, d)
+    classes = spark.createDataFrame([("s", 2), ("coinfected", 5)], "name string, label int")
+    return scoring.result_lines(scoring.strain_features(found, collapse=True), scoring.sample_labels(samples, classes), normalize=True)

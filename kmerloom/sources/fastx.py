@@ -96,3 +96,49 @@ def read_sketches(spark: SparkSession, path: str) -> DataFrame:
     """(name, sketch) of sketch documents as ``sketch_json`` writes them, one a line."""
     doc = F.from_json("value", "name string, kmer int, sketchSize int, hashes array<string>")
     return spark.read.text(path).select(doc.alias("d")).select(F.col("d.name").alias("name"), F.col("d.hashes").alias("sketch"))
+
+
+def read_sketch_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, sketch, ...) as sinks.write_sketches writes it: prepared sketches for the commands."""
+    return spark.read.parquet(path)
+
+
+def read_sketch_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(name, seq_length, canonical, hash_type, sketch) of full sketch documents, one a line."""
+    doc = F.from_json("value", "name string, seqLen long, canonical string, hashType string, sketches struct<hashes:array<string>>")
+    return spark.read.text(path).select(doc.alias("d")).select("d.name", F.col("d.seqLen").alias("seq_length"), (F.col("d.canonical") == "true").alias("canonical"), F.col("d.hashType").alias("hash_type"), F.col("d.sketches.hashes").alias("sketch"))
+
+
+def read_depths(spark: SparkSession, path: str) -> DataFrame:
+    """(hash, depth) of a depth table written as Parquet: prepared depths for the commands."""
+    return spark.read.parquet(path).select("hash", "depth")
+
+
+def parse_mixtures(text: str) -> list[tuple[int, str, float, int, str]]:
+    """(mixture, strain, proportion, coverage, path) of a mixture design: tab-separated rows, '#' begins a comment, an empty line ends a mixture."""
+    out, mixture, open_ = [], 0, False
+    for line in text.splitlines():
+        if line.startswith("#"):
+            continue
+        cells = line.strip().split("\t")
+        if len(cells) < 4:
+            mixture, open_ = mixture + open_, False
+            continue
+        out.append((mixture, cells[0], float(cells[1]), int(float(cells[2])), cells[3]))
+        open_ = True
+    return out
+
+
+def read_mixtures(spark: SparkSession, path: str) -> list[tuple[int, str, float, int, str]]:
+    """A mixture design from a file of any store (it is as long as the design, not the data)."""
+    return [row for r in spark.read.text(path, wholetext=True).collect() for row in parse_mixtures(r.value)]
+
+
+def mixture_files(spark: SparkSession, spec: list[tuple[int, str, float, int, str]]) -> DataFrame:
+    """The reads of a design's files with ``strain`` and ``id``, ready for mixture_reads."""
+    strains = {path: strain for _, strain, _, _, path in spec}
+    one = [read_fastx(spark, path).withColumn("strain", F.lit(strain)) for path, strain in strains.items()]
+    out = one[0]
+    for more in one[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("id", F.concat_ws("#", "path", F.col("ord").cast("string")))
