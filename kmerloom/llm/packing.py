@@ -81,19 +81,31 @@ class Packer:
 
 FIELDS = [("doc_id", "long"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("part", "long"), ("window", "long"), ("offset", "long"), ("room", "long"), ("ids", "array<int>")]
 KINDS = {"long": pa.int64(), "array<int>": pa.list_(pa.int32())}
-#: Pieces written at a time.
-AT_ONCE = 20_000
+#: Pieces, and ids of pieces, written at a time.
+AT_ONCE, IDS_AT_ONCE = 20_000, 1 << 19
+
+
+def _lists(ids: tuple[np.ndarray | None, ...]) -> pa.Array:
+    """The pieces' ids as an Arrow list column, without a Python number for each."""
+    if ids[0] is None:
+        return pa.nulls(len(ids), KINDS["array<int>"])
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).view(np.int32)))
 
 
 def _pack(batches: Iterator[pa.RecordBatch], encode: tuple[str, str], size: int, width: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    part, ready = TaskContext.get().partitionId(), []
+    part, ready, waiting = TaskContext.get().partitionId(), [], 0
 
     def close(number: int, pieces: list, room: int = 0) -> None:
+        nonlocal waiting
         ready.extend((*p[:5], part, number, offset, room, p[5]) for offset, p in pieces)
+        waiting += (size - room) * with_ids
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(c, KINDS[k]) for c, (_, k) in zip(zip(*ready), FIELDS)], names=[n for n, _ in FIELDS])
+        nonlocal waiting
+        out = pa.RecordBatch.from_arrays([_lists(c) if n == "ids" else pa.array(c, KINDS[k]) for c, (n, k) in zip(zip(*ready), FIELDS)], names=[n for n, _ in FIELDS])
         ready.clear()
+        waiting = 0
         return out
 
     packer, ids_of = Packer(size, width, close), encoder(*encode)
@@ -102,9 +114,9 @@ def _pack(batches: Iterator[pa.RecordBatch], encode: tuple[str, str], size: int,
             ids = np.array([*ids_of(text or ""), end_id], "<u4")
             for at in range(0, len(ids), size):
                 cut = ids[at : at + size]
-                packer.put(len(cut), (doc_id, at, len(cut), zlib.crc32(cut.tobytes()), len(ids), cut.tolist() if with_ids else None))
-            if len(ready) >= AT_ONCE:
-                yield flush()
+                packer.put(len(cut), (doc_id, at, len(cut), zlib.crc32(cut.tobytes()), len(ids), cut.copy() if with_ids else None))
+                if len(ready) >= AT_ONCE or waiting >= IDS_AT_ONCE:
+                    yield flush()
     for room, number in packer.open:
         close(number, packer.held[number], room)
     if ready:
