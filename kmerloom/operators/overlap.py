@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,22 +103,64 @@ def verdicts(refs: DataFrame, p: DataFrame, start: int = -1, last_wins: bool = F
     )
 
 
+#: Classes of a tile: those that share a hash are compared tile by tile.
+TILE = 1024
+
+
+def _partners(least: int) -> Callable[[pa.Table], pa.Table]:
+    """Work on one pair of tiles of the classes that hold ``key``: (class_id, links) found there. A pair counts at the smallest rare key it shares, so once in all."""
+
+    def flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values, owners = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        order = np.argsort(values, kind="stable")
+        return values[order], owners[order]
+
+    def shared(values: np.ndarray, owners: np.ndarray, n: int, wanted: np.ndarray) -> np.ndarray:
+        """How many of ``wanted`` each of n lists holds."""
+        at = np.searchsorted(values, wanted)
+        m = np.searchsorted(values, wanted, "right") - at
+        places = np.arange(m.sum()) + np.repeat(at - np.cumsum(m) + m, m)
+        return np.bincount(owners[places], minlength=n)
+
+    def work(group: pa.Table) -> pa.Table:
+        key, ids = group["key"][0].as_py(), group["class_id"].to_numpy()
+        sketches, rare = (list(map(np.asarray, group[c].to_pylist())) for c in ("sketch", "rare"))
+        first = group["tile"].to_numpy() == group["low"][0].as_py()
+        within = group["low"][0].as_py() == group["high"][0].as_py()
+        left, right = np.flatnonzero(first), np.flatnonzero(first if within else ~first)
+        links = np.zeros(len(ids), np.int64)
+        if len(left) and len(right):
+            met, whole = flat([rare[j][rare[j] < key] for j in right]), flat([sketches[j] for j in right])
+            for k, i in enumerate(left.tolist()):
+                near = (shared(*whole, len(right), sketches[i]) >= least) & (shared(*met, len(right), rare[i][rare[i] < key]) == 0)
+                if within:
+                    near[: k + 1] = False
+                links[i] += near.sum()
+                links[right[near]] += 1
+        some = links > 0
+        return pa.table({"class_id": pa.array(ids[some], pa.int64()), "links": pa.array(links[some], pa.int64())})
+
+    return work
+
+
 def near_classes(sk: DataFrame, least: int) -> DataFrame:
     """(id, class_id, links) of ``sk(id, sketch)``: the smallest id of an equal sketch, and how many other classes share ``least`` hashes or more.
 
     Equal sketches fold into one class first, so copies are never paired. Two sketches that share ``least`` hashes share one
-    of their rarest size - least + 1 (prefix filter, exact), so only those are joined and hashes that most sketches hold meet no one;
-    every pair found is then counted on the whole sketches. Null and empty sketches are a class of their own without links.
+    of their rarest size - least + 1 (prefix filter, exact), so only classes with such a hash in common meet. They are compared in tiles of
+    ``TILE`` classes, on whole sketches, and every pair of tiles returns counts: no pair is written, no hash is left out, and a hash that
+    very many classes hold is many tasks. Hashes are compared as longs. Null and empty sketches are a class of their own without links.
     """
     keyed = durable(sk.select("id", "sketch", F.sha2(F.coalesce(F.array_join("sketch", ","), F.lit("")), 256).alias("key")))
     classes = durable(keyed.groupBy("key").agg(F.min("id").alias("class_id"), F.first("sketch").alias("sketch")))
-    held = classes.filter(F.size("sketch") >= least).select("class_id", "sketch")
+    held = durable(classes.filter(F.size("sketch") >= least).select("class_id", F.transform("sketch", lambda h: F.xxhash64(h)).alias("sketch")))
     long = held.select("class_id", F.size("sketch").alias("m"), F.explode("sketch").alias("hash"))
     ranked = long.join(long.groupBy("hash").agg(F.count("*").alias("n")), "hash").groupBy("class_id", "m").agg(F.sort_array(F.collect_list(F.struct("n", "hash"))).alias("l"))
-    rare = durable(ranked.select("class_id", F.explode(F.slice("l", F.lit(1), F.col("m") - least + 1)).alias("x")).select("class_id", F.col("x.hash").alias("hash")))
-    a, b = rare.select(F.col("class_id").alias("a"), "hash"), rare.select(F.col("class_id").alias("b"), "hash")
-    met = a.join(b, "hash").filter("a < b").select("a", "b").distinct()
-    both = met.join(held.select(F.col("class_id").alias("a"), F.col("sketch").alias("x")), "a").join(held.select(F.col("class_id").alias("b"), F.col("sketch").alias("y")), "b")
-    near = both.filter(F.size(F.array_intersect("x", "y")) >= least).select(F.explode(F.array("a", "b")).alias("class_id"))
-    counted = classes.select("key", "class_id").join(near.groupBy("class_id").agg(F.count("*").alias("links")), "class_id", "left")
+    rare = durable(ranked.select("class_id", F.transform(F.slice("l", F.lit(1), F.col("m") - least + 1), lambda x: x["hash"]).alias("rare")))
+    met = rare.select("class_id", F.explode("rare").alias("key"))
+    sizes = met.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("n")).filter("n > 1").select("key", "tiles")
+    dealt = met.join(sizes, "key").withColumns({"tile": F.pmod(F.xxhash64("class_id"), "tiles").cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))})
+    dealt = dealt.select("class_id", "key", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")).join(rare, "class_id").join(held, "class_id")
+    near = dealt.groupBy("key", "low", "high").applyInArrow(_partners(least), "class_id long, links long")
+    counted = classes.select("key", "class_id").join(near.groupBy("class_id").agg(F.sum("links").alias("links")), "class_id", "left")
     return keyed.select("id", "key").join(counted, "key").select("id", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
