@@ -103,8 +103,8 @@ def verdicts(refs: DataFrame, p: DataFrame, start: int = -1, last_wins: bool = F
     )
 
 
-#: Classes of a tile: those that share a hash are compared tile by tile.
-TILE = 1024
+#: Classes that share a hash are paired by a join up to this number (so no class is in more pairs a hash), and beyond it compared in tiles of so many.
+LIGHT, TILE = 32, 1024
 
 
 def _partners(least: int) -> Callable[[pa.Table], pa.Table]:
@@ -147,9 +147,9 @@ def near_classes(sk: DataFrame, least: int) -> DataFrame:
     """(id, class_id, links) of ``sk(id, sketch)``: the smallest id of an equal sketch, and how many other classes share ``least`` hashes or more.
 
     Equal sketches fold into one class first, so copies are never paired. Two sketches that share ``least`` hashes share one
-    of their rarest size - least + 1 (prefix filter, exact), so only classes with such a hash in common meet. They are compared in tiles of
-    ``TILE`` classes, on whole sketches, and every pair of tiles returns counts: no pair is written, no hash is left out, and a hash that
-    very many classes hold is many tasks. Hashes are compared as longs. Null and empty sketches are a class of their own without links.
+    of their rarest size - least + 1 (prefix filter, exact), so only classes with such a hash in common meet, and count at the smallest
+    one. Up to ``LIGHT`` classes of a hash are joined; more are compared in tiles of ``TILE``, and every pair of tiles returns counts, not pairs: no hash
+    is left out, and one that very many classes hold is many tasks. Hashes are compared as longs. Null and empty sketches are a class of their own without links.
     """
     keyed = durable(sk.select("id", "sketch", F.sha2(F.coalesce(F.array_join("sketch", ","), F.lit("")), 256).alias("key")))
     classes = durable(keyed.groupBy("key").agg(F.min("id").alias("class_id"), F.first("sketch").alias("sketch")))
@@ -157,10 +157,18 @@ def near_classes(sk: DataFrame, least: int) -> DataFrame:
     long = held.select("class_id", F.size("sketch").alias("m"), F.explode("sketch").alias("hash"))
     ranked = long.join(long.groupBy("hash").agg(F.count("*").alias("n")), "hash").groupBy("class_id", "m").agg(F.sort_array(F.collect_list(F.struct("n", "hash"))).alias("l"))
     rare = durable(ranked.select("class_id", F.transform(F.slice("l", F.lit(1), F.col("m") - least + 1), lambda x: x["hash"]).alias("rare")))
-    met = rare.select("class_id", F.explode("rare").alias("key"))
-    sizes = met.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("n")).filter("n > 1").select("key", "tiles")
-    dealt = met.join(sizes, "key").withColumns({"tile": F.pmod(F.xxhash64("class_id"), "tiles").cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))})
-    dealt = dealt.select("class_id", "key", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")).join(rare, "class_id").join(held, "class_id")
-    near = dealt.groupBy("key", "low", "high").applyInArrow(_partners(least), "class_id long, links long")
-    counted = classes.select("key", "class_id").join(near.groupBy("class_id").agg(F.sum("links").alias("links")), "class_id", "left")
+    met = rare.select("class_id", "rare", F.explode("rare").alias("key"))
+    sizes = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = durable(met.join(sizes, "key"))
+    light = met.filter(F.col("n") <= LIGHT)
+    a, b = (light.select("key", F.col("class_id").alias(x), F.col("rare").alias(f"r{x}")) for x in "ab")
+    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.array_min(F.array_intersect("ra", "rb")) == F.col("key"))).select("a", "b")
+    both = pairs.join(held.select(F.col("class_id").alias("a"), F.col("sketch").alias("x")), "a").join(held.select(F.col("class_id").alias("b"), F.col("sketch").alias("y")), "b")
+    near = both.filter(F.size(F.array_intersect("x", "y")) >= least).select(F.explode(F.array("a", "b")).alias("class_id"), F.lit(1).cast("long").alias("links"))
+    dealt = met.filter(F.col("n") > LIGHT).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    dealt = dealt.withColumns({"tile": F.pmod(F.xxhash64("class_id"), "tiles").cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))})
+    dealt = dealt.select("class_id", "rare", "key", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")).join(held, "class_id")
+    near = near.unionByName(dealt.groupBy("key", "low", "high").applyInArrow(_partners(least), "class_id long, links long"))
+    near = near.groupBy("class_id").agg(F.sum("links").alias("links"))
+    counted = classes.select("key", "class_id").join(near, "class_id", "left")
     return keyed.select("id", "key").join(counted, "key").select("id", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))

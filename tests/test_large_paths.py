@@ -62,13 +62,16 @@ def test_all_counts_has_every_reference(spark):
 
 
 def test_near_classes_in_tiles(spark, monkeypatch):
-    """Tiles of three classes: links as by all pairs, each once."""
+    """Joined up to any number of classes a hash, beyond it in tiles of three: links as by all pairs, each once."""
     rng = random.Random(6)
     base = [f"h{i}" for i in range(30)]
     data = [(i, sorted(rng.sample(base, rng.randint(20, 26)))) for i in range(50)]
     monkeypatch.setattr(O, "TILE", 3)
-    got = {r.id: r.links for r in O.near_classes(spark.createDataFrame(data, "id long, sketch array<string>"), 18).collect()}
-    assert got == {i: sum(len(set(s) & set(t)) >= 18 for j, t in data if j != i) for i, s in data} and sum(got.values()) > 100
+    want = {i: sum(len(set(s) & set(t)) >= 18 for j, t in data if j != i) for i, s in data}
+    assert sum(want.values()) > 100
+    for light in (0, 12, 1000):
+        monkeypatch.setattr(O, "LIGHT", light)
+        assert {r.id: r.links for r in O.near_classes(spark.createDataFrame(data, "id long, sketch array<string>"), 18).collect()} == want
 
 
 def test_a_hot_group_is_cut_before_its_shuffle(spark):
