@@ -1,7 +1,8 @@
-"""What the operators of this subpackage share: reading, Arrow maps, durable cuts, labelled samples."""
+"""What the operators of this subpackage share: reading, Arrow maps, durable cuts, models fitted on labelled samples."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,12 +43,13 @@ def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, limit: int, seed: str) -> list[tuple[str, int]]:
-    """At most ``limit`` (text, label) pairs from rows whose crc32(doc_id as text) mod ``modulus`` is not ``held_out``.
+def fitted[Model](docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, limit: int, seed: str, learn: Callable[[list[tuple[str, int]]], Model]) -> Model:
+    """What ``learn`` makes of at most ``limit`` (text, label) pairs from rows whose crc32(doc_id as text) mod ``modulus`` is not ``held_out``.
 
     Which labelled ids are taken is settled on the narrow label table by a seeded hash; their texts are then read with
     an id filter. Rows without id or label are left out; where one id has several labels the largest holds; where one id has several
-    texts the smallest counts.
+    texts the smallest counts. The bounded sample is learned from in one task, in order of the ids, so the driver holds the model alone and
+    a lost executor's task begins again.
     """
     key = F.col("doc_id").cast("string")
     ids = (
@@ -57,7 +59,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     )
     wanted = {r.doc_id: int(r.y) for r in ids.collect()}
     if not wanted:
-        return []
+        return learn([])
     small = docs.sparkSession.createDataFrame(list(wanted.items()), "doc_id long, y int")
     texts = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("y").alias("y"))
-    return [(r.text, r.y) for r in sorted(texts.collect(), key=lambda r: r.doc_id)]
+
+    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3))))
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(learn([(text, y) for _, text, y in rows]))]})
+
+    made = texts.select("doc_id", "text", "y").coalesce(1).mapInArrow(model, "model binary").collect()
+    return pickle.loads(made[0].model) if made else learn([])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import arrow_map, labelled_sample, slices
+from kmerloom.llm.common import arrow_map, fitted, slices
 from kmerloom.llm.quality import newton
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -298,7 +298,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000, modulus: in
     ``spans`` are "begin-end" characters of toxic stretches. Whole texts; null text is empty; null ids keep their rows (held_out false);
     repeated rows get equal scores; other columns are ignored. Nothing is shuffled but the label table.
     """
-    model = train(labelled_sample(docs, labels, "toxic", modulus, held_out, sample, "toxic"))
+    model = fitted(docs, labels, "toxic", modulus, held_out, sample, "toxic", train)
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
         found = [model.read(t or "") for t in batch["text"]]
@@ -312,7 +312,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000, modulus: in
 
 def keep_clean(docs: DataFrame, labels: DataFrame, cut: float = 0.5, **options) -> DataFrame:
     """``docs`` without those scored ``cut`` or more; all columns stay. The score is computed beside the row, so nothing is joined."""
-    model = train(labelled_sample(docs, labels, "toxic", options.get("modulus", 5), options.get("held_out", 0), options.get("sample", 6000), "toxic"))
+    model = fitted(docs, labels, "toxic", options.get("modulus", 5), options.get("held_out", 0), options.get("sample", 6000), "toxic", train)
 
     def toxic(batches):
         for b in chain.from_iterable(map(slices, batches)):
