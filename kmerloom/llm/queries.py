@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm import isomedia, licenses, mixing, neardup, packing, pii, quality, sharding, simhash, toxicity
+from kmerloom.llm import factoring, fim, isomedia, licenses, mixing, neardup, packing, pii, quality, resampling, sharding, simhash, toxicity
 from kmerloom.llm.common import read
 
 #: The tokenizer's file, and the same vocabulary as ranks.
@@ -69,7 +69,22 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_pii_surrogates, op3_simhash_fingerprints, op4_iso_media, op5_two_pass_shuffle, op6_hierarchical_mix, op7_bradley_terry_quality, op8_crf_toxicity, op9_bounded_packing, op10_simhash_near_dedup)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.restore(fim.fill_in_middle(read(spark, sf_dir, "documents")))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = factoring.dedup_substrings(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_pii_surrogates, op3_simhash_fingerprints, op4_iso_media, op5_two_pass_shuffle, op6_hierarchical_mix, op7_bradley_terry_quality, op8_crf_toxicity, op9_bounded_packing, op10_simhash_near_dedup, op11_fill_in_middle, op12_importance_resampling, op13_substring_dedup)}
 
 _DOMAIN = "CASE WHEN source IN ('src0','src1','src2','src3','src4','src5') THEN 'web' WHEN source IN ('src6','src7','src8','src9','src10','src11') THEN 'books' ELSE 'other' END"
 
@@ -95,4 +110,27 @@ o AS (SELECT d.*, whole, budget - whole * t AS part, sum(tokens) OVER (PARTITION
 SELECT doc_id, domain, lang, source, unnest(range(whole + (before < part)::BIGINT))::INT AS epoch, tokens FROM o WHERE whole + (before < part)::BIGINT > 0
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_hierarchical_mix": MIX_SQL}
+#: Tokens cut with RE2, ranks from the same digest; the text rebuilt is the text itself.
+FIM_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ \\t-\\r]*[^ \\t-\\r]+|[ \\t-\\r]+') AS tok, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+h AS (SELECT *, len(tok)::BIGINT AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(tok[1:a], '') AS head, array_to_string(tok[a + 1:b], '') AS mid, array_to_string(tok[b + 1:n], '') AS tail FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(head) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || mid ELSE '<S>' || tail || '<P>' || head || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+#: Every window spelled out, its smallest document, and the words within reach of a window that an earlier document holds.
+SUBSTRING_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+f AS (SELECT win, min(doc_id) AS first FROM g GROUP BY win),
+dup AS (SELECT g.doc_id, g.i FROM g JOIN f USING (win) WHERE g.doc_id > f.first),
+p AS (SELECT doc_id, p, ws[p] AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM w)),
+c AS (SELECT p.*, p.p - max(dup.i) OVER (PARTITION BY p.doc_id ORDER BY p.p) AS since FROM p LEFT JOIN dup ON dup.doc_id = p.doc_id AND dup.i = p.p),
+s AS (SELECT doc_id, count_if(since < 13)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE since IS NULL OR since >= 13) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_hierarchical_mix": MIX_SQL, "op11_fill_in_middle": FIM_SQL, "op13_substring_dedup": SUBSTRING_SQL}
