@@ -24,7 +24,7 @@ RANGES = 16
 #: Features of a range's task, about; a range of more is dealt to several tasks by document.
 TASK = 1 << 20
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")  # on UTF-8 bytes: those of letters beyond ASCII are all above 7F
-POSTINGS = "range int, doc_id long, key long, copies long, n_words long, buckets binary, counts binary"
+POSTINGS = "range int, doc_id long, key long, copies long, n_words long, steps binary, counts binary"
 
 
 def features(text: str | None, buckets: int, longest: int = 3) -> tuple[int, np.ndarray]:
@@ -37,8 +37,48 @@ def features(text: str | None, buckets: int, longest: int = 3) -> tuple[int, np.
     return len(words), np.concatenate(out)
 
 
+def counted(found: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, count), ascending."""
+    if 8 * len(found) < buckets:
+        return np.unique(found, return_counts=True)
+    counts = np.bincount(found, minlength=buckets)
+    return (values := np.flatnonzero(counts)), counts[values]
+
+
+def packed(values: np.ndarray, counts: np.ndarray, edges: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+    """(range, steps, counts) of a document's ascending buckets: a byte for the step from the bucket before and one for the count. A wider step is
+    made up of steps of 255 with count 0, a larger count of steps of 0."""
+    own = np.searchsorted(edges, values, "right") - 1
+    first = np.diff(own, prepend=-1) > 0
+    steps = np.where(first, values - edges[own] + 1, np.diff(values, prepend=0))
+    fill, more = (steps - 1) // 255, (counts - 1) // 255
+    if fill.any() or more.any():
+        each = 1 + fill + more
+        at = np.repeat(np.arange(len(each)), each)
+        turn = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each) - fill[at]
+        steps, counts, own = np.where(turn < 0, 255, np.where(turn == 0, (steps - 255 * fill)[at], 0)), np.where(turn < 0, 0, np.where(turn == 0, (counts - 255 * more)[at], 255)), own[at]
+    cuts = np.searchsorted(own, np.arange(len(edges)))
+    steps, counts = steps.astype(np.uint8).tobytes(), counts.astype(np.uint8).tobytes()
+    return [(r, steps[a:b], counts[a:b]) for r, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if a < b or r == 0]
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, length of each value) of a binary column, nulls as empty."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data and len(offsets) else np.zeros(0, np.uint8), np.diff(offsets)
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place within its range, count) of all postings of a batch."""
+    steps, sizes = _bytes_of(batch["steps"])
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    sums = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+    return rows, sums[1:] - sums[np.cumsum(sizes) - sizes][rows] - 1, _bytes_of(batch["counts"])[0].astype(np.int64)
+
+
 def postings(docs: DataFrame, buckets: int) -> DataFrame:
-    """(range, doc_id, key, copies, n_words, buckets, counts): a document's packed postings of each range of buckets; range 0 always has a row. ``key`` is the
+    """(range, doc_id, key, copies, n_words, steps, counts): a document's packed postings of each range of buckets; range 0 always has a row. ``key`` is the
     text's hash; rows of one id and text that meet in a slice are one with ``copies``."""
     edges = np.array([-(-r * buckets // RANGES) for r in range(RANGES + 1)])
 
@@ -46,41 +86,29 @@ def postings(docs: DataFrame, buckets: int) -> DataFrame:
         same: dict[tuple, int] = {}
         for doc in zip(batch["doc_id"], batch["text"]):
             same[doc] = same.get(doc, 0) + 1
-        out: dict[str, list] = {f.split()[0]: [] for f in POSTINGS.split(", ")}
+        out: list[tuple] = []
         for (doc_id, text), copies in same.items():
             n, found = features(text, buckets)
-            values, counts = np.unique(found, return_counts=True)
-            cuts = np.searchsorted(values, edges)
             key = int(np.uint64(xxh64_intdigest((text or "").encode())).view(np.int64))
-            for r in range(RANGES):
-                a, b = cuts[r], cuts[r + 1]
-                if a < b or r == 0:
-                    row = (r, doc_id, key, copies, n, (values[a:b] - edges[r]).astype("<u4" if buckets > RANGES << 16 else "<u2").tobytes(), counts[a:b].astype("<u4").tobytes())
-                    for c, value in zip(out, row):
-                        out[c].append(value)
-        return out
+            out += [(r, doc_id, key, copies, n, steps, counts) for r, steps, counts in packed(*counted(found, buckets), edges)]
+        return dict(zip((f.split()[0] for f in POSTINGS.split(", ")), map(list, zip(*out)))) if out else {f.split()[0]: [] for f in POSTINGS.split(", ")}
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, POSTINGS)
 
 
-def _unpacked(batch: dict[str, list], i: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(batch["buckets"][i], kind), np.frombuffer(batch["counts"][i], "<u4")
-
-
 def totals(found: DataFrame, buckets: int) -> DataFrame:
     """(range, sums): features in each bucket of each range, folded in every task before the shuffle (``buckets`` numbers a task)."""
-    width, kind = -(-buckets // RANGES), "<u4" if buckets > RANGES << 16 else "<u2"
+    width = -(-buckets // RANGES)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((RANGES, width), np.int64)
+        sums = np.zeros(RANGES * width, np.int64)
         for batch in batches:
-            cols = batch.to_pydict()
-            for i, r in enumerate(cols["range"]):
-                places, counts = _unpacked(cols, i, kind)
-                sums[r, places] += counts.astype(np.int64) * cols["copies"][i]
-        yield pa.RecordBatch.from_pydict({"range": pa.array(range(RANGES), pa.int32()), "sums": pa.array(sums.tolist(), pa.list_(pa.int64()))})
+            rows, places, counts = unpacked(batch)
+            own, copies = batch["range"].to_numpy().astype(np.int64), batch["copies"].to_numpy()
+            sums += np.bincount(own[rows] * width + places, counts * copies[rows], RANGES * width).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"range": pa.array(range(RANGES), pa.int32()), "sums": pa.array(sums.reshape(RANGES, width).tolist(), pa.list_(pa.int64()))})
 
-    parts = found.select("range", "copies", "buckets", "counts").mapInArrow(fold, "range int, sums array<long>")
+    parts = found.select("range", "copies", "steps", "counts").mapInArrow(fold, "range int, sums array<long>")
     each = parts.select("range", F.posexplode("sums").alias("place", "n")).groupBy("range", "place").agg(F.sum("n").alias("n"))
     listed = each.groupBy("range").agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("l"))  # ``width`` entries each
     return listed.select("range", F.transform("l", lambda x: x["n"]).alias("sums"))
@@ -98,7 +126,6 @@ def weights(docs: DataFrame, target: DataFrame, buckets: int = 10_000) -> DataFr
     The postings are written once. A range's totals of both corpora are sent to each of its tasks and sorted before its postings, so that
     a task holds one range's gains and passes its postings by, whatever their number; a contribution is one number a document and range.
     """
-    kind = "<u4" if buckets > RANGES << 16 else "<u2"
     found = durable(postings(docs, buckets))
     ours = durable(totals(found, buckets).withColumnRenamed("sums", "s"))
     theirs = totals(postings(target, buckets), buckets).withColumnRenamed("sums", "t")
@@ -108,23 +135,25 @@ def weights(docs: DataFrame, target: DataFrame, buckets: int = 10_000) -> DataFr
     all_s, all_t = (n or 0 for n in both.agg(F.sum(plus(F.col("s"))), F.sum(plus(F.col("t")))).first())
     deals = max(1, all_s // (RANGES * TASK))
     none = F.lit(None)
-    first = both.select("range", F.explode(F.sequence(F.lit(0), F.lit(deals - 1).cast("int"))).alias("deal"), F.lit(0).alias("turn"), "s", "t", *(none.cast(k).alias(c) for c, k in (("doc_id", "long"), ("key", "long"), ("copies", "long"), ("n_words", "long"), ("buckets", "binary"), ("counts", "binary"))))
+    first = both.select("range", F.explode(F.sequence(F.lit(0), F.lit(deals - 1).cast("int"))).alias("deal"), F.lit(0).alias("turn"), "s", "t", *(none.cast(k).alias(c) for c, k in (("doc_id", "long"), ("key", "long"), ("copies", "long"), ("n_words", "long"), ("steps", "binary"), ("counts", "binary"))))
     lists = (none.cast("array<long>").alias(c) for c in "st")
-    then = found.select("range", F.pmod(F.xxhash64("doc_id", "key"), F.lit(deals)).cast("int").alias("deal"), F.lit(1).alias("turn"), *lists, "doc_id", "key", "copies", "n_words", "buckets", "counts")
+    then = found.select("range", F.pmod(F.xxhash64("doc_id", "key"), F.lit(deals)).cast("int").alias("deal"), F.lit(1).alias("turn"), *lists, "doc_id", "key", "copies", "n_words", "steps", "counts")
 
     def contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = np.zeros(0, np.int64)
         for batch in batches:
-            cols, part = batch.to_pydict(), np.zeros(batch.num_rows, np.int64)
-            for i, turn in enumerate(cols["turn"]):
-                if turn:
-                    places, counts = _unpacked(cols, i, kind)
-                    part[i] = gain[places] @ counts.astype(np.int64)
-                else:
-                    gain = gains(np.array(cols["s"][i]), np.array(cols["t"][i]), all_s, all_t, buckets)
-            ones = [c if r == 0 else 0 for c, r in zip(cols["copies"], cols["range"])]
-            made = pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "key": batch["key"], "n_words": batch["n_words"], "part": pa.array(part * np.array([c or 0 for c in cols["copies"]])), "copies": pa.array(ones, pa.int64())})
-            yield made.filter(pc.equal(batch["turn"], 1))
+            rows, places, counts = unpacked(batch)
+            part = np.zeros(batch.num_rows, np.int64)
+            turns = np.flatnonzero(batch["turn"].to_numpy() == 0)
+            for a, b in zip(np.append(0, turns), np.append(turns, batch.num_rows)):
+                own = slice(*np.searchsorted(rows, [a, b]))  # from one range's totals to the next
+                part[a:b] += np.bincount(rows[own] - a, gain[places[own]] * counts[own], b - a).astype(np.int64) if a < b and own.start < own.stop else 0
+                if b < batch.num_rows:
+                    gain = gains(*(np.array(batch[c][int(b)].as_py()) for c in "st"), all_s, all_t, buckets)
+            copies = np.nan_to_num(batch["copies"].to_numpy(zero_copy_only=False)).astype(np.int64)
+            ones = np.where(batch["range"].to_numpy() == 0, copies, 0)
+            made = {"doc_id": batch["doc_id"], "key": batch["key"], "n_words": batch["n_words"], "part": pa.array(part * copies), "copies": pa.array(ones)}
+            yield pa.RecordBatch.from_pydict(made).filter(pc.equal(batch["turn"], 1))
 
     dealt = first.unionByName(then).repartition("range", "deal").sortWithinPartitions("range", "deal", "turn")
     parts = dealt.mapInArrow(contributions, "doc_id long, key long, n_words long, part long, copies long")
