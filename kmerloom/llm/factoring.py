@@ -69,14 +69,17 @@ def windows(lists: list[list[bytes]], least: int) -> tuple[np.ndarray, np.ndarra
     return own[:n][whole], place[:n][whole], _runs_of(flat, least)[whole], _least_of(_runs_of(flat, anchor, 2048), least - anchor + 1)[whole]
 
 
-def _pack(numbers: np.ndarray) -> bytes:
-    """Steps between numbers as four planes of bytes, most of which are zeros."""
-    return np.diff(numbers, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _pack(places: np.ndarray) -> bytes:
+    """Places as runs of neighbours, begin (as a step from the one before) and length, in planes of bytes, most of which are zeros."""
+    begin = np.flatnonzero(np.diff(places, prepend=-9) != 1)
+    numbers = np.concatenate([np.diff(places[begin], prepend=0), np.diff(np.append(begin, len(places)))])
+    return numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
     planes = np.frombuffer(data, np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4")[:, 0], dtype=np.int64)
+    steps, sizes = np.ascontiguousarray(planes.T).view("<i4")[:, 0].reshape(2, -1).astype(np.int64)
+    return np.repeat(np.cumsum(steps) - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 def _runs(doc: np.ndarray, key: np.ndarray, place: np.ndarray, ref: np.ndarray, at: np.ndarray) -> np.ndarray:
