@@ -5,11 +5,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.cluster import durable, spread  # noqa: F401
 from kmerloom.functions import kmers as K
+from kmerloom.functions.murmur import with_murmur3
 
 #: Deep k-mers (a long each) up to this number are broadcast; beyond it the join shuffles by k-mer.
 DEEP = 4_000_000
@@ -25,14 +28,25 @@ def kmer_table(seqs: DataFrame, ks: list[int]) -> DataFrame:
 
 
 def hash_table(seqs: DataFrame, ks: list[int], name: str = "md5", canonical: bool = False, valid_only: bool = False) -> DataFrame:
-    """(id, pos, k, hash), duplicates kept; masked k-mers are left out."""
+    """(id, pos, k, hash), duplicates kept; masked k-mers are left out. Masked Murmur3 hashes are made without Python (functions/murmur.py)."""
+    if name == "murmur3" and valid_only:
+        one = [with_murmur3(kmer_table(seqs, [k]).filter(K.is_valid(F.col("kmer"))), "kmer", k, canonical=canonical).drop("kmer") for k in ks]
+        return reduce(DataFrame.unionByName, one)
     table = kmer_table(seqs, ks)
     table = table.filter(K.is_valid(F.col("kmer"))) if valid_only else table
     return table.select("id", "pos", "k", K.kmer_hash(F.col("kmer"), name, canonical).alias("hash"))
 
 
 def sketches(seqs: DataFrame, ks: list[int], s: int | None = 1000, name: str = "md5", canonical: bool = False, valid_only: bool = False) -> DataFrame:
-    """(id, sketch): the s smallest distinct hashes of a row, made in the row, without a shuffle."""
+    """(id, sketch): the s smallest distinct hashes of a row, made in the row, without a shuffle.
+
+    Masked Murmur3 hashes are made of exploded k-mers: sequences are dealt by id first, so that what is shuffled is sequences and k-mers come together where they are; rows of one id are one sequence then.
+    """
+    if name == "murmur3" and valid_only:
+        dealt = seqs.select("id", "seq").repartition("id")
+        valid = F.when(K.is_valid(F.col("kmer")), F.col("kmer"))
+        one = [with_murmur3(dealt.select("id", F.explode_outer(K.kmers(F.col("seq"), k)).alias("kmer")).select("id", valid.alias("kmer")), "kmer", k, canonical=canonical) for k in ks]
+        return gathered(reduce(DataFrame.unionByName, one), s, name)
     return seqs.select("id", K.bottom(K.hashes(F.col("seq"), ks, name, canonical, valid_only), s, name).alias("sketch"))
 
 

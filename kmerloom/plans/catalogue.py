@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.cluster import durable, fresh_folder, remove
 from kmerloom.functions import kmers as K
+from kmerloom.functions import murmur as M
 from kmerloom.operators import lineage as L
 from kmerloom.operators import overlap as O
 from kmerloom.operators import scoring
@@ -240,6 +241,43 @@ def classify_last_wins(spark, d):
     return C.classify(reads(spark, d), refs(spark, d), [KMER], None, last_wins=True).select("read_id", "ref_id", "shared")
 
 
+_ONES = "18446744073709551615::UHUGEINT"
+_mul = lambda a, n: f"(({a}::UHUGEINT * {n}::UHUGEINT) & {_ONES})::UBIGINT"
+_add = lambda a, b: f"(({a}::UHUGEINT + {b}::UHUGEINT) & {_ONES})::UBIGINT"
+_rot = lambda a, r: f"(({a}::UHUGEINT * {2**r}::UHUGEINT) & {_ONES})::UBIGINT | ({a} >> {64 - r})"
+_mix = lambda a: f"xor({a}, {a} >> 33)"
+_RC = "reverse(translate(kmer, 'ACGT', 'TGCA'))"
+
+
+def _murmur_sql(kmers: str) -> str:
+    """CTEs up to hk(kmer, hash): the documented hash of the 16-letter k-mers of ``kmers``, one block each, a step of the algorithm a CTE."""
+    word = lambda i: f"('0x' || hex(reverse(substr(kmer, {i}, 8))))::UBIGINT"
+    steps = [
+        f"{_mul(word(1), M.C1)} AS a, {_mul(word(9), M.C2)} AS b", f"{_mul(f'({_rot("a", 31)})', M.C2)} AS a, {_mul(f'({_rot("b", 33)})', M.C1)} AS b", "xor(42::UBIGINT, a) AS a, xor(42::UBIGINT, b) AS b",
+        f"{_add(_mul(_add(f'({_rot("a", 27)})', 42), 5), M.ADD1)} AS a, b", f"a, {_add(_mul(_add(f'({_rot("b", 31)})', 'a'), 5), M.ADD2)} AS b", "xor(a, 16::UBIGINT) AS a, xor(b, 16::UBIGINT) AS b",
+        f"{_add('a', 'b')} AS a, b", f"a, {_add('b', 'a')} AS b", f"{_mul(_mix('a'), M.MIX1)} AS a, {_mul(_mix('b'), M.MIX1)} AS b", f"{_mul(_mix('a'), M.MIX2)} AS a, {_mul(_mix('b'), M.MIX2)} AS b",
+        f"format('{{:016x}}', {_add(_mix('a'), _mix('b'))}) AS hash",
+    ]
+    chain = ", ".join(f"m{i + 1} AS MATERIALIZED (SELECT kmer, {step} FROM m{i})" for i, step in enumerate(steps))
+    return f"km AS MATERIALIZED (SELECT DISTINCT kmer FROM ({kmers})), m0 AS MATERIALIZED (SELECT kmer FROM km UNION SELECT {_RC} FROM km), {chain}, hk AS MATERIALIZED (SELECT f.kmer, least(f.hash, r.hash) AS hash FROM (SELECT kmer, hash, {_RC} AS other FROM m{len(steps)}) f JOIN m{len(steps)} r ON r.kmer = f.other)"
+
+
+_DOCUMENTED = f"""WITH {DRD}, {DRF}, rd AS (SELECT id FROM drd), rf AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS ord FROM drf), {_murmur_sql(f"{_kmers('drd')} UNION ALL {_kmers('drf')}")},
+hrd AS (SELECT id, hash, count(*) AS n FROM ({_kmers('drd')}) JOIN hk USING (kmer) GROUP BY ALL), hrf AS (SELECT id, hash, count(*) AS n FROM ({_kmers('drf')}) JOIN hk USING (kmer) GROUP BY ALL), {SRD}, {SRF}"""
+
+
+@query(_verdict_sql("srd", "srf", -1, 5, 0, 5, _DOCUMENTED))
+def classify_documented(spark, d):
+    """By the documented hash, on the ACGT projection of both tables."""
+    panel = dna_refs(spark, d).withColumn("ord", F.col("id"))
+    return C.classify(dna_reads(spark, d), panel, [KMER], SIZE, min_matches=5, **C.DOCUMENTED)
+
+
+@query(f"WITH {DRD}, {_murmur_sql(_kmers('drd'))} SELECT hash, count(*)::BIGINT AS depth FROM ({_kmers('drd')}) JOIN hk USING (kmer) GROUP BY hash")
+def count_documented(spark, d):
+    return C.count(dna_reads(spark, d), [KMER], **C.DOCUMENTED)
+
+
 _FILTERED = _verdict_sql("srd", "srf", 0, 1, 0, 0, _FULL)
 
 
