@@ -37,8 +37,8 @@ PATTERNS = {
     "secret": r"(?<=[\"'])(?<=(?:token|secret|passwd|password|api_key|apikey|TOKEN|SECRET|PASSWORD|API_KEY|Token|Secret|Password)\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{6,}+|(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+)(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])sk-[0-9A-Za-z\-]{20,}+",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:{_h}:){{7}}{_h}|[0-9A-Fa-f]{{4}}(?::{_h}){{0,5}}::(?:{_h}(?::{_h}){{0,5}})?)(?![\p{{L}}\p{{N}}]|:[0-9A-Fa-f])",
-    "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
-    "card": r"(?<![\p{L}\p{N}.\-])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
+    "ip": r"(?<![\p{L}\p{N}.])(?<![Vv]ersion )(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
+    "card": r"(?<![\p{L}\p{N}.\-])(?!97[89][ \-]?\d|\d{13}(?!\d))\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
     "phone": r"(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|(?<![\p{L}\p{N}.\-])\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\p{N}])",
     "person": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_titles})\.? {_name}(?: {_name})?|(?:{_given}) {_name})(?![\p{{L}}\p{{N}}])",
@@ -323,9 +323,10 @@ def dictionary(found: DataFrame, key: str) -> DataFrame:
     folded before the shuffle, so one part that fills a third of all texts is one row a task.
     """
     now = found.select("kind", "shape", "mark").distinct().withColumn("attempt", F.lit(0))
+    drawn = F.lower(surrogate(F.col("kind"), F.col("shape"), F.col("mark"), F.col("attempt")))
+    said = digest(key, F.col("kind"), F.when(F.col("kind") == "ip6", _long_form(F.col("said"))).otherwise(F.col("said")))  # one expression for all rounds
     while True:
-        said = F.lower(surrogate(F.col("kind"), F.col("shape"), F.col("mark"), F.col("attempt")))
-        now = durable(now.withColumn("said", digest(key, F.col("kind"), F.when(F.col("kind") == "ip6", _long_form(said)).otherwise(said))))
+        now = durable(now.withColumn("said", drawn).withColumn("said", said))
         first = now.groupBy("said").agg(F.min("mark").alias("first"), F.count("*").alias("m"))
         real = now.select(F.col("mark").alias("said"), F.lit(True).alias("real"))
         taken = first.join(real, "said", "left").filter((F.col("m") > 1) | F.col("real")).select("said", F.when(F.col("real"), F.lit(None)).otherwise(F.col("first")).alias("keeps"), F.lit(True).alias("taken"))
@@ -350,20 +351,21 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     Nothing that is written between the steps holds a part, only its keyed digest and shape. Null texts stay null, null and repeated ids
     keep their rows, an empty table gives an empty one, and all other columns stay.
     """
-    kept = [c for c in docs.columns if c != "n_entities"]
-    docs = docs.select(*kept)
+    docs = docs.select(*(c for c in docs.columns if c != "n_entities"))
     found = durable(mentions(docs, key).distinct())
     spared = dictionary(found, key).filter("attempt > 0").select("mark", "attempt")
-    again = found.join(spared, "mark").groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("mark", "attempt"))).alias("_again"))
-    again = durable(again.withColumnRenamed("text_hash", "_hash"))
+    again = found.join(spared, "mark").groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("mark", "attempt"))).alias("again"))
+    again = durable(again)
     again = F.broadcast(again) if again.count() <= FEW else again
-    text = F.col("text")
-    gate = F.coalesce(text.rlike(GATE), F.lit(False))
-    rows = docs.filter(gate).withColumn("_hash", F.xxhash64("text")).join(again, "_hash", "left").withColumn("_found", F.regexp_extract_all(text, F.lit(ANY), 0))
-    rows = rows.withColumn("_told", F.transform("_found", lambda m: _told(key, m, F.col("_again"))))
-    cut = F.split(text, ANY, -1)
-    segments = _let(_people(F.col("_told")), lambda p: F.when(F.size(p) == 0, cut).otherwise(_let(F.map_from_entries(p), lambda known: F.transform(cut, lambda s: _lone(s, known)))))
-    joined = F.array_join(F.zip_with(segments, F.transform("_told", _written), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    rows = rows.withColumns({"text": F.when(F.size("_found") > 0, joined).otherwise(text), "n_entities": F.size("_found")}).select(*kept, "n_entities")
-    rows = rows.unionByName(docs.filter(~gate).withColumn("n_entities", F.lit(0)))
-    return rows.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in kept else rows
+    # a row travels in one struct, so none of its columns meets one of these steps
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("t"))
+    gate = F.coalesce(F.col("t").rlike(GATE), F.lit(False))
+    held = rows.filter(gate).withColumn("text_hash", F.xxhash64("t")).join(again, "text_hash", "left").withColumn("found", F.regexp_extract_all("t", F.lit(ANY), 0))
+    held = held.withColumn("told", F.transform("found", lambda m: _told(key, m, F.col("again"))))
+    cut = F.split("t", ANY, -1)
+    segments = _let(_people(F.col("told")), lambda p: F.when(F.size(p) == 0, cut).otherwise(_let(F.map_from_entries(p), lambda known: F.transform(cut, lambda s: _lone(s, known)))))
+    joined = F.array_join(F.zip_with(segments, F.transform("told", _written), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    held = held.select("row", F.when(F.size("found") > 0, joined).otherwise(F.col("t")).alias("t"), F.size("found").alias("n"))
+    done = held.unionByName(rows.filter(~gate).select("row", "t", F.lit(0).alias("n")))
+    new = {"text": F.col("t"), "n_chars": F.coalesce(F.length("t").cast("long"), F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return done.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns), F.col("n").alias("n_entities"))

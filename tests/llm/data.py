@@ -2,7 +2,7 @@
 
 import random
 
-CLASHES = ["fp", "tokens", "shard", "slot", "size", "epoch", "score", "h", "part", "cut", "range", "row", "bucket", "whole", "n_entities"]
+CLASHES = ["fp", "tokens", "shard", "slot", "size", "epoch", "score", "h", "part", "cut", "range", "row", "bucket", "whole", "n_entities", "_hash", "_found", "_told", "_again", "_gone", "_names", "t", "n", "id", "found", "told", "again", "text_hash"]
 
 
 def odd_rows():
