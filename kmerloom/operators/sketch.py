@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kmerloom.cluster import durable, spread  # noqa: F401
 from kmerloom.functions import kmers as K
 from kmerloom.functions.murmur import with_murmur3
+from kmerloom.operators import counters
 
 #: Deep k-mers (a long each) up to this number are broadcast; beyond it the join shuffles by k-mer.
 DEEP = 4_000_000
@@ -88,13 +89,17 @@ def gathered(long: DataFrame, s: int | None, name: str = "md5") -> DataFrame:
     return long.groupBy("id").agg(K.bottom(F.collect_set("hash"), s, name).alias("sketch"))
 
 
-def masked_sketches(seqs: DataFrame, ks: list[int], s: int | None, min_depth: int, over: DataFrame | None = None, depths: DataFrame | None = None, slots: int | None = None, name: str = "md5", canonical: bool = False, valid_only: bool = False) -> DataFrame:
+def masked_sketches(seqs: DataFrame, ks: list[int], s: int | None, min_depth: int, over: DataFrame | None = None, depths: DataFrame | counters.Counters | counters.DeepHashes | None = None, slots: int | None = None, name: str = "md5", canonical: bool = False, valid_only: bool = False) -> DataFrame:
     """(id, sketch) of the hashes that occur ``min_depth`` times or more in ``over`` (the sequences themselves).
 
     Depths are counted on a long a k-mer, folded before their shuffle; only the deep ones (broadcast up to ``DEEP`` of them, counted) meet the
     k-mers again, and only what is left is hashed and gathered. ``depths(hash, depth)`` is a table counted before, ``slots`` counts
-    in that many counters instead, where a rare k-mer may pass with its slot.
+    in that many counters instead, where a rare k-mer may pass with its slot. ``depths`` may also be ``Counters`` or ``DeepHashes`` (operators/counters.py): then
+    every row asks them about its own hashes and nothing is shuffled.
     """
+    if isinstance(depths, (counters.Counters, counters.DeepHashes)):
+        kept = counters.keep_deep(seqs.sparkSession, depths, min_depth, name)(K.hashes(F.col("seq"), ks, name, canonical, valid_only))
+        return seqs.select("id", K.bottom(kept, s, name).alias("sketch"))
     long = kmer_table(seqs, ks)
     long = long.filter(K.is_valid(F.col("kmer"))) if valid_only else long
     hashed = K.kmer_hash(F.col("kmer"), name, canonical)
@@ -151,10 +156,24 @@ def by_name(seqs: DataFrame) -> DataFrame:
 def search(seqs: DataFrame, wanted: DataFrame, ks: list[int], canonical: bool = False) -> DataFrame:
     """(id, kmers): each sequence's k-mers of the list ``wanted(kmer)``, in order, comma-joined; sequences without one are left out.
 
-    ``canonical``: a k-mer also matches by its other strand.
+    ``canonical``: a k-mer also matches by its other strand. A filter of the list (Bloom, built by all tasks) is asked in the row, so that of the k-mers only
+    those that the list may hold are exploded and joined; a list too long for a filter of bounded size goes without.
     """
     strand = lambda c: F.least(c, K.reverse_complement(c)) if canonical else c
-    listed = kmer_table(seqs, ks).withColumn("_w", strand(F.col("kmer")))
-    found = listed.join(wanted.select(strand(F.col("kmer")).alias("_w")).distinct(), "_w", "left_semi")
+    keys = durable(wanted.select(strand(F.col("kmer")).alias("_w")).filter(F.col("_w").isNotNull()).distinct())
+    known = counters.list_filter(keys.select(F.xxhash64("_w").alias("hash")))
+    if known is None:
+        listed = kmer_table(seqs, ks).withColumn("_w", strand(F.col("kmer")))
+    else:
+        held = counters.may_hold(seqs.sparkSession, known)
+
+        def asked(k: int) -> DataFrame:
+            each = seqs.select("id", K.kmers(F.col("seq"), k).alias("l"))
+            said = each.select("id", "l", held(F.transform("l", lambda x: F.xxhash64(strand(x)))).alias("s"))
+            numbered = F.filter(F.transform(F.arrays_zip("l", "s"), lambda x, i: F.struct(i.alias("pos"), x["l"].alias("kmer"), x["s"].alias("s"))), lambda x: x["s"])
+            return said.select("id", F.explode(numbered).alias("x")).select("id", "x.pos", F.lit(k).alias("k"), "x.kmer", strand(F.col("x.kmer")).alias("_w"))
+
+        listed = reduce(DataFrame.unionByName, map(asked, ks))
+    found = listed.join(keys, "_w", "left_semi")
     gathered_ = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "pos", "kmer"))).alias("l"))
     return gathered_.select("id", F.array_join(F.transform("l", lambda x: x["kmer"]), ",").alias("kmers"))

@@ -19,9 +19,11 @@ from kmerloom.operators import overlap as O
 from kmerloom.operators import scoring
 from kmerloom.operators import sketch as S
 from kmerloom.operators import variants as V
+from kmerloom.operators.counters import deep_hashes
 from kmerloom.plans import commands as C
 from kmerloom.sources import fastx, sinks
-from kmerloom.streaming.classify import classify_stream, running_depth, running_prevalence
+from kmerloom.sources.ranges import scan_fastx
+from kmerloom.streaming.classify import classify_stream, filter_report, running_depth, running_prevalence, write_report
 
 KMER, SIZE, WINDOW = 16, 1000, 100
 #: Variants are called on shorter k-mers, whose depth varies enough on these tables for calls of both kinds.
@@ -629,6 +631,41 @@ def stream_depth(spark, d):
     return _written(spark, running_depth(_stream(spark, d), KMER), "complete")
 
 
+_MASKED = _verdict_sql("mrd", "srf", 0, 3, 1, 0, _MASK)
+
+
+@query(f"""SELECT 'Sample: ' || read_id || chr(9) || 'Result: ' || coalesce(ref_id::VARCHAR, '') || chr(9) || shared || chr(9) || sketch_size || chr(9)
+  || concat_ws(' ', CASE WHEN fail_depth THEN 'FAIL:DEPTH' END, CASE WHEN fail_matches THEN 'FAIL:MATCHES' END, CASE WHEN fail_diff THEN 'FAIL:DIFF' END) AS line FROM ({_MASKED})""")
+def stream_filter_report(spark, d):
+    """The documents as a stream, their rare hashes masked by depths counted before, a report line each."""
+    known = deep_hashes(S.depth(reads(spark, d), [KMER]), 2)
+    lines = filter_report(_stream(spark, d), _panel(spark, d), [KMER], SIZE, min_matches=3, min_diff=1, depths=known, min_depth=2)
+    out = fresh_folder(spark, "report")
+    write_report(lines, f"{out}/lines", f"{out}/progress").awaitTermination()
+    kept = durable(spark.read.text(f"{out}/lines").select(F.col("value").alias("line")))
+    remove(spark, out)
+    return kept
+
+
+@query(_verdict_sql("mrd", "srf", -1, 5, 0, 5, _MASK))
+def classify_deep_hashes(spark, d):
+    """The depth mask asked in every row, without a shuffle of k-mers."""
+    known = deep_hashes(S.depth(reads(spark, d), [KMER]), 2)
+    return C.classify(reads(spark, d), refs(spark, d), [KMER], SIZE, min_depth=2, min_matches=5, depths=known)
+
+
+@query(f"WITH {DRD} SELECT id::VARCHAR AS name, source AS comment, seq, translate(seq, 'ACGT', '@+>I') AS qual FROM drd")
+def fastq_round_trip(spark, d):
+    """The documents written as FASTQ, with qualities full of marks, and scanned in byte ranges."""
+    out = fresh_folder(spark, "fastq")
+    found = dna_reads(spark, d)
+    name = F.concat_ws(" ", F.col("id").cast("string"), "source")
+    found.select(sinks.fastq(name, F.col("seq"), F.translate("seq", "ACGT", "@+>I"))).write.text(out)
+    kept = durable(scan_fastx(spark, out, 1 << 20).select("name", "comment", "seq", "qual"))
+    remove(spark, out)
+    return kept
+
+
 # --- both strands, masked letters, prepared inputs
 
 HC = f"least({H}, substr(md5(reverse(translate(kmer, 'ACGT', 'TGCA'))), 1, 16))"
