@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.cluster import durable, spread  # noqa: F401
 from kmerloom.functions import kmers as K
+from kmerloom.functions import packed
 from kmerloom.functions.murmur import with_murmur3
 from kmerloom.operators import counters
 
@@ -62,8 +63,19 @@ def counts_by_sequence(seqs: DataFrame, ks: list[int], **how) -> DataFrame:
 
 
 def depth(seqs: DataFrame, ks: list[int], **how) -> DataFrame:
-    """(hash, depth): occurrences over all sequences, folded before the shuffle."""
-    return hash_table(seqs, ks, **how).groupBy("hash").agg(F.count("*").alias("depth"))
+    """(hash, depth): occurrences over all sequences, folded before the shuffle.
+
+    Masked k-mers of up to 31 letters are folded as a long each and hashed once when they are counted (both strands as one before that, if canonical); others as hashes.
+    """
+    name, canonical = how.get("name", "md5"), how.get("canonical", False)
+    if not how.get("valid_only") or max(ks) > packed.LONGEST:
+        return hash_table(seqs, ks, **how).groupBy("hash").agg(F.count("*").alias("depth"))
+    counted = []
+    for k in ks:
+        one = packed.folded(kmer_table(seqs, [k]).filter(K.is_valid(F.col("kmer"))).select("kmer"), k, canonical)
+        hashed = with_murmur3(one, "kmer", k, canonical=canonical) if name == "murmur3" else one.withColumn("hash", K.kmer_hash(F.col("kmer"), name, canonical))
+        counted.append(hashed.select("hash", F.col("n").alias("depth")))
+    return counted[0] if len(ks) == 1 else reduce(DataFrame.unionByName, counted).groupBy("hash").agg(F.sum("depth").alias("depth"))
 
 
 def slot_depth(seqs: DataFrame, ks: list[int], slots: int, name: str = "md5", **how) -> DataFrame:
