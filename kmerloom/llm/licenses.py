@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Generator
 
 from pyspark.sql import DataFrame
 
@@ -79,14 +80,43 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(text: list[str], template: list[str], where: dict[str, list[int]], a: int, b: int, c: int, d: int, after: bool = False, before: bool = False) -> list[tuple[int, int]]:
-    """Matched (template place, text place) of template[a:b] and text[c:d].
+Pairs = list[tuple[int, int]]
+
+
+def common(template: list[str], where: dict[str, list[int]], a: int, b: int, c: int, d: int) -> Pairs:
+    """The longest common sequence of two ranges whose words all repeat: the longest rising run of all pairs of equal words, which ends as early as it can and is then drawn together towards its end."""
+    places = {w: p[bisect_left(p, c) : bisect_left(p, d)] for w in set(template[a:b]) if (p := where.get(w))}
+    run = rising([(i, j) for i in range(a, b) for j in reversed(places.get(template[i], ()))])
+    out, behind = [], run[-1][1] + 1 if run else d
+    for i, _ in reversed(run):
+        p = places[template[i]]
+        behind = p[bisect_left(p, behind) - 1]
+        out.append((i, behind))
+    return out[::-1]
+
+
+def align(text: list[str], template: list[str], where: dict[str, list[int]], a: int, b: int, c: int, d: int) -> Pairs:
+    """Matched (template place, text place) of template[a:b] and text[c:d]. Ranges within ranges wait on a list, so templates of any length are aligned."""
+    waiting: list[Generator[tuple, Pairs, Pairs]] = [_align(text, template, where, a, b, c, d)]
+    answer: Pairs | None = None
+    while waiting:
+        try:
+            waiting.append(_align(text, template, where, *waiting[-1].send(answer)))
+            answer = None
+        except StopIteration as done:
+            waiting.pop()
+            answer = done.value
+    return answer or []
+
+
+def _align(text: list[str], template: list[str], where: dict[str, list[int]], a: int, b: int, c: int, d: int, after: bool = False, before: bool = False) -> Generator[tuple, Pairs, Pairs]:
+    """The same; asks for the matches of a range within by its bounds.
 
     A range that begins right ``after`` a match, or ends right ``before`` one, first goes on from it word by word; a range that
     begins or ends elsewhere doesn't, since a stray word there would take the place of the notice's own. Then, anchors are words that occur once in both ranges; the longest rising run of them splits the ranges and each gap is aligned
     in turn. Where no word is unique in the text range, the template word with the fewest places there is tried at each of them
     within the stretch up to its neighbours' places, and the stretch with the most words close together counts (a notice may be
-    repeated). So a notice that stands in the text word for word is always matched in full.
+    repeated). Where no template word is unique either, the longest common sequence of both ranges is taken. So a notice that stands in the text word for word is always matched in full.
     """
     found: list[tuple[int, int]] = []
     while after and a < b and c < d and template[a] == text[c]:
@@ -112,7 +142,7 @@ def align(text: list[str], template: list[str], where: dict[str, list[int]], a:
         if anchors:
             at = (a, c)
             for i, j in [*anchors, (b, d)]:
-                found += align(text, template, where, at[0], i, at[1], j, after or at[0] > a, before or i < b)
+                found += yield at[0], i, at[1], j, after or at[0] > a, before or i < b
                 if i < b:
                     found.append((i, j))
                 at = (i + 1, j + 1)
@@ -121,11 +151,13 @@ def align(text: list[str], template: list[str], where: dict[str, list[int]], a:
             best, most = [], 0
             for k in range(lo, hi):
                 left, right = (p[k - 1] + 1 if k > lo else c), (p[k + 1] if k + 1 < hi else d)
-                one = [*align(text, template, where, a, i, left, p[k], after and left == c, True), (i, p[k]), *align(text, template, where, i + 1, b, p[k] + 1, right, True, before and right == d)]
+                one = [*(yield a, i, left, p[k], after and left == c, True), (i, p[k]), *(yield i + 1, b, p[k] + 1, right, True, before and right == d)]
                 close = len(dense(one, b - a))
                 if close > most:
                     best, most = one, close
             found += best
+        else:
+            found += common(template, where, a, b, c, d)
     return found + closing[::-1]
 
 
