@@ -136,24 +136,25 @@ class Track:
 
     def marked(self) -> Iterator[tuple[int, int, bool]]:
         """(offset, bytes, sync sample?) of each sample in the order of its chunks, then of its fragments. Samples behind the file's end, and all
-        after them in their table, don't exist."""
-        sizes, i, run = self.sizes.each(), 0, -1
+        after them in their table, don't exist, nor do those beyond as many bytes in all as the file has, however often tables point to one place."""
+        sizes, i, run, left = self.sizes.each(), 0, -1, self.limit
         for c, at in enumerate(self.offsets, 1):
             while run + 1 < len(self.runs) and self.runs[run + 1][0] <= c:
                 run += 1
             for _ in range(self.runs[run][1] if run >= 0 else 0):
                 n = next(sizes, None)
-                if n is None or at + n > self.limit:
+                if n is None or at + n > self.limit or n > left:
                     sizes = iter(())
                     break
-                i += 1
+                i, left = i + 1, left - n
                 yield at, n, self.sync is None or i in self.sync
                 at += n
         for f in self.fragments:
             at = f.at
             for k, n in enumerate(f.sizes.each()):
-                if at + n > self.limit:
+                if at + n > self.limit or n > left:
                     break
+                left -= n
                 yield at, n, bool(f.sync[k]) if f.sync is not None and (k or not f.first) else f.first if not k else f.others
                 at += n
 

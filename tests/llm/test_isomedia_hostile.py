@@ -61,3 +61,14 @@ def test_fragments():
     assert m.read_tracks(moof) == []
     for cut in range(0, len(data), 3):
         m.read_tracks(data[:cut])
+
+
+def test_samples_are_bounded_by_the_file():
+    """Tables that point to one place again and again give no more bytes of samples than the file has."""
+    chunks = track(m.full(b"stsz", pack(">II", 1, 2**32 - 1)) + m.full(b"stsc", pack(">IIII", 1, 1, 5000, 1)) + m.full(b"stco", pack(">I", 1000), pack(">I", 100) * 1000))
+    data = m.box(b"moov", chunks) + bytes(5000)
+    assert 0 < len(m.read_tracks(data)[0].samples()) <= len(data)
+    moov = m.box(b"moov", track(m.full(b"stsd", pack(">I", 1), m.box(b"avc1", bytes(78))), 7), m.box(b"mvex", m.full(b"trex", pack(">IIIII", 7, 1, 0, 1, 0))))
+    runs = [m.full(b"trun", pack(">Ii", 13_000, 0), flags=m.RUN_OFFSET) for _ in range(400)]
+    data = moov + m.box(b"moof", m.full(b"mfhd", pack(">I", 1)), m.box(b"traf", m.full(b"tfhd", pack(">I", 7)), *runs)) + bytes(3000)
+    assert 0 < len(m.read_tracks(data)[0].samples()) <= len(data)
