@@ -35,11 +35,11 @@ def other_strand(table: DataFrame, code: str, k: int, out: str) -> DataFrame:
 
 def folded(kmers: DataFrame, k: int, canonical: bool = False) -> DataFrame:
     """(kmer, n) of ``kmers(kmer)``, all of length k: occurrences of every k-mer, or with ``canonical`` of either strand (``kmer`` is the strand that comes
-    first). A long a k-mer is folded in place and shuffled; k-mers with other letters keep their text."""
-    plain = packable(F.col("kmer"))
+    first). A long a k-mer is folded in place and shuffled; longer k-mers and those with other letters keep their text."""
+    plain = packable(F.col("kmer")) if k <= LONGEST else F.lit(False)
     coded = kmers.select(F.when(plain, pack(F.col("kmer"))).alias("code"), F.when(~plain, F.col("kmer")).alias("text"))
     if canonical:
         flipped = F.reverse(F.translate("text", "ACGTacgt", "TGCAtgca"))
-        coded = other_strand(coded, "code", k, "other").select(F.least("code", "other").alias("code"), F.least("text", flipped).alias("text"))
+        coded = other_strand(coded, "code", min(k, LONGEST), "other").select(F.least("code", "other").alias("code"), F.least("text", flipped).alias("text"))
     counted = coded.groupBy("code", "text").agg(F.count("*").alias("n"))
-    return counted.select(F.coalesce(F.col("text"), unpack(F.col("code"), k)).alias("kmer"), "n")
+    return counted.select(F.coalesce(F.col("text"), unpack(F.col("code"), min(k, LONGEST))).alias("kmer"), "n")

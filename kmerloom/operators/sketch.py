@@ -63,17 +63,18 @@ def counts_by_sequence(seqs: DataFrame, ks: list[int], **how) -> DataFrame:
 
 
 def depth(seqs: DataFrame, ks: list[int], **how) -> DataFrame:
-    """(hash, depth): occurrences over all sequences, folded before the shuffle.
+    """(hash, depth): occurrences over all sequences.
 
-    Masked k-mers of up to 31 letters are folded as a long each and hashed once when they are counted (both strands as one before that, if canonical); others as hashes.
+    K-mers are folded before they are hashed, as a long each where they are up to 31 letters A, C, G, T, else as text (of both strands the one that comes first, if canonical), so
+    the shuffle moves no hashes and a k-mer is hashed once.
     """
-    name, canonical = how.get("name", "md5"), how.get("canonical", False)
-    if not how.get("valid_only") or max(ks) > packed.LONGEST:
-        return hash_table(seqs, ks, **how).groupBy("hash").agg(F.count("*").alias("depth"))
+    name, canonical, valid_only = how.get("name", "md5"), how.get("canonical", False), how.get("valid_only", False)
     counted = []
     for k in ks:
-        one = packed.folded(kmer_table(seqs, [k]).filter(K.is_valid(F.col("kmer"))).select("kmer"), k, canonical)
-        hashed = with_murmur3(one, "kmer", k, canonical=canonical) if name == "murmur3" else one.withColumn("hash", K.kmer_hash(F.col("kmer"), name, canonical))
+        table = kmer_table(seqs, [k]).select("kmer")
+        one = packed.folded(table.filter(K.is_valid(F.col("kmer"))) if valid_only else table, k, canonical)
+        fast = name == "murmur3" and valid_only
+        hashed = with_murmur3(one, "kmer", k, canonical=canonical) if fast else one.withColumn("hash", K.kmer_hash(F.col("kmer"), name, canonical))
         counted.append(hashed.select("hash", F.col("n").alias("depth")))
     return counted[0] if len(ks) == 1 else reduce(DataFrame.unionByName, counted).groupBy("hash").agg(F.sum("depth").alias("depth"))
 

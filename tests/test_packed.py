@@ -26,8 +26,7 @@ def test_depths_by_packed_kmers(spark):
     rng = random.Random(4)
     rows = [(i, "".join(rng.choices("ACGT", k=60)) + rng.choice(["", "N", "acgtacgt"]) + "ACGTTGCA" * 3) for i in range(20)] + [(90, None), (91, "AC")]
     df = spark.createDataFrame(rows, "id long, seq string")
-    for name in K.HASHES:
-        for canonical in (False, True):
-            how = {"name": name, "canonical": canonical, "valid_only": True}
-            want = Counter(r.hash for r in S.hash_table(df, [5, 8], **how).collect())
-            assert {r.hash: r.depth for r in S.depth(df, [5, 8], **how).collect()} == want, how
+    for name, canonical, valid_only, ks in (("md5", False, False, [5, 8]), ("md5", True, True, [31, 33]), ("xxhash64", True, False, [8]), ("murmur3", True, True, [5, 8]), ("murmur3", True, False, [33])):
+        how = {"name": name, "canonical": canonical, "valid_only": valid_only}
+        want = Counter(r.hash for r in S.hash_table(df, ks, **how).collect())
+        assert {r.hash: r.depth for r in S.depth(df, ks, **how).collect()} == want, how
