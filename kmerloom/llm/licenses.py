@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from kmerloom.llm.common import arrow_map
 
-#: Short forms, file headers and whole texts of public licences. More can be passed as ``templates``.
+#: Short forms, file headers and texts of public licences (of the Unlicense and BSL-1.0 the first paragraphs). More can be passed as ``templates``.
 TEMPLATES = {
     "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
