@@ -16,6 +16,8 @@ def listed(blocked: str) -> tuple[set[str], str]:
 def test_entry_without_what_is_missing():
     engine, said = listed("kmerloom.llm corpus_pipeline")
     assert len(engine) > 90 and "left out" in said and not any(n.startswith("op") for n in engine)
+    if not (ROOT / "kmerloom/llm").exists():
+        return
     other, said = listed("public_tokenizers")
     assert other == engine and "public_tokenizers" in said
     assert "pipeline" not in listed("corpus_pipeline")[0]
