@@ -546,10 +546,13 @@ def confusion(spark, d):
     return scoring.confusion(v.join(spark.read.parquet(f"{d}/labels.parquet"), F.col("read_id") == F.col("doc_id")), "score", "quality")
 
 
-@query("SELECT lang, count(*)::BIGINT AS n, round(avg(((n_chars >= 1000)::INT = quality)::INT), 6) AS pct_correct FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+@query(f"SELECT lang, count(*)::BIGINT AS n, round(avg(((shared >= 1)::INT = quality)::INT), 6) AS pct_correct FROM ({_verdict_sql('srd', 'srf', -1, -1, 0, -1, _FULL)}) JOIN documents ON doc_id = read_id JOIN labels USING (doc_id) GROUP BY lang")
 def accuracy_by_group(spark, d):
-    both = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
-    return scoring.accuracy_by_group(both.withColumn("guess", (F.col("n_chars") >= 1000).cast("int")), "lang", "guess", "quality").withColumn("pct_correct", F.round("pct_correct", 6))
+    """How often sharing a hash with the panel agrees with the label, by language."""
+    v = C.classify(reads(spark, d), refs(spark, d), [KMER], SIZE).select(F.col("read_id").alias("doc_id"), (F.col("shared") >= 1).cast("int").alias("guess"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
+    both = v.join(docs, "doc_id").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    return scoring.accuracy_by_group(both, "lang", "guess", "quality").withColumn("pct_correct", F.round("pct_correct", 6))
 
 
 @query("""WITH t AS (SELECT lang AS name, count(*) / sum(count(*)) OVER () AS t FROM documents GROUP BY lang), e AS (SELECT lang AS name, count(*) / sum(count(*)) OVER () AS e FROM documents JOIN labels USING (doc_id) GROUP BY lang),
@@ -751,10 +754,12 @@ def classify_slot_mask(spark, d):
 
 
 def _kept(spark, df: DataFrame, name: str, back) -> DataFrame:
-    """``df`` written as a prepared table and read again."""
+    """``df`` written as a prepared table and read again; the table goes once its rows are safe."""
     out = fresh_folder(spark, name)
     df.write.parquet(out)
-    return back(spark, out)
+    kept = durable(back(spark, out))
+    remove(spark, out)
+    return kept
 
 
 @query(_verdict_sql("srd", "srf", -1, -1, 0, -1, _FULL))
