@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kmerloom.cluster import durable
 from kmerloom.functions import kmers as K
 
 #: Numbers of a block; deep hashes there may be at most; bits a filter has for each key, and at most in all.
@@ -99,7 +100,8 @@ def count_min(hashed: DataFrame, width: int = 1 << 20, rows: int = 4) -> Counter
 
 def deep_hashes(depths: DataFrame, min_depth: int) -> DeepHashes:
     """The hashes of ``depths(hash, depth)`` that occur ``min_depth`` times or more, counted first; more than ``DEEP`` are refused (use ``count_min``)."""
-    deep = depths.filter(F.col("depth") >= min_depth).select("hash")
+    number = F.col("hash") if depths.schema["hash"].dataType.simpleString() == "bigint" else F.conv("hash", 16, -10).cast("long")
+    deep = durable(depths.filter(F.col("depth") >= min_depth).select(number.alias("hash")))
     n = deep.count()
     if n > DEEP:
         raise ValueError(f"{n} deep hashes are too many to travel with every task (limit {DEEP}); use counters of fixed size")
