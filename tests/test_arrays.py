@@ -43,6 +43,7 @@ def test_hashes_of_any_text(name, ks, canonical, valid_only):
 @pytest.fixture
 def small_blocks(monkeypatch):
     monkeypatch.setattr(B, "HELD", 40)  # so that many blocks meet
+    monkeypatch.setattr(B, "BLOCK", 40)
 
 
 def rows(spark):
