@@ -63,3 +63,24 @@ def test_what_travels_is_less_than_the_hashes():
     data, offsets = A.text_bytes(pa.array([text]))
     rows = T._rows([(data, *T.cut(data, offsets, 16, False)[:3])], [])
     assert rows.nbytes < 4 * len(text)  # hashes: eight bytes for each of its k-mers
+
+
+@pytest.mark.parametrize("min_depth", [0, 2])
+@pytest.mark.parametrize("alone", [False, True])
+def test_lineages_by_stretches_and_by_blocks(spark, small, monkeypatch, alone, min_depth):
+    from kmerloom.operators import buckets
+    from kmerloom.plans import commands as C
+
+    texts = [*TEXTS, SHORT[:900], SHORT[500:1200], SHORT[600:1000]] * 2
+    reads = spark.createDataFrame([(i, t, "xa xb ya".split()[i % 3] if i % 5 else None) for i, t in enumerate(texts)], "id long, seq string, name string").repartition(3)
+    types = spark.createDataFrame([(7, SHORT[550:700], 0), (8, "nothing that is there, nor there", 1), (9, "ACGTTGCA" * 3, 2)], "id long, seq string, ord int")
+    panel = None if alone else reads.filter("id % 4 > 0").select("seq", "name")
+    found = lambda: sorted(map(str, C.lineages(reads, types, panel, [16], min_depth).collect()))
+    refused = lambda *a, **k: pytest.fail("k-mers travel as hashes")
+    with monkeypatch.context() as m:
+        m.setattr(buckets, "group_counts", refused)
+        m.setattr(buckets, "masked", refused)
+        some = found()
+    monkeypatch.setattr(T, "LEAST", 99)
+    monkeypatch.setattr(C, "_best_types", lambda r, t, ks, n, **how: C.classify(r, t, ks, None, n, **how))
+    assert some == found() and "shared=" in str(some)
