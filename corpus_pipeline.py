@@ -20,7 +20,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more the document of the smallest id stays."""
+    """Of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more the document of the smallest id stays: SimHash links first, bands for what lies beyond their radius, all checked exactly."""
     return likeness.one_of_each(spread(docs)).select(*COLUMNS)
 
 

@@ -1,4 +1,4 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: blocks from MinHash bands, shared shingles counted in tiles."""
+"""Near-duplicates by SimHash with an exact Jaccard check: blocks from fingerprints within a few bits, and from MinHash bands for like texts that lie further apart; shared shingles counted in tiles."""
 
 from __future__ import annotations
 
@@ -12,8 +12,10 @@ from xxhash import xxh3_128_digest
 
 from kmerloom.llm.common import arrow_map, durable
 from kmerloom.llm.components import components
-from kmerloom.llm.neardup import shingle_hashes
+from kmerloom.llm.neardup import links, majority, shingle_hashes
 
+#: Fingerprints that differ in so many bits at most are linked, as in op10.
+RADIUS = 3
 #: A pair of similarity 0.8 agrees in none of the bands with a chance of (1 - 0.8^6)^48, 5 in ten million; more alike ones, less.
 BANDS, ROWS = 48, 6
 #: Shingles of a tile: TILE in blocks of up to TILES of them; in larger blocks more, up to FULL.
@@ -38,13 +40,13 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, same, n, keys): digest and size of the shingle set, and its band keys."""
+    """(doc_id, same, n, fp, keys): digest and size of the shingle set, its fingerprint and its band keys."""
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
         sets = [shingle_set(t, width) for t in batch["text"]]
-        return {"doc_id": batch["doc_id"], "same": [xxh3_128_digest(s.tobytes()) for s in sets], "n": list(map(len, sets)), "keys": [band_keys(s).view(np.int64) for s in sets]}
+        return {"doc_id": batch["doc_id"], "same": [xxh3_128_digest(s.tobytes()) for s in sets], "n": list(map(len, sets)), "fp": majority(sets).view(np.int64), "keys": [band_keys(s).view(np.int64) for s in sets]}
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, same binary, n long, keys array<long>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, same binary, n long, fp long, keys array<long>")
 
 
 def like(left: list[np.ndarray], right: list[np.ndarray], least: tuple[int, int]) -> Iterator[np.ndarray]:
@@ -89,11 +91,19 @@ def _links(least: tuple[int, int]):
     return work
 
 
+def alike(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v): links between the ``points(id, fp)`` whose fingerprints are equal or within ``radius`` bits, enough to join all of them."""
+    prints = durable(points.groupBy("fp").agg(F.min("id").alias("id")))
+    equal = points.select("fp", F.col("id").alias("v")).join(prints.withColumnRenamed("id", "u"), "fp").filter("u < v").select("u", "v")
+    return equal.unionByName(links(prints, radius))
+
+
 def blocks(points: DataFrame) -> DataFrame:
-    """(id, root, n) of ``points(id, n, keys)`` that share a band key with another, directly or by others; ``root`` names the block."""
+    """(id, root, n) of ``points(id, n, fp, keys)`` whose fingerprint is near another's or that share a band key with it, directly or by others; ``root`` names the block."""
     keys = points.select("id", F.explode("keys").alias("key"))
     least = keys.groupBy("key").agg(F.min("id").alias("u"), F.max("id").alias("last")).filter("u < last").select("key", "u")
-    coarse = components(keys.join(least, "key").filter("id > u").select(F.col("id").alias("v"), "u").distinct())
+    banded = keys.join(least, "key").filter("id > u").select(F.col("id").alias("v"), "u").distinct()
+    coarse = components(alike(points).unionByName(banded))
     members = coarse.unionByName(coarse.select(F.col("root").alias("id"), "root").distinct())
     return members.join(points.groupBy("id").agg(F.sum("n").alias("n")), "id")
 
@@ -102,13 +112,13 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = (4, 5), width: int
     """(id, root): documents that aren't the smallest id of their component, and that id. Linked are documents whose sets of
     ``width``-word shingles have a Jaccard similarity of ``least`` (a fraction) or more.
 
-    Equal sets fold into one point, by a link to the smallest id each. Points meet in blocks: components of a graph that has one
-    link a point and band key. Only members of blocks are read again for their sets; a block is cut into tiles, every pair of
+    Equal sets fold into one point, by a link to the smallest id each. Points meet in blocks: components of a graph of all SimHash
+    links (every pair within ``RADIUS`` bits, exact) and, for like texts beyond them, one link a point and band key. Only members of blocks are read again for their sets; a block is cut into tiles, every pair of
     tiles counts its pairs' common shingles exactly and returns a spanning forest. Texts without a word are copies of each other;
     null ids link nothing; rows of one id are one document.
     """
     prints = durable(signatures(docs, width).filter(F.col("doc_id").isNotNull()))
-    points = durable(prints.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    points = durable(prints.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     copies = prints.join(points.select("same", "id"), "same").filter("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     members = durable(blocks(points.filter("n > 0")))
     size = F.col("size")

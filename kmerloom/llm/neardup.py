@@ -49,6 +49,11 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, fp long")
 
 
+def links(points: DataFrame, radius: int) -> DataFrame:
+    """(u, v): a spanning forest of the points (fp, id), distinct in fp, that differ in at most ``radius`` bits."""
+    return hamming.in_buckets(points, radius, points.count(), hamming.forest(radius), "u long,v long")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): documents whose fingerprints differ in at most ``radius`` bits are linked.
 
@@ -60,7 +65,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     """
     prints = durable(fingerprints(docs, width))
     points = durable(prints.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("id")))
-    edges = hamming.in_buckets(points, radius, points.count(), hamming.forest(radius), "u long,v long")
+    edges = links(points, radius)
     several = prints.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("doc_id")
     shared = prints.join(several, "doc_id", "left_semi").join(points, "fp").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     roots = components(edges.unionByName(shared))
