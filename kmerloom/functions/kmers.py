@@ -49,7 +49,7 @@ def reverse_complement(seq: Column) -> Column:
 
 def is_valid(kmer: Column) -> Column:
     """Only A, C, G and T; other k-mers count as masked."""
-    return kmer.rlike("^[ACGTacgt]+$")
+    return kmer.rlike(r"^[ACGTacgt]+\z")
 
 
 def _fmix(x: np.ndarray) -> np.ndarray:

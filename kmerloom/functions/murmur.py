@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.functions.kmers import reverse_complement
+from kmerloom.functions.packed import other_strand
 
 #: The published algorithm's fixed values: two multipliers, those of the final mix, and what a block adds to each half.
 C1, C2, MIX1, MIX2, ADD1, ADD2 = 0x87C37B91114253D5, 0x4CF5AD432745937F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x52DCE729, 0x38495AB5
@@ -44,12 +45,25 @@ def _xor_shift(x: Column) -> Column:
     return x.bitwiseXOR(F.shiftrightunsigned(x, 33))
 
 
-def with_murmur3(table: DataFrame, kmer: str, k: int, out: str = "hash", canonical: bool = False, seed: int = 42) -> DataFrame:
+def _spelt(df: DataFrame, bits: dict[str, tuple[Column, int]], k: int) -> DataFrame:
+    """``df`` with words ``bits`` (name: column, i): the bytes of letters 8 i to 8 i + 7 (as far as k), of two bits each in the column, the first one lowest."""
+    df = df.withColumns({w: F.shiftrightunsigned(x, 16 * i).bitwiseAND(F.lit(0xFFFF)) for w, (x, i) in bits.items()})
+    for shift, mask in ((24, 0x000000FF000000FF), (12, 0x000F000F000F000F), (6, 0x0303030303030303)):
+        df = df.withColumns({w: F.col(w).bitwiseOR(F.shiftleft(w, shift)).bitwiseAND(F.lit(mask)) for w in bits})
+    ones = F.lit(0x0101010101010101)
+    df = df.withColumns({x: y for w in bits for x, y in ((w, F.col(w).bitwiseAND(ones)), (f"{w}h", F.shiftrightunsigned(w, 1).bitwiseAND(ones)))})
+    spelt = lambda w: F.lit(0x4141414141414141) + F.col(w) * 2 + F.col(f"{w}h") * 6 + F.col(w).bitwiseAND(F.col(f"{w}h")) * 11  # noqa: E731  A, C, G, T
+    return df.withColumns({w: spelt(w).bitwiseAND(_long((1 << 8 * min(8, k - 8 * i)) - 1)) for w, (_, i) in bits.items()}).drop(*(f"{w}h" for w in bits))
+
+
+def with_murmur3(table: DataFrame, kmer: str, k: int, out: str = "hash", canonical: bool = False, seed: int = 42, code: str | None = None) -> DataFrame:
     """``table`` with the first 64 bits of the hash of its column ``kmer`` as 16 hex digits in ``out``, or with ``canonical`` the smaller one of both strands; null for null.
 
-    K-mers are ``k`` letters of one byte each (masked ones are gone before).
+    K-mers are ``k`` letters of one byte each (masked ones are gone before). Where ``kmer`` is null, the long ``code`` (functions/packed.py) may stand for it.
     """
     kept = [c for c in table.columns if c != out]
+    table = table if code is None else other_strand(table.withColumn("_c", F.coalesce(code, F.lit(0))), "_c", k, "_o")
+    none = F.col(kmer).isNull() if code is None else F.col(kmer).isNull() & F.col(code).isNull()
     strands = {"_f": F.col(kmer)} | ({"_r": reverse_complement(F.col(kmer))} if canonical else {})
     blocks, n = k // 16, _long(k)
     words = {f"{s}{i}": (s, i) for s in strands for i in range(2 * blocks + 2) if 8 * i < k}
@@ -61,13 +75,17 @@ def with_murmur3(table: DataFrame, kmer: str, k: int, out: str = "hash", canonic
     def word(s: str, i: int) -> Column:
         """Bytes 8 i to 8 i + 7 as a number, the first one highest; zeros behind the end."""
         digits = F.rpad(F.hex(F.substring(strands[s], 8 * i + 1, 8)), 16, "0")
-        return F.conv(digits, 16, -10).cast("long")
+        return F.coalesce(F.conv(digits, 16, -10).cast("long"), F.lit(0))  # what can't be null takes much less code
 
     with wrapping(table.sparkSession):
-        df = step(table.select(*kept), {w: word(*at) for w, at in words.items()})
+        df = step(table.select(*kept, *([] if code is None else ["_c", "_o"])), {w: word(*at) for w, at in words.items()})
         for shift, mask in ((8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):  # to the first byte lowest
             df = step(df, {w: F.shiftleft(F.col(w).bitwiseAND(F.lit(mask)), shift).bitwiseOR(F.shiftrightunsigned(F.col(w), shift).bitwiseAND(F.lit(mask))) for w in words})
-        df = step(df, {w: _turned(F.col(w), 32) * _long(C2 if i % 2 else C1) for w, (_, i) in words.items()})
+        df = step(df, {w: _turned(F.col(w), 32) for w in words})
+        if code is not None:  # the other strand's letters, complemented, are the strand's own from behind
+            df = _spelt(df, {f"{w}c": (F.bitwise_not(F.col("_o" if s == "_f" else "_c")), i) for w, (s, i) in words.items()}, k)
+            df = step(df, {w: F.when(F.col(code).isNull(), F.col(w)).otherwise(F.col(f"{w}c")) for w in words}, ["_c", "_o", *(f"{w}c" for w in words)])
+        df = step(df, {w: F.col(w) * _long(C2 if i % 2 else C1) for w, (_, i) in words.items()})
         df = step(df, {w: _turned(F.col(w), 33 if i % 2 else 31) * _long(C1 if i % 2 else C2) for w, (_, i) in words.items()})
         df = step(df, {x: _long(seed) for x in sides})
         for b in range(blocks):
@@ -81,6 +99,6 @@ def with_murmur3(table: DataFrame, kmer: str, k: int, out: str = "hash", canonic
         for factor in (MIX1, MIX2):
             df = step(df, {x: _xor_shift(F.col(x)) * _long(factor) for x in sides})
         df = step(df, {s: _xor_shift(F.col(f"{s}a")) + _xor_shift(F.col(f"{s}b")) for s in strands}, sides)
-    digits = [F.lower(F.lpad(F.hex(F.col(s)), 16, "0")) for s in strands]
-    hashed = F.least(*digits) if canonical else digits[0]
-    return df.select(*kept, F.when(F.col(kmer).isNotNull(), hashed).alias(out))
+    unsigned = lambda x: x.bitwiseXOR(F.lit(-(2**63)))
+    lowest = unsigned(F.least(*(unsigned(F.col(s)) for s in strands))) if canonical else F.col("_f")
+    return df.select(*kept, F.when(~none, F.lower(F.lpad(F.hex(lowest), 16, "0"))).alias(out))

@@ -10,7 +10,7 @@ _M1, _M2, _M4, _M8, _M16 = 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x00FF00FF00F
 
 
 def packable(kmer: Column) -> Column:
-    return kmer.rlike("^[ACGT]+$")
+    return kmer.rlike(r"^[ACGT]+\z")
 
 
 def pack(kmer: Column) -> Column:
@@ -33,6 +33,27 @@ def other_strand(table: DataFrame, code: str, k: int, out: str) -> DataFrame:
     return table.withColumn(out, F.shiftrightunsigned(F.col(out), 64 - 2 * k))
 
 
+def spelled(seqs: DataFrame, k: int, canonical: bool = False, valid_only: bool = False) -> DataFrame:
+    """(code, text) of every k-mer of ``seqs(seq)``, k up to ``LONGEST``: a long where it is of capital A, C, G and T, else its text; of both strands the one that comes first, if canonical.
+
+    Texts are cut into windows of ``LONGEST`` letters that overlap by k - 1, by one look-ahead regular expression; a window is packed once and its k-mers are stretches of its bits.
+    """
+    step = LONGEST + 1 - k
+    cut = F.regexp_extract_all("seq", F.lit(f"(?s)(?=(.{{{k},{LONGEST}}})).{{1,{step}}}"), 1)
+    rows = seqs.select(F.explode_outer(cut).alias("w")).filter(F.col("w").isNotNull())
+    rows = rows.select("w", F.length("w").alias("n"), F.when(packable(F.col("w")), pack(F.rpad("w", LONGEST, "A"))).alias("c"))
+    rows = other_strand(rows, "c", LONGEST, "r") if canonical else rows
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, range(step)))).alias("i")).filter(F.col("i") <= F.col("n") - k)
+    each = [F.expr(f"shiftrightunsigned(c, {2 * (step - 1)} - 2 * i)"), *([F.expr("shiftrightunsigned(r, 2 * i)")] if canonical else [])]
+    each = [x.bitwiseAND(F.lit((1 << 2 * k) - 1)) for x in each]
+    rows = rows.select(F.when(F.col("c").isNull(), F.substring("w", F.col("i") + 1, F.lit(k))).alias("t"), (F.least(*each) if canonical else each[0]).alias("c"))
+    rows = rows.filter(F.col("t").isNull() | F.col("t").rlike(r"^[ACGTacgt]+\z")) if valid_only else rows
+    t = F.col("t")
+    flipped = F.reverse(F.translate(t, "ACGTacgt", "TGCAtgca"))
+    packed, text = (F.least(pack(t), pack(flipped)), F.least(t, flipped)) if canonical else (pack(t), t)
+    return rows.select(F.coalesce("c", F.when(packable(t), packed)).alias("code"), F.when(~packable(t), text).alias("text"))
+
+
 def folded(kmers: DataFrame, k: int, canonical: bool = False) -> DataFrame:
     """(kmer, n) of ``kmers(kmer)``, all of length k: occurrences of every k-mer, or with ``canonical`` of either strand (``kmer`` is the strand that comes
     first). A long a k-mer is folded in place and shuffled; longer k-mers and those with other letters keep their text."""

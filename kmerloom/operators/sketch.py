@@ -23,6 +23,8 @@ DEEP = 4_000_000
 
 #: Characters of a task whose exploded k-mers are sorted in memory.
 SORTED = 4_000_000
+#: Characters of a task whose k-mers are folded in memory.
+FOLDED = 8_000_000
 
 
 def by_arrays(name: str = "md5", canonical: bool = False, valid_only: bool = False) -> bool:
@@ -77,18 +79,26 @@ def counts_by_sequence(seqs: DataFrame, ks: list[int], **how) -> DataFrame:
 def depth(seqs: DataFrame, ks: list[int], least: int = 1, **how) -> DataFrame:
     """(hash, depth): occurrences over all sequences, of hashes with ``least`` of them or more.
 
-    Hashes are folded as arrays in buckets (operators/buckets.py), k-mers of one length that is not small where their stretches of text meet (operators/stretches.py). Where they can't be made as arrays, k-mers are folded before they are hashed, as a long each where they are up to 31 letters A, C, G, T, else as text (of both strands the one that comes first, if canonical), so
+    Hashes are folded as arrays in buckets (operators/buckets.py), k-mers of one length that is not small where their stretches of text meet (operators/stretches.py). Where they can't be made as arrays, k-mers are folded before they are hashed (by tasks of few enough characters to hold their own), as a long each where they are up to 31 letters A, C, G, T, cut out of packed windows, else as text (of both strands the one that comes first, if canonical), so
     the shuffle moves no hashes and a k-mer is hashed once.
     """
     name, canonical, valid_only = how.get("name", "md5"), how.get("canonical", False), how.get("valid_only", False)
     if by_arrays(name, valid_only=valid_only):
         return stretches.depth(seqs, ks[0], least, **how) if len(ks) == 1 and ks[0] >= stretches.LEAST else buckets.depth(seqs, ks, least, **how)
     counted = []
+    chars = seqs.agg(F.sum(F.length("seq"))).first()[0] or 0
+    seqs = seqs.select("seq")
+    seqs = seqs.repartition(chars // FOLDED + 1) if chars > FOLDED * seqs.sparkSession.sparkContext.defaultParallelism else seqs
     for k in ks:
-        table = kmer_table(seqs, [k]).select("kmer")
-        one = packed.folded(table.filter(K.is_valid(F.col("kmer"))) if valid_only else table, k, canonical)
         fast = name == "murmur3" and valid_only
-        hashed = with_murmur3(one, "kmer", k, canonical=canonical) if fast else one.withColumn("hash", K.kmer_hash(F.col("kmer"), name, canonical))
+        if k <= packed.LONGEST:
+            one = packed.spelled(seqs, k, canonical, valid_only).groupBy("code", "text").agg(F.count("*").alias("n"))
+            one = one if fast else one.select(F.coalesce("text", packed.unpack(F.col("code"), k)).alias("kmer"), "n")
+        else:
+            table = kmer_table(seqs, [k]).select("kmer")
+            one = packed.folded(table.filter(K.is_valid(F.col("kmer"))) if valid_only else table, k, canonical)
+        by_code = fast and k <= packed.LONGEST
+        hashed = with_murmur3(one, "text" if by_code else "kmer", k, canonical=canonical, code="code" if by_code else None) if fast else one.withColumn("hash", K.kmer_hash(F.col("kmer"), name, canonical))
         counted.append(hashed.select("hash", F.col("n").alias("depth")))
     out = counted[0] if len(ks) == 1 else reduce(DataFrame.unionByName, counted).groupBy("hash").agg(F.sum("depth").alias("depth"))
     return out if least <= 1 else out.filter(F.col("depth") >= least)
