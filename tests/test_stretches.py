@@ -84,3 +84,19 @@ def test_lineages_by_stretches_and_by_blocks(spark, small, monkeypatch, alone, m
     monkeypatch.setattr(T, "LEAST", 99)
     monkeypatch.setattr(C, "_best_types", lambda r, t, ks, n, **how: C.classify(r, t, ks, None, n, **how))
     assert some == found() and "shared=" in str(some)
+
+
+def test_a_stream_writes_stretches(spark, tmp_path):
+    """Depths over several batches are those of the table, and what is kept is less than eight bytes for each k-mer."""
+    from kmerloom.streaming.classify import depth_totals, write_depths
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("etaoin shrdlu"), 20_000)) for _ in range(4)] + [*TEXTS, SHORT, SHORT]
+    spark.createDataFrame([(t,) for t in texts], "seq string").repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("seq string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    write_depths(stream, 16, f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert found.select("batch").distinct().count() == 3
+    want = Counter(f"{digest('md5', w):016x}" for t in texts for w in kmers(t, [16]))
+    assert {r.hash: r.depth for r in depth_totals(found.drop("batch"), 16).collect()} == want
+    assert sum(p.stat().st_size for p in tmp_path.glob("out/*/*.parquet")) < 7 * sum(want.values())
