@@ -100,3 +100,23 @@ def test_a_stream_writes_stretches(spark, tmp_path):
     want = Counter(f"{digest('md5', w):016x}" for t in texts for w in kmers(t, [16]))
     assert {r.hash: r.depth for r in depth_totals(found.drop("batch"), 16).collect()} == want
     assert sum(p.stat().st_size for p in tmp_path.glob("out/*/*.parquet")) < 7 * sum(want.values())
+
+
+@pytest.mark.parametrize("apart", [False, True])
+@pytest.mark.parametrize("canonical,valid_only", [(False, False), (True, False), (True, True)])
+def test_masks_by_stretches_and_by_hashes(spark, small, monkeypatch, apart, canonical, valid_only):
+    from kmerloom.operators import buckets
+
+    monkeypatch.setattr(T, "BLOCK", 700)
+    texts = [*TEXTS, SHORT[:900], SHORT[500:1200], SHORT[600:1000], None, "", "short"]
+    reads = spark.createDataFrame(list(enumerate(texts)), "id long, seq string").repartition(3)
+    over = reads.filter("id % 2 = 0").union(reads.filter("id % 3 = 0")) if apart else None
+    how = {"canonical": canonical, "valid_only": valid_only}
+    for s in (20, None):
+        found = lambda m, k: {r.id: r.sketch for r in m(reads, k, s, 2, over, **how).collect()}
+        want = found(buckets.masked, [16])
+        with monkeypatch.context() as m:
+            m.setattr(buckets, "masked", lambda *a, **k: pytest.fail("k-mers travel as hashes"))
+            got = {r.id: r.sketch for r in S.masked_sketches(reads, [16], s, 2, over, **how).collect()}
+        assert got == want == found(T.masked, 16) and len(got) == len(texts)
+        assert any(want.values()) or valid_only and apart  # few of these texts have such k-mers twice
