@@ -120,3 +120,17 @@ def test_masks_by_stretches_and_by_hashes(spark, small, monkeypatch, apart, cano
             got = {r.id: r.sketch for r in S.masked_sketches(reads, [16], s, 2, over, **how).collect()}
         assert got == want == found(T.masked, 16) and len(got) == len(texts)
         assert any(want.values()) or valid_only and apart  # few of these texts have such k-mers twice
+
+
+def test_types_are_counted_where_the_kmers_meet(spark, small):
+    """Shared hashes with every type, rare ones left out, without another pass over the rows; a type that nobody meets and one that all meet."""
+    texts = [*TEXTS, SHORT[:900], SHORT[500:1200], SHORT[600:1000], SHORT[:900]]
+    types = {1: SHORT[550:700], 2: "nothing that is there, nor there", 3: SHORT[100:700], 4: "short"}
+    reads = spark.createDataFrame([(i, t, 1 + i % 2, 1) for i, t in enumerate(texts)], "id long, seq string, a long, b long").repartition(3)
+    panel = spark.createDataFrame(list(types.items()), "place long, seq string")
+    depth = Counter(w for t in texts for w in kmers(t, [16]))
+    for least in (0, 2, 3):
+        deep = {w for w, n in depth.items() if n >= least}
+        want = {(i, p, n) for i, t in enumerate(texts) for p, u in types.items() if (n := len(set(kmers(t, [16])) & set(kmers(u, [16])) & deep))}
+        got = T.group_counts(reads, 16, (2, 1), None, least, panel).filter("level = 2").collect()
+        assert {(r.id, r.place, r.shared) for r in got} == want and len(got) == len(want) > 0
