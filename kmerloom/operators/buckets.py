@@ -230,7 +230,7 @@ def unique(seqs: DataFrame, ks: list[int], among: DataFrame | None = None, **how
 # --- rows that ask about their own hashes: blocks of rows send theirs to the buckets, and get a number for each back
 
 #: Characters of a block.
-BLOCK = 1 << 20
+BLOCK = 4 << 20
 _ROWS = "bucket int, block long, kind int, hashes binary, beside binary"
 _ASK, _DEEP, _GROUP = 0, 1, 2
 
@@ -255,7 +255,7 @@ def _asks(dealt: DataFrame, ks: list[int], how: dict) -> DataFrame:
         made = blocks(*counted(_held(group["seq"], ks, how)[0]), block=(group["block"][0].as_py(), pa.int64()), kind=(_ASK, pa.int32()))
         return pa.Table.from_batches([made]).select(["bucket", "block", "kind", "hashes", "beside"])
 
-    return dealt.select("seq", "block").groupBy("block").applyInArrow(ask, _ROWS)
+    return dealt.groupBy("block").applyInArrow(ask, _ROWS)  # with all columns, so that the texts' one exchange serves the rows' last step too
 
 
 def _source(rows: DataFrame, kind: int) -> DataFrame:

@@ -79,3 +79,26 @@ def test_a_hot_group_is_cut_before_its_shuffle(spark):
     sk = S.sketches(made(spark), [4], 10).join(made(spark).select("id", "g"), "id")
     plan = S.merge(sk, "g", 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_prepared_depths_are_not_copied(spark, monkeypatch):
+    """The depth table is read where it lies, never made durable, and is gone once the verdicts are safe; texts are dealt to blocks once."""
+    from kmerloom.operators import buckets
+    from kmerloom.plans import catalogue as Q
+
+    made, folders = [], []
+    keep, fresh = Q.durable, Q.fresh_folder
+    monkeypatch.setattr(Q, "durable", lambda df: made.append(df.columns) or keep(df))
+    monkeypatch.setattr(Q, "fresh_folder", lambda s, n: folders.append(fresh(s, n)) or folders[-1])
+    rows = Q.QUERIES["classify_prepared_depths"](spark, "/root/testdata/sf0.001")
+    assert rows.count() == 200 and made == [rows.columns] and len(folders) == 1
+    path = spark._jvm.org.apache.hadoop.fs.Path(folders[0])
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    depths = spark.createDataFrame([("0" * 16, 2)], "hash string, depth long")
+    masked = buckets.masked(made_ids(spark), [4], 10, 2, depths=depths)
+    masked.collect()
+    assert masked._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 1
+
+
+def made_ids(spark):
+    return made(spark).select("id", "seq")
